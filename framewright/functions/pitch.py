@@ -34,8 +34,9 @@ def cents_to_hz(cents: Column, ref: float = 10.0) -> Column:
 
 
 def cents_to_bin(cents: Column, up: bool = False) -> Column:
+    """Bin below (or above); a pitch exactly on a bin keeps it whatever the last digit of its logarithm."""
     position = (cents - BIN_OFFSET_CENTS) / BIN_WIDTH_CENTS
-    return (F.ceil(position) if up else F.floor(position)).cast("bigint")
+    return (F.ceil(position - 1e-9) if up else F.floor(position + 1e-9)).cast("bigint")
 
 
 def bin_to_cents(index: Column) -> Column:

@@ -66,8 +66,8 @@ def hz_cents_ref(spark, d):
     "cents_bins",
     V.sql(
         "pitch0",
-        """SELECT event_id, CAST(floor(p) AS BIGINT) AS bin_floor, CAST(ceil(p) AS BIGINT) AS bin_ceil,
-        round(floor(p) * 20.0 + 1997.3794084376191, 6) AS cents FROM (SELECT event_id,
+        """SELECT event_id, CAST(floor(p + 1e-9) AS BIGINT) AS bin_floor, CAST(ceil(p - 1e-9) AS BIGINT) AS bin_ceil,
+        round(floor(p + 1e-9) * 20.0 + 1997.3794084376191, 6) AS cents FROM (SELECT event_id,
         (1200 * log2(nullif(f0, 0) / 10.0) - 1997.3794084376191) / 20.0 AS p FROM pitch0)""",
     ),
 )
