@@ -59,16 +59,18 @@ def framed(
     idx: str,
     before: int,
     after: int,
-    exprs: Callable[[WindowSpec], dict[str, Column]],
+    *stages: Callable[[WindowSpec], dict[str, Column]],
     rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add window columns whose frames reach at most `before` rows back and `after` rows ahead.
 
-    `idx` must be dense within `keys`. `exprs` gets a window ordered by `idx` and returns the new columns.
+    `idx` must be dense within `keys`. Each stage gets a window ordered by `idx` and returns new columns, which the
+    next stage may use; `before` and `after` are the reach of all stages together.
     """
     window = W.partitionBy(*keys, "_blk").orderBy(idx)
     out = halo(df, keys, idx, before, after, rows)
-    out = out.select("*", *[c.alias(n) for n, c in exprs(window).items()])
+    for stage in stages:
+        out = out.select("*", *[c.alias(n) for n, c in stage(window).items()])
     return out.where("_own").drop("_blk", "_own")
 
 
@@ -134,13 +136,22 @@ def with_group(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     return df.join(df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys)
 
 
-def interval_hits(
-    rows: DataFrame, spans: DataFrame, keys: list[str], idx: str, start: str, end: str, block: int = 4096
+def in_spans(
+    rows: DataFrame, spans: DataFrame, keys: list[str], idx: str, start: str, end: str, how: str = "inner", block: int = 4096
 ) -> DataFrame:
-    """Rows joined to the span `[start, end)` of the same key that holds them: equi-join on key and block."""
-    cut_up = spans.where(F.col(end) > F.col(start)).withColumn(
-        "_blk",
-        F.explode(F.expr(f"sequence(CAST(floor(`{start}`/{block}) AS BIGINT), CAST(floor((`{end}`-1)/{block}) AS BIGINT))")),
+    """Rows joined to the span `[start, end)` of the same key that holds them; "left" keeps the others too.
+
+    An equi-join on key and position block with the range as a residual: a long span is repeated once per block it
+    crosses, and a key of any length spreads over its blocks.
+    """
+    first, last = f"CAST(floor(`{start}` / {block}) AS BIGINT)", f"CAST(floor((`{end}` - 1) / {block}) AS BIGINT)"
+    pieces = spans.where(F.col(end) > F.col(start)).select(
+        *[F.col(k).alias(f"_s_{k}") for k in keys],
+        *[c for c in spans.columns if c not in keys],
+        F.explode(F.expr(f"sequence({first}, {last})")).alias("_sblk"),
     )
-    joined = rows.withColumn("_blk", block_id(idx, block)).join(cut_up, [*keys, "_blk"])
-    return joined.where((F.col(idx) >= F.col(start)) & (F.col(idx) < F.col(end))).drop("_blk")
+    on = [F.col(k) == F.col(f"_s_{k}") for k in keys]
+    on += [block_id(idx, block) == F.col("_sblk"), F.col(idx) >= F.col(start), F.col(idx) < F.col(end)]
+    if how in ("left_semi", "left_anti"):
+        return rows.join(pieces, on, how)
+    return rows.join(pieces, on, how).drop("_sblk", *[f"_s_{k}" for k in keys])
