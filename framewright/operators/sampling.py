@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from framewright.functions.noise import digest, uniform
-from framewright.operators.blocks import hashed_ordinal, with_group
+from framewright.operators.blocks import hashed_ordinal, running, with_group
 
 
 def span_mask(rows: DataFrame, keys: list[str], idx: str, share: float, length: int, seed, min_masks: int = 0) -> DataFrame:
@@ -40,3 +40,18 @@ def collate_pad(rows: DataFrame, batch: str, item: str, idx: str, x: str, longes
     )
     data = cut.join(placed.drop("_top"), [batch, item]).select(batch, item, "pos", "length", idx, x)
     return data.unionByName(zeros)
+
+
+def alignment_path(rows: DataFrame, keys: list[str], token: str, duration: str, batch: str) -> DataFrame:
+    """Frames of each token laid end to end by duration, padded to the longest item of the batch.
+
+    Columns: keys, frame, token (missing on padding), valid. `token` is an integer that orders the tokens of a key.
+    """
+    started = running(rows, keys, token, {"_start": ("sum", F.col(duration), "before")})
+    frames = started.where(F.col(duration) > 0).select(
+        *keys, F.explode(F.expr(f"sequence(_start, _start + `{duration}` - 1)")).alias("frame"), F.col(token).cast("bigint").alias("token")
+    )
+    lengths = rows.groupBy(*keys, batch).agg(F.sum(duration).alias("_n"))
+    short = with_group(lengths, [batch], _top=F.max("_n")).where(F.col("_n") < F.col("_top"))
+    padding = short.select(*keys, F.explode(F.expr("sequence(_n, _top - 1)")).alias("frame"), F.lit(None).cast("bigint").alias("token"))
+    return frames.unionByName(padding).withColumn("valid", F.col("token").isNotNull())

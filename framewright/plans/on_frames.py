@@ -590,3 +590,20 @@ def collate_pad(spark, d):
 
     items = V.series(spark, d).select("sid", "idx", "x", F.expr("sid div 8").alias("batch"))
     return collate(items, "batch", "sid", "idx", "x", 400).select("batch", "pos", "sid", "idx", "length", "x")
+
+
+@query(
+    "sequence_mask",
+    """WITH t AS (SELECT l_orderkey AS g, l_linenumber AS b, CAST(ceil(sum(l_quantity) / 10) AS BIGINT) AS dur FROM lineitem
+    GROUP BY l_orderkey, l_linenumber), s AS (SELECT *, CAST(sum(dur) OVER (PARTITION BY g ORDER BY b) - dur AS BIGINT) AS a FROM t),
+    n AS (SELECT g, n, max(n) OVER (PARTITION BY g // 16) AS top FROM (SELECT g, CAST(sum(dur) AS BIGINT) AS n FROM t GROUP BY g))
+    SELECT g, unnest(generate_series(a, a + dur - 1)) AS frame, CAST(b AS BIGINT) AS token, true AS valid FROM s UNION ALL
+    SELECT g, unnest(generate_series(n, top - 1)), NULL, false FROM n""",
+)
+def sequence_mask(spark, d):
+    from framewright.operators.sampling import alignment_path
+
+    items = V.table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("g"), c("l_linenumber").alias("b")).agg(
+        F.ceil(F.sum("l_quantity") / 10).cast("bigint").alias("dur")
+    )
+    return alignment_path(items.withColumn("batch", F.expr("g div 16")), ["g"], "b", "dur", "batch")
