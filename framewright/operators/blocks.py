@@ -40,7 +40,7 @@ def ordinal(df: DataFrame, keys: list[str], order: list, block: Column, out: str
     )
 
 
-def hashed_ordinal(df: DataFrame, keys: list[str], digest: str, tie: str, out: str, digits: int = 2) -> DataFrame:
+def hashed_ordinal(df: DataFrame, keys: list[str], digest: str, tie: str, out: str, digits: int = 3) -> DataFrame:
     """`ordinal` in the order of a hex digest column; blocks are digest prefixes, so they are even by construction."""
     return ordinal(df, keys, [digest, tie], F.substring(digest, 1, digits), out)
 

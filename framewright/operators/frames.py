@@ -191,15 +191,13 @@ def fixed_segments(df: DataFrame, keys, idx: str, size: int, per_feature: int) -
 def chunk_apply(df: DataFrame, keys, idx: str, chunk: int, context: int, fn, schema: str) -> DataFrame:
     """Run a pandas function over chunks with `context` rows of each neighbour, and keep the rows each chunk owns.
 
-    `fn` gets one ordered chunk and returns a frame of the same length; `schema` describes the result and must keep
-    `idx`.
+    `fn` gets one ordered chunk and returns a frame of the same length, described by `schema`.
     """
 
     def piece(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx, ignore_index=True)
         own = pdf.pop("_own").to_numpy()
-        out = fn(pdf.drop(columns="_blk"))
-        return out[own]
+        return fn(pdf.drop(columns="_blk"))[own] if own.any() else pd.DataFrame()
 
     return halo(df, keys, idx, context, context, chunk).groupBy(*keys, "_blk").applyInPandas(piece, schema)
 

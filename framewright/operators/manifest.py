@@ -96,7 +96,7 @@ def holdout_split(items: DataFrame, key: str, held: int, seed=0) -> DataFrame:
 
 def shuffled(items: DataFrame, keys: list[str], key: str, seed, out: str = "position") -> DataFrame:
     """Adds the dense position of each row in a seeded random order within `keys`."""
-    return hashed_ordinal(items.withColumn("_h", digest(seed, key)), keys, "_h", key, out, digits=3).drop("_h")
+    return hashed_ordinal(items.withColumn("_h", digest(seed, key)), keys, "_h", key, out).drop("_h")
 
 
 def random_start(length: Column, size: Column, seed, *key, inclusive: bool = False) -> Column:

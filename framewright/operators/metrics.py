@@ -71,9 +71,8 @@ def drift_from_all(rows: DataFrame, key: str, x: str) -> DataFrame:
     """
     v = F.col(x)
     moments = rows.groupBy(key).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
-    whole = W.partitionBy(F.lit(0))
-    total = {c: F.sum(c).over(whole) for c in ("n", "s", "q")}
-    both = moments.select(key, "n", "s", "q", *[c.alias(f"_{n}") for n, c in total.items()])
+    total = moments.agg(*[F.sum(c).alias(f"_{c}") for c in ("n", "s", "q")])
+    both = moments.select(key, "n", "s", "q", *[total.select(f"_{c}").scalar().alias(f"_{c}") for c in ("n", "s", "q")])
     mean = lambda p: F.col(f"{p}s") / F.col(f"{p}n")
     log_std = lambda p: 0.5 * F.log(F.col(f"{p}q") / F.col(f"{p}n") - mean(p) * mean(p))
     return both.select(key, gaussian_kl(mean(""), log_std(""), mean("_"), log_std("_")).alias("kl"))

@@ -76,12 +76,13 @@ def _walk_back(back: np.ndarray, end: int) -> np.ndarray:
 
 
 def _best_paths(rows: DataFrame, keys: list[str], idx: str, scores: str, step: np.ndarray, start: np.ndarray) -> DataFrame:
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx)
-        best, back = _forward(step, start, start, _stack(pdf[scores]), True)
-        return pdf[[*keys, idx]].assign(state=_walk_back(back, int(best[-1].argmax())))
+    def solve(table: pa.Table) -> pa.Table:
+        table = table.sort_by(idx)
+        lp = table[scores].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+        best, back = _forward(step, start, start, lp, True)
+        return table.select([*keys, idx]).append_column("state", pa.array(_walk_back(back, int(best[-1].argmax()))))
 
-    return rows.groupBy(*keys).applyInPandas(solve, f"{_ddl(rows, [*keys, idx])}, state bigint")
+    return rows.groupBy(*keys).applyInArrow(solve, f"{_ddl(rows, [*keys, idx])}, state bigint")
 
 
 def _blocked_paths(

@@ -382,7 +382,7 @@ def context_chunks(spark, d):
     def smooth(pdf):
         import numpy as np
 
-        return pdf.assign(y=np.convolve(pdf["x"], np.ones(3) / 3.0, "same"))[["sid", "idx", "y"]]
+        return pdf.assign(y=np.convolve(pdf["x"], np.ones(3) / 3.0)[1 : 1 + len(pdf)])[["sid", "idx", "y"]]
 
     s = V.series(spark, d).select("sid", "idx", "x")
     out = FR.chunk_apply(s, KEY, "idx", 16, 3, smooth, "sid bigint, idx bigint, y double")

@@ -46,12 +46,12 @@ def trajectory_dp(spark, d):
     "inverse_preemphasis",
     V.sql(
         "series",
-        """SELECT a.sid, a.idx, round(sum(b.x * pow(0.97, a.idx - b.idx)), 6) AS y FROM series a JOIN series b
+        """SELECT a.sid, a.idx, round(sum(b.x * pow(0.9701425001453319, a.idx - b.idx)), 6) AS y FROM series a JOIN series b
         ON a.sid = b.sid AND b.idx <= a.idx GROUP BY a.sid, a.idx""",
     ),
 )
 def inverse_preemphasis(spark, d):
-    return SQ.inverse_preemphasis(V.series(spark, d), KEY, "idx", "x", 0.97).select("sid", "idx", r6("y").alias("y"))
+    return SQ.inverse_preemphasis(V.series(spark, d), KEY, "idx", "x", 0.9701425001453319).select("sid", "idx", r6("y").alias("y"))
 
 
 def frames32(spark, d):

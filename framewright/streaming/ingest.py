@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
-def watch(spark: SparkSession, folder: str, pattern: str = "*.parquet", schema: str = EVENTS, files_per_batch: int = 1000) -> DataFrame:
-    """New Parquet files of a folder as a stream; `ts` becomes an event time."""
+def watch(spark: SparkSession, folder: str, pattern: str = "*.parquet", schema: str = EVENTS, files_per_batch: int = 64) -> DataFrame:
+    """New Parquet files of a folder as a stream; `ts` becomes an event time.
+
+    `files_per_batch` bounds what one micro-batch, and so one key within it, can hold.
+    """
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
