@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from framewright.operators.blocks import framed, halo, ordinal, running, with_group
+from framewright.session import cut
 
 # Fixed value: the guard against a zero denominator (double precision epsilon).
 EPS = 2.220446049250313e-16
@@ -296,7 +297,7 @@ def hourly_interpolation(points: DataFrame, keys, ts: str, x: str, step: int = 3
     grid = reach.select(
         *keys, F.explode(F.expr(f"sequence(CAST(ceil(_lo / {cell_us}) AS BIGINT), _hi div {cell_us})")).alias("_g")
     ).withColumn("_on", F.lit(True))
-    both = cells.join(grid, [*keys, "_g"], "full")
+    both = cut(cells.join(grid, [*keys, "_g"], "full"))
     both = running(both, keys, "_g", {"_before": ("last", F.col("_last"), "before")})
     both = running(both, keys, "_g", {"_after": ("last", F.col("_first"))}, reverse=True).where("_on")
     at = F.col("_g") * cell_us

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from framewright.functions.noise import digest
 from framewright.operators.blocks import hashed_ordinal
-from framewright.operators.vectors import gather
+from framewright.operators.vectors import blend, gather
 from framewright.session import cut
 
 TILE = 2048
@@ -35,7 +35,7 @@ def _tiles(queries: DataFrame, base: DataFrame, keys: list[str], q: str, b: str,
         sizes = blocks(queries, "_nq").join(blocks(base, "_nb"), keys)
         attach = lambda df: df.join(sizes, keys)
     else:
-        blocks = lambda df: F.lit(max(1, -(-df.count() // tile))).cast("bigint")
+        blocks = lambda df: df.agg(F.expr(f"greatest(CAST(ceil(count(1) / {tile}) AS BIGINT), 1L)")).scalar()
         nq, nb = blocks(queries), blocks(base)
         attach = lambda df: df.withColumn("_nq", nq).withColumn("_nb", nb)
     left = attach(queries).select(
@@ -61,11 +61,13 @@ def nearest(
     v: str = "v",
     carry: str | None = None,
     tile: int = TILE,
+    per: list[str] | None = None,
 ) -> DataFrame:
     """The k nearest base vectors of each query by squared L2 within the same group, ties to the lower id.
 
     Columns: keys, q, b, d2, rank (from 1). `carry` adds the vector of the "base" or the "query" row as `v`.
-    Exact: there is no candidate limit, every pair of a group is scored in one of its tiles.
+    Exact: there is no candidate limit, every pair of a group is scored in one of its tiles. `per` names the keys that
+    identify a query together with `q`, if they are fewer than `keys`.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -108,7 +110,7 @@ def nearest(
         return pa.table(out)
 
     scored = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(score, schema)
-    best = W.partitionBy(*keys, q).orderBy("d2", b)
+    best = W.partitionBy(*(keys if per is None else per), q).orderBy("d2", b)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
@@ -156,10 +158,13 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame, keys: list[str] | Non
 def knn_ivf(
     queries: DataFrame, postings: DataFrame, centroids: DataFrame, k: int, keys: list[str] | None = None, carry=None
 ) -> DataFrame:
-    """k nearest vectors inside the one cell closest to each query."""
+    """k nearest vectors inside the one cell closest to each query.
+
+    The queries with their cell are written once, as both their number per cell and their vectors are needed.
+    """
     keys = keys or []
-    probes = nearest(queries, centroids, 1, keys, b="cell", carry="query").select(*keys, "cell", "q", "v")
-    return nearest(probes, postings, k, [*keys, "cell"], carry=carry)
+    probes = cut(nearest(queries, centroids, 1, keys, b="cell", carry="query").select(*keys, "cell", "q", "v"))
+    return nearest(probes, postings, k, [*keys, "cell"], carry=carry, per=keys)
 
 
 def inverse_square_weights(neighbours: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -174,10 +179,13 @@ def inverse_square_weights(neighbours: DataFrame, keys: list[str] | None = None)
 
 
 def weighted_neighbour(weighted: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row per query and dimension: the weighted sum `c` of its neighbours' vectors."""
-    keys = keys or []
-    long = weighted.select(*keys, "q", "w", F.posexplode("v").alias("d", "_c"))
-    return long.groupBy(*keys, "q", "d").agg(F.sum(F.col("w") * F.col("_c")).alias("c"))
+    """One row per query: the weighted sum `neighbour` of its k neighbours' vectors.
+
+    The neighbours of a query already lie together after ranking, so nothing is shuffled here.
+    """
+    packed = weighted.groupBy(*(keys or []), "q").agg(F.array_sort(F.collect_list(F.struct("rank", "w", "v"))).alias("_p"))
+    total = """aggregate(_p, transform(_p[0].v, t -> 0D), (acc, e) -> zip_with(acc, e.v, (a, t) -> a + e.w * t))"""
+    return packed.select(*(keys or []), "q", F.expr(total).alias("neighbour"))
 
 
 def retrieval_blend(
@@ -189,19 +197,15 @@ def retrieval_blend(
     keys: list[str] | None = None,
     enabled: bool = True,
 ) -> DataFrame:
-    """`(1 - ratio) · query + ratio · neighbour`, one row per query and dimension; a pass-through when disabled."""
-    if not 0.0 <= ratio <= 1.0:
-        raise ValueError("ratio must be within [0, 1]")
+    """keys, q, v: `(1 - ratio) · query + ratio · neighbour`; a pass-through when disabled or nothing was found."""
     keys = keys or []
-    own = queries.select(*keys, "q", F.posexplode("v").alias("d", "x"))
+    mixed = blend("v", "neighbour", ratio)
+    own = queries.select(*keys, "q", "v")
     if not enabled:
-        return own.withColumnRenamed("x", "c")
+        return own
     found = knn_ivf(queries, postings, centroids, k, keys, carry="base")
-    mixed = weighted_neighbour(inverse_square_weights(found, keys), keys)
-    joined = own.join(mixed, [*keys, "q", "d"], "left")
-    return joined.select(
-        *keys, "q", "d", F.coalesce((1.0 - ratio) * F.col("x") + ratio * F.col("c"), F.col("x")).alias("c")
-    )
+    near = weighted_neighbour(inverse_square_weights(found, keys), keys)
+    return own.join(near, [*keys, "q"], "left").select(*keys, "q", F.coalesce(mixed, "v").alias("v"))
 
 
 def kmeans(vectors: DataFrame, counts: DataFrame, keys: list[str], iterations: int = 10, seed: int = 0) -> DataFrame:

@@ -8,6 +8,7 @@ from framewright.operators import manifest as M, retrieval as R, vectors as X
 from framewright.plans import views as V
 from framewright.plans.on_scalars import r6
 from framewright.plans.registry import query
+from framewright.session import cut
 
 c = F.col
 LONG = "SELECT vec_id, spk, v, unnest(generate_series(0, len(v) - 1)) AS d, unnest(v) AS c FROM vecs"
@@ -36,6 +37,12 @@ def centroids(spark, d):
     return X.group_mean(V.vecs(spark, d), ["spk"], "v", "v").select(c("spk").cast("bigint").alias("cell"), "v")
 
 
+def saved_index(spark, d):
+    """Postings and centroids, written once as an index is, and read by everything after."""
+    cents = cut(centroids(spark, d))
+    return cut(R.assign_cells(V.vecs(spark, d), cents)), cents
+
+
 def queries_of(spark, d):
     """Every embedding read back to front: vectors near the corpus but not in it."""
     return V.vecs(spark, d).select(c("vec_id").alias("q"), F.reverse("v").alias("v"))
@@ -285,16 +292,15 @@ def knn_exact(spark, d):
 
 @query("knn_ivf", ivf("SELECT q, vec_id, round(d2, 6) AS d2, rank FROM near", "near"))
 def knn_ivf(spark, d):
-    cents = centroids(spark, d)
-    near = R.knn_ivf(queries_of(spark, d), R.assign_cells(V.vecs(spark, d), cents), cents, 3)
+    near = R.knn_ivf(queries_of(spark, d), *saved_index(spark, d), 3)
     return near.select("q", "vec_id", r6("d2").alias("d2"), big("rank"))
 
 
 @query("inverse_square_weights", ivf("SELECT q, d, round(nb, 6) AS c FROM mixed", "mixed"))
 def inverse_square_weights(spark, d):
-    cents = centroids(spark, d)
-    near = R.knn_ivf(queries_of(spark, d), R.assign_cells(V.vecs(spark, d), cents), cents, 3, carry="base")
-    return R.weighted_neighbour(R.inverse_square_weights(near)).select("q", big("d"), r6("c").alias("c"))
+    near = R.knn_ivf(queries_of(spark, d), *saved_index(spark, d), 3, carry="base")
+    mixed = R.weighted_neighbour(R.inverse_square_weights(near))
+    return mixed.select("q", F.posexplode("neighbour").alias("d", "c")).select("q", big("d"), r6("c").alias("c"))
 
 
 @query(
@@ -306,9 +312,8 @@ def inverse_square_weights(spark, d):
     ),
 )
 def retrieval_blend(spark, d):
-    cents = centroids(spark, d)
-    postings = R.assign_cells(V.vecs(spark, d), cents)
-    return R.retrieval_blend(queries_of(spark, d), postings, cents).select("q", big("d"), r6("c").alias("c"))
+    out = R.retrieval_blend(queries_of(spark, d), *saved_index(spark, d))
+    return out.select("q", F.posexplode("v").alias("d", "c")).select("q", big("d"), r6("c").alias("c"))
 
 
 @query(

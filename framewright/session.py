@@ -1,15 +1,16 @@
-"""Session settings the operators rely on."""
+"""Where intermediate tables go."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a scratch folder only for local sessions without one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
     if not spark.sparkContext.master.startswith("local"):
@@ -20,9 +21,12 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder, so later branches read it instead of recomputing it."""
+    """Write `df` as a Parquet table in the shared folder and read it from there.
+
+    Later branches scan the table, only the columns they need, instead of computing it again; it outlives the
+    executors that wrote it, and its size on disk lets the planner choose the joins.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_root(spark))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_root(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
