@@ -65,7 +65,8 @@ def speech_segments(
     numbered = running(stretches, keys, "_at", {"_g": ("sum", F.col("_close").isNotNull().cast("bigint"), "before")}, **opts)
     found = numbered.groupBy(*keys, "_g").agg(F.min("_at").alias("start"), F.max("_close").alias("_end"))
     lengths = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("len"))
-    segs = found.join(lengths, keys).withColumn("end", F.coalesce("_end", "len")).where(F.expr(f"end - start > {min_speech}"))
+    ended = found.join(lengths, keys).withColumn("end", F.coalesce("_end", "len"))
+    segs = cut(ended.where(F.expr(f"end - start > {min_speech}")).drop("_g", "_end"))
     return ordinal(segs, keys, ["start"], F.expr(f"start div {1 << 22}"), "seg_no").select(*keys, "seg_no", "start", "end", "len")
 
 
