@@ -7,9 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from framewright.functions import pitch as P
-from framewright.functions.noise import digest, uniform
-from framewright.operators import frames as FR, rules as RU, segments as SG
-from framewright.operators.blocks import framed, hashed_ordinal, in_spans, ordinal, with_group
+from framewright.operators import frames as FR, segments as SG
+from framewright.operators.blocks import framed, ordinal, with_group
 from framewright.operators.manifest import random_start
 from framewright.plans import views as V
 from framewright.plans.on_scalars import r6

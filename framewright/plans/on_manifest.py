@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framewright.functions import languages, scalars as S, text as X
+from framewright.functions import languages
 from framewright.operators import manifest as M, rules as RU
 from framewright.operators.blocks import ordinal, with_group
 from framewright.plans import views as V

@@ -8,11 +8,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from framewright.functions import scalars as S
-from framewright.operators import frames as FR, plugins as PL, retrieval as R, segments as SG, sequence as SQ, spectral as SP
+from framewright.operators import frames as FR, plugins as PL, retrieval as R, sequence as SQ, spectral as SP
 from framewright.plans import views as V
-from framewright.plans.on_frames import SEG, found_segments
+from framewright.plans.on_frames import found_segments
 from framewright.plans.on_scalars import r6
-from framewright.plans.on_vectors import IVF, centroids, ivf
+from framewright.plans.on_vectors import centroids, ivf
 from framewright.plans.registry import query
 from framewright.session import checkpoint_root
 from framewright.sources import pcm
