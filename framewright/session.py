@@ -20,6 +20,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def scratch(spark: SparkSession, kind: str = "table") -> str:
+    """A new path in the shared folder. What is written there is removed when the driver ends."""
+    path = f"{checkpoint_root(spark)}/{kind}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(target.getParent())
+    files.deleteOnExit(target)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it from there.
 
@@ -27,6 +37,6 @@ def cut(df: DataFrame) -> DataFrame:
     executors that wrote it, and its size on disk lets the planner choose the joins.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
