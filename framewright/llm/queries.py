@@ -48,3 +48,37 @@ def op8(spark, sf_dir):
     from framewright.llm.bpe import digest
 
     return digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_language_id")
+def op4(spark, sf_dir):
+    from framewright.llm.langid import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs.where(fold("doc_id", 3) != 1))
+    return identify(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    from framewright.llm.toxicity import learn, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = learn(labels.where(fold("doc_id", 5) != 0).withColumn("label", F.col("toxic")), docs)
+    scored = score(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op1_sharding")
+def op1(spark, sf_dir):
+    from framewright.llm.sharding import assign
+
+    placed = assign(table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op2_private_data")
+def op2(spark, sf_dir):
+    from framewright.llm.pii import digest
+
+    return digest(table(spark, sf_dir, "documents"))
