@@ -6,7 +6,6 @@ match. Bytes after which the automaton is always in its start state cut a text i
 of lanes is advanced by one array operation per byte position.
 """
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
+from framewright.llm.bpe import chunks
+
 KEYWORD = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
 #: kind: (what every match must hold, for the automaton; the whole expression; least length of its last group or of the match).
 #: Short forms keep the automaton small, as the counts of different rules multiply in it; lengths are verified afterwards.
@@ -223,14 +224,7 @@ def finder(rules: dict[str, tuple] | None = None, batch_chars: int = 1 << 22):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = Scanner(machine, rules)
         for batch in batches:
-            out, held, size = [], [], 0
-            for text in [*batch, None]:
-                held.append(text.as_py() if text is not None else None)
-                size += len(held[-1] or "")
-                if size >= batch_chars:
-                    out += scanner.many(held)
-                    held, size = [], 0
-            out = (out + scanner.many(held))[: len(batch)]
+            out = [spans for part in chunks(batch.to_pylist(), batch_chars) for spans in scanner.many(part)]
             yield pa.array([[{"kind": scanner.kinds[k], "start": s, "end": e} for s, e, k in spans] for spans in out], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
 
     return run
@@ -244,7 +238,7 @@ def find_secrets(docs: DataFrame, rules: dict[str, tuple] | None = None) -> Data
     return docs.select("doc_id", finder(rules)("text").alias("secrets"))
 
 
-def redactor(rules: dict[str, tuple] | None = None):
+def redactor(rules: dict[str, tuple] | None = None, batch_chars: int = 1 << 22):
     """UDF: text with every secret replaced by its kind in brackets; overlapping spans become one. Null stays null."""
     rules = rules or RULES
     machine = compile_rules([p for p, *_ in rules.values()])
@@ -253,8 +247,8 @@ def redactor(rules: dict[str, tuple] | None = None):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = Scanner(machine, rules)
         for batch in batches:
-            texts = batch.to_pylist()
-            yield pa.array([redact(t, scanner.many([t])[0], scanner.kinds) for t in texts], pa.string())
+            parts = chunks(batch.to_pylist(), batch_chars)
+            yield pa.array([redact(t, spans, scanner.kinds) for part in parts for t, spans in zip(part, scanner.many(part))], pa.string())
 
     return run
 
@@ -265,7 +259,7 @@ def redact(text: str | None, spans: list[tuple[int, int, int]], kinds: list[str]
     out, done = [], 0
     for start, end, kind in spans:
         if start >= done:
-            out += [text[done:start], f"[{kind.upper()}]"]
+            out += [text[done:start], f"[{kinds[kind].upper()}]"]
         done = max(done, end)
     return "".join([*out, text[done:]])
 
