@@ -45,6 +45,14 @@ def scan(df: DataFrame, schema: str, make: Callable[[], Callable[..., Iterator[d
     return df.mapInArrow(run, schema)
 
 
+def process_cache() -> dict:
+    """What a Python worker keeps from task to task. Functions are shipped by value, so a module of theirs would be new for each."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that `df` does not have yet."""
     while name in df.columns:

@@ -15,32 +15,41 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from framewright.llm.bpe import chunks, load
-from framewright.llm.common import scan
+from framewright.llm.common import process_cache, scan
 
 BLOCK_DOCS, BLOCK_IDS = 1024, 1 << 20
 BLOCK = "part int, block int, dict_hash string, before bigint, doc_ids array<bigint>, counts array<bigint>, offsets array<bigint>, payload binary"
 
 
+#: White space other than space and line end, and characters that engines class differently.
+ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
+
+
 class ByteLevel:
     """Ids of texts through the ids of their parts between spaces, kept for as long as a bounded memo holds them.
 
-    A token never reaches from other text into white space, so a text may be cut before a run of it. That is what cutting before each single
-    space does; where a space stands between other white space, or characters that engines class differently occur, the library gets the whole text.
+    A token never reaches from other text into white space, so a text may be cut before a run of it. That is what cutting before each
+    single space does; texts in which a space stands before more white space or ends the text, or with odd characters, go to the
+    library whole. When the memo is full, long words leave it first, as they recur least.
     """
 
-    UNSURE = re.compile(r"\s (?!\S)|[\x1c-\x1f\x85᠎​]")
-
     def __init__(self, path: str, room: int = 400_000) -> None:
         self.tokenizer, self.memo, self.room = load(path), {}, room
 
+    @classmethod
+    def kept(cls, path: str) -> "ByteLevel":
+        cache = process_cache()
+        return cache.get(("byte_level", path)) or cache.setdefault(("byte_level", path), cls(path))
+
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.memo) > self.room:
-            self.memo.clear()
+            short = {k: v for k, v in self.memo.items() if len(k) <= 9}
+            self.memo = short if len(short) <= self.room // 2 else {}
         memo = self.memo
-        whole = [i for i, t in enumerate(texts) if t and self.UNSURE.search(t)]
+        whole = [i for i, t in enumerate(texts) if t and (t[-1] == " " or "  " in t or " \n" in t or ODD.search(t))]
         given = dict(zip(whole, self.library([texts[i] for i in whole])))
         split = [[] if not t or i in given else t.split(" ") for i, t in enumerate(texts)]
         heads = self.library([s[0] if s else "" for s in split])
@@ -59,7 +68,7 @@ def train_dictionary(docs: DataFrame, path: str, rows: int, size: int) -> bytes:
     picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text").limit(4 * rows)
 
     def make():
-        tokens = ByteLevel(path)
+        tokens = ByteLevel.kept(path)
 
         def work(texts):
             for part in chunks(texts):
@@ -88,7 +97,7 @@ def write_token_files(docs: DataFrame, target: str, path: str, end_id: int, samp
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        tokens = ByteLevel(path)
+        tokens = ByteLevel.kept(path)
         known = zstandard.ZstdCompressionDict(shared) if shared else None
         press = zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=True)
         held = {"doc_ids": [], "counts": [], "payload": []}
