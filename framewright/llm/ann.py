@@ -127,6 +127,8 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def best_pairs(queries: np.ndarray, q_ids: np.ndarray, base: np.ndarray, b_ids: np.ndarray, k: int) -> pd.DataFrame:
     """The k best of `base` for every query but itself, largest product first, ties to the smaller id."""
     out = []
+    (q_ids, i), (b_ids, j) = np.unique(q_ids, return_index=True), np.unique(b_ids, return_index=True)
+    queries, base = queries[i], base[j]  # repeated rows count once
     for begin in range(0, len(queries), 512):
         q, own = queries[begin : begin + 512], q_ids[begin : begin + 512]
         rough = q @ base.T
@@ -183,7 +185,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, aim: float = AIM
     as many queries, so neither a large list nor a popular one is a large task, and no rows are left out.
 
     Nulls, zero vectors, and those with null or non-finite components or another length than the commonest take no part. Rows
-    of one vec_id count once. Ties go to the smaller vec_id; scores are exact. Empty tables give no rows.
+    repeated with their vec_id count once. Ties go to the smaller vec_id; scores are exact. Empty tables give no rows.
     """
     spark = vectors.sparkSession
     rows, asked = cut(usable(vectors)), cut(usable(queries))

@@ -168,27 +168,30 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
     return own.join(terms, "key", "left").select("doc_id", "key", "spans", F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,stem:string>>")).alias("terms"))
 
 
-@arrow_udf("string")
-def _cleaned(text: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for texts, terms in text:
-        out = []
-        for t, hidden in zip(texts.to_pylist(), terms.to_pylist()):
-            cover = [(s, e, f"[{KINDS[k].upper()}]") for k, s, e in base_spans(t)] if t else []
-            cover += [(h["start"], h["end"], f"{h['stem']}*" if h["stem"] else "") for h in hidden or []]
-            parts, done = [], 0
-            for s, e, instead in sorted(cover):
-                if s >= done:
-                    parts += [t[done:s], instead]
-                done = max(done, e)
-            out.append(None if t is None else "".join([*parts, t[done:]]))
-        yield pa.array(out, pa.string())
+def cleaner():
+    @arrow_udf("string")
+    def run(text: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, terms in text:
+            out = []
+            for t, hidden in zip(texts.to_pylist(), terms.to_pylist()):
+                cover = [(s, e, f"[{KINDS[k].upper()}]") for k, s, e in base_spans(t)] if t else []
+                cover += [(h["start"], h["end"], f"{h['stem']}*" if h["stem"] else "") for h in hidden or []]
+                parts, done = [], 0
+                for s, e, instead in sorted(cover):
+                    if s >= done:
+                        parts += [t[done:s], instead]
+                    done = max(done, e)
+                out.append(None if t is None else "".join([*parts, t[done:]]))
+            yield pa.array(out, pa.string())
+
+    return run
 
 
 def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(doc_id, text) with entities replaced by their kind and revealing terms generalised to their stem or removed."""
     found = find(docs, disclosure, support).where("size(terms) > 0").dropDuplicates(["key"]).select("key", "terms")
     keyed = docs.select("doc_id", "text", F.coalesce(F.md5("text"), F.lit("")).alias("key"))
-    return keyed.join(found, "key", "left").select("doc_id", _cleaned("text", "terms").alias("text"))
+    return keyed.join(found, "key", "left").select("doc_id", cleaner()("text", "terms").alias("text"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
