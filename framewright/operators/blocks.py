@@ -19,13 +19,26 @@ def block_id(idx: str, rows: int) -> Column:
     return F.expr(f"CAST(floor(`{idx}` / {rows}) AS BIGINT)")
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a NULL key meets a NULL key, as grouping has it; the keys of `left` stay."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    return left.join(renamed, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], how).drop(*[f"_r_{k}" for k in keys])
+
+
+def present(df: DataFrame, *columns: str) -> DataFrame:
+    """`df`, failing at the first NULL in one of its key or position columns: such a row has no place in a series."""
+    checked = {c: F.expr(f"coalesce(`{c}`, raise_error('NULL in {c}: a row of a series needs its key and position'))") for c in columns}
+    return df.withColumns(checked)
+
+
 def ordinal(df: DataFrame, keys: list[str], order: list, block: Column, out: str = "idx") -> DataFrame:
     """Dense 0-based position of each row within `keys`.
 
-    `block` must not decrease along `order`; it decides which rows are numbered together in one task.
+    `block` must not decrease along `order`; it decides which rows are numbered together in one task. A NULL key or block
+    is an error.
     """
     part = [*keys, "_b"]
-    rows = df.withColumn("_b", block)
+    rows = present(df.withColumn("_b", block), *part)
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(*part)
@@ -46,11 +59,14 @@ def hashed_ordinal(df: DataFrame, keys: list[str], digest: str, tie: str, out: s
 
 
 def halo(df: DataFrame, keys: list[str], idx: str, before: int, after: int, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Give each block the rows its first and last frames look at. `_own` marks the rows that belong to it."""
+    """Give each block the rows its first and last frames look at. `_own` marks the rows that belong to it.
+
+    Rows without a position make a block of their own.
+    """
     first = f"greatest(floor((`{idx}` - {after}) / {rows}), 0)"
     last = f"floor((`{idx}` + {before}) / {rows})"
-    copies = df.withColumn("_blk", F.explode(F.expr(f"sequence(CAST({first} AS BIGINT), CAST({last} AS BIGINT))")))
-    return copies.withColumn("_own", F.col("_blk") == block_id(idx, rows))
+    placed = df.withColumn("_blk", F.explode_outer(F.expr(f"sequence(CAST({first} AS BIGINT), CAST({last} AS BIGINT))")))
+    return placed.withColumn("_own", F.col("_blk").eqNullSafe(block_id(idx, rows)))
 
 
 def framed(
@@ -105,10 +121,11 @@ def running(
     """Running aggregates along an integer order column.
 
     `specs` maps an output name to `(kind, column)` or `(kind, column, "before")`; kind is sum, max, min or last
-    (last non-null value). "before" leaves the current row out. `reverse` runs from the end to the start.
+    (last non-null value). "before" leaves the current row out. `reverse` runs from the end to the start. A NULL key or
+    position is an error.
     """
     part = [*keys, "_blk"]
-    d = df.withColumn("_blk", block_id(idx, rows))
+    d = present(df, *keys, idx).withColumn("_blk", block_id(idx, rows))
     order = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
     sign = f"(-`{idx}`)" if reverse else f"`{idx}`"
     d = d.withColumn("_ord", F.expr(sign))
@@ -133,7 +150,7 @@ def running(
 
 def with_group(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     """Attach per-key aggregates. The aggregate is combined before its shuffle and joined back as one row per key."""
-    return df.join(df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys)
+    return join_on(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys)
 
 
 def in_spans(

@@ -103,10 +103,10 @@ def multi_crop_mean(rows: DataFrame, keys: list[str], idx: str, pools: dict[str,
     return pooled.groupBy(*keys).agg(*[F.avg(F.col(n) / length).alias(n) for n in pools])
 
 
-def log_rows(wide: DataFrame, step: str, tags: list[str], every: int) -> DataFrame:
-    """(step, tag, val) of a wide metric table at every `every`-th step."""
+def log_rows(wide: DataFrame, step: str, every: int) -> DataFrame:
+    """(step, tag, val) of a wide metric table at every `every`-th step: every column but `step` is a tag."""
     picked = wide.where(F.col(step) % every == 0)
-    return picked.unpivot([step], tags, "tag", "val").where("val IS NOT NULL")
+    return picked.unpivot([step], [c for c in wide.columns if c != step], "tag", "val").where("val IS NOT NULL")
 
 
 def histogram(log: DataFrame, keys: list[str], val: str, bins: int) -> DataFrame:

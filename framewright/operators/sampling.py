@@ -25,20 +25,21 @@ def span_mask(rows: DataFrame, keys: list[str], idx: str, share: float, length:
     )
 
 
-def collate_pad(rows: DataFrame, batch: str, item: str, idx: str, x: str, longest: int) -> DataFrame:
+def collate_pad(rows: DataFrame, batch: str, item: str, idx: str, x: str) -> DataFrame:
     """Zero-pad every item of a batch to the longest one, items ordered by falling length.
 
-    `rows` has batch, item, idx, x; items are cut to `longest` first, so padding per item is bounded by it.
+    `rows` has batch, item, idx, x, with idx dense from 0. Items keep all of their rows; limit lengths before, if need be. Padding is
+    made block by block, so that no row holds more than 65,536 positions.
     """
-    cut = rows.where(F.col(idx) < longest)
-    items = cut.groupBy(batch, item).agg(F.count(F.lit(1)).alias("length"))
+    items = rows.groupBy(batch, item).agg(F.count(F.lit(1)).alias("length"))
     order = W.partitionBy(batch).orderBy(F.desc("length"), item)
     placed = with_group(items, [batch], _top=F.max("length")).withColumn("pos", (F.row_number().over(order) - 1).cast("bigint"))
     short = placed.where(F.col("length") < F.col("_top"))
-    zeros = short.select(
-        batch, item, "pos", "length", F.explode(F.expr("sequence(length, _top - 1)")).alias(idx), F.lit(0.0).alias(x)
+    blocks = short.select("*", F.explode(F.expr("sequence(length, _top - 1, 65536L)")).alias("_from"))
+    zeros = blocks.select(
+        batch, item, "pos", "length", F.explode(F.expr("sequence(_from, least(_from + 65535, _top - 1))")).alias(idx), F.lit(0.0).alias(x)
     )
-    data = cut.join(placed.drop("_top"), [batch, item]).select(batch, item, "pos", "length", idx, x)
+    data = rows.join(placed.drop("_top"), [batch, item]).select(batch, item, "pos", "length", idx, x)
     return data.unionByName(zeros)
 
 

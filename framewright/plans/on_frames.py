@@ -578,7 +578,7 @@ def random_slices(spark, d):
         "series",
         """SELECT batch, pos, sid, i AS idx, length, round(coalesce(x, 0), 6) AS x FROM (SELECT *, unnest(generate_series(0, top - 1))
         AS i FROM (SELECT sid, sid // 8 AS batch, n AS length, row_number() OVER (PARTITION BY sid // 8 ORDER BY n DESC, sid) - 1
-        AS pos, max(n) OVER (PARTITION BY sid // 8) AS top FROM (SELECT sid, least(count(*), 400) AS n FROM series GROUP BY sid)))
+        AS pos, max(n) OVER (PARTITION BY sid // 8) AS top FROM (SELECT sid, count(*) AS n FROM series GROUP BY sid)))
         LEFT JOIN series USING (sid) WHERE series.idx = i OR (series.idx = 0 AND i >= length)""".replace(
             "round(coalesce(x, 0), 6)", "CASE WHEN i < length THEN x ELSE 0 END"
         ),
@@ -588,7 +588,7 @@ def collate_pad(spark, d):
     from framewright.operators.sampling import collate_pad as collate
 
     items = V.series(spark, d).select("sid", "idx", "x", F.expr("sid div 8").alias("batch"))
-    return collate(items, "batch", "sid", "idx", "x", 400).select("batch", "pos", "sid", "idx", "length", "x")
+    return collate(items, "batch", "sid", "idx", "x").select("batch", "pos", "sid", "idx", "length", "x")
 
 
 @query(

@@ -128,9 +128,6 @@ def multi_crop_mean(spark, d):
     return out.select("sid", *[r6(n).alias(n) for n in pools])
 
 
-TAGS = ["click", "error", "purchase", "signup", "view"]
-
-
 @query(
     "log_unpivot",
     V.sql(
@@ -139,8 +136,8 @@ TAGS = ["click", "error", "purchase", "signup", "view"]
     ),
 )
 def log_unpivot(spark, d):
-    wide = V.log(spark, d).groupBy(F.expr("step div 10").alias("step")).pivot("tag", TAGS).agg(F.avg("val"))
-    return M.log_rows(wide, "step", TAGS, 5).select("step", "tag", r6("val").alias("val"))
+    wide = V.log(spark, d).groupBy(F.expr("step div 10").alias("step")).pivot("tag").agg(F.avg("val"))
+    return M.log_rows(wide, "step", 5).select("step", "tag", r6("val").alias("val"))
 
 
 @query(

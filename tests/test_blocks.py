@@ -93,3 +93,24 @@ def test_split_on_silence_drops_a_silent_key(spark):
     df = spark.createDataFrame(rows, "sid bigint, idx bigint, x double")
     out = FR.split_on_silence(df, ["sid"], "idx", "x", 4, 1.0, 1, rows=3).orderBy("idx").collect()
     assert [(r["sid"], r["idx"], r["out_idx"]) for r in out] == [(1, 0, 0), (1, 1, 1), (1, 8, 2), (1, 9, 3)]
+
+
+def test_null_keys_are_kept_or_refused(spark):
+    rows = spark.createDataFrame([(1, 0, 1.0), (None, 0, 2.0), (None, 1, 4.0)], "sid bigint, idx bigint, x double")
+    grouped = B.with_group(rows, ["sid"], top=F.max("x"))
+    assert sorted((r["top"] for r in grouped.collect())) == [1.0, 4.0, 4.0]
+    lost = spark.createDataFrame([(1, 0, 1.0), (1, None, 2.0)], "sid bigint, idx bigint, x double")
+    assert B.framed(lost, ["sid"], "idx", 1, 1, lambda w: {"n": F.count("x").over(w)}).count() == 2
+    for bad in (rows, lost):
+        with pytest.raises(Exception, match="a row of a series needs"):
+            B.running(bad, ["sid"], "idx", {"s": ("sum", F.col("x"))}).collect()
+    with pytest.raises(Exception, match="a row of a series needs"):
+        B.ordinal(rows, ["sid"], ["idx"], F.lit(0)).collect()
+
+
+def test_items_longer_than_the_others_are_padded_whole(spark):
+    from framewright.operators.sampling import collate_pad
+
+    rows = spark.range(1000).selectExpr("0 AS b", "1 AS i", "id AS idx", "1.0D AS x").union(spark.range(3).selectExpr("0", "2", "id", "1.0D"))
+    out = collate_pad(rows, "b", "i", "idx", "x")
+    assert {(r["i"], r["n"], r["s"]) for r in out.groupBy("i").agg(F.count("x").alias("n"), F.sum("x").alias("s")).collect()} == {(1, 1000, 1000.0), (2, 1000, 3.0)}
