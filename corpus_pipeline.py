@@ -4,12 +4,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framewright.llm import bpe, decontaminate, langid, secret_scan, simhash
-from framewright.llm.common import fresh, table
+from framewright.llm.common import BATCH_ROWS, fresh, table
 from framewright.session import cut
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents in which a language is recognised; those without letters, or null, go."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     model = langid.learn(docs)
     name = fresh(docs, "language_found")
     return docs.withColumn(name, langid.predictor(model)("text")["lang_pred"]).where(F.col(name) != "und").drop(name)
@@ -33,10 +34,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode the text that is left: ids as little-endian 32-bit integers, their number, and the hash of what they decode to."""
-    path = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.encode(docs, path).select("doc_id", "ids", bpe.decoder(path)("ids").alias("decoded"))
-    return coded.select("doc_id", F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Encode the text that is left and decode it again: the number of ids, their hash and that of the decoded text."""
+    return bpe.digest(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("language_id", language), ("simhash_dedup", near_duplicates), ("decontamination", decontamination), ("secret_scan", secrets), ("bpe", tokens)]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from framewright.llm.common import scan
+from framewright.llm.common import process_cache, scan
 
 #: Texts of more characters are cut into pieces of at most PIECE.
 LONG, PIECE = 1 << 15, 1 << 14
@@ -31,16 +31,23 @@ class Words:
     """Ids of whole texts through the ids of their words, kept for as long as a bounded memo holds them.
 
     White space always ends a token of this kind of tokenizer and is dropped, so the words between spaces and line ends are
-    encoded independently; the library encodes each word, with all of its normalisation and special tokens.
+    encoded independently; the library encodes each word, with all of its normalisation and special tokens. When the memo is
+    full, long words leave it first, as they recur least.
     """
 
-    def __init__(self, path: str, room: int = 400_000) -> None:
+    def __init__(self, path: str, room: int = 100_000) -> None:
         self.tokenizer, self.memo, self.room = load(path), {}, room
 
+    @classmethod
+    def kept(cls, path: str) -> "Words":
+        cache = process_cache()
+        return cache.get(("words", path)) or cache.setdefault(("words", path), cls(path))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.memo) > self.room:
-            self.memo.clear()
+            short = {k: v for k, v in self.memo.items() if len(k) <= 9}
+            self.memo = short if len(short) <= self.room // 2 else {}
         memo = self.memo
         missing = list({w for words in split for w in words if w not in memo})
         for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
@@ -48,7 +55,7 @@ class Words:
         return [b"".join([memo[w] for w in words]) for words in split]
 
 
-def chunks(texts: list, size: int = 1 << 20) -> Iterator[list]:
+def chunks(texts: list, size: int = 1 << 19) -> Iterator[list]:
     """Consecutive texts of about `size` characters together."""
     held, n = [], 0
     for t in texts:
@@ -61,12 +68,26 @@ def chunks(texts: list, size: int = 1 << 20) -> Iterator[list]:
         yield held
 
 
-def short_encoder(path: str):
-    @arrow_udf("binary")
+def namer(tokenizer):
+    """Function from a list of ids to the text that the library decodes them to, special tokens kept."""
+    if tokenizer.decoder is None:
+        names = {i: t for t, i in tokenizer.get_vocab(with_added_tokens=True).items()}
+        return lambda ids: " ".join(map(names.__getitem__, ids))
+    return lambda ids: tokenizer.decode(ids, skip_special_tokens=False)
+
+
+def short_coder(path: str, decoded: bool):
+    """UDF: text to its ids and, if asked for, what they decode to."""
+    fields = [("ids", pa.binary()), ("decoded", pa.string())]
+
+    @arrow_udf("struct<ids:binary,decoded:string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = Words(path)
+        words = Words.kept(path)
+        name = namer(words.tokenizer)
         for batch in batches:
-            yield pa.array([ids for part in chunks(batch.to_pylist()) for ids in words.encode(part)], pa.binary())
+            ids = [i for part in chunks(batch.to_pylist()) for i in words.encode(part)]
+            text = [name(np.frombuffer(b, "<u4").tolist()) if decoded else None for b in ids]
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(text, pa.string())], fields=[pa.field(*f) for f in fields])
 
     return run
 
@@ -78,6 +99,7 @@ class Pieces:
         self.whole, self.plain = load(path), load(path)
         self.plain.normalizer = None
         self.plain.encode_special_tokens = True
+        self.name = namer(self.whole)
         self.special = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
 
     def sections(self, text: str) -> Iterator[tuple[str, int]]:
@@ -145,8 +167,8 @@ class Pieces:
         return pieces[0][1]
 
 
-def encode_long(docs: DataFrame, path: str, piece: int) -> DataFrame:
-    """(doc_id, ids) of texts that are cut into pieces: one shuffle spreads the pieces, one gathers those of a text."""
+def encode_long(docs: DataFrame, path: str, piece: int, decoded: bool) -> DataFrame:
+    """(doc_id, ids, decoded) of texts that are cut into pieces: one shuffle spreads the pieces, one gathers those of a text."""
 
     def cutter():
         codec = Pieces(path)
@@ -180,12 +202,22 @@ def encode_long(docs: DataFrame, path: str, piece: int) -> DataFrame:
         pdf = pdf.sort_values(["part", "piece"])
         for _, part in pdf.groupby("part", sort=True):
             out.append(codec.tree([(t, np.frombuffer(k, "<i4").reshape(-1, 3).astype(np.int64)) for t, k in zip(part["text"], part["tokens"])])[:, 0])
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1].astype("Int64"), "ids": [np.concatenate(out).astype("<u4").tobytes()]})
+        ids = np.concatenate(out).astype("<u4")
+        text = codec.name(ids.tolist()) if decoded else None
+        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1].astype("Int64"), "ids": [ids.tobytes()], "decoded": [text]})
 
     head = "row bigint, doc_id bigint, part int, piece int, text string"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     spread = scan(rows, f"{head}, id bigint", cutter).repartition("row", "part", "piece")
-    return scan(spread, f"{head}, tokens binary", leaves).groupBy("row").applyInPandas(gather, "doc_id bigint, ids binary")
+    return scan(spread, f"{head}, tokens binary", leaves).groupBy("row").applyInPandas(gather, "doc_id bigint, ids binary, decoded string")
+
+
+def code(docs: DataFrame, path: str, decoded: bool = True, long: int = LONG, piece: int = PIECE) -> DataFrame:
+    """(doc_id, ids, decoded) for every row of `docs` (doc_id, text): ids as `encode` gives them, and the text they decode to."""
+    rows = docs.select("doc_id", "text")
+    size = F.coalesce(F.length("text"), F.lit(0))
+    short = rows.where(size <= long).select("doc_id", short_coder(path, decoded)("text").alias("c")).select("doc_id", "c.ids", "c.decoded")
+    return short.unionByName(encode_long(rows.where(size > long), path, piece, decoded))
 
 
 def encode(docs: DataFrame, path: str, long: int = LONG, piece: int = PIECE) -> DataFrame:
@@ -195,10 +227,7 @@ def encode(docs: DataFrame, path: str, long: int = LONG, piece: int = PIECE) ->
     encoded in parallel and joined as a tree, each join re-encoding a growing window round it until both sides agree.
     A null or empty text has no ids; repeated rows are repeated; other columns are ignored; no rows give none.
     """
-    rows = docs.select("doc_id", "text")
-    size = F.coalesce(F.length("text"), F.lit(0))
-    short = rows.where(size <= long).select("doc_id", short_encoder(path)("text").alias("ids"))
-    return short.unionByName(encode_long(rows.where(size > long), path, piece))
+    return code(docs, path, False, long, piece).select("doc_id", "ids")
 
 
 def decoder(path: str):
@@ -206,12 +235,7 @@ def decoder(path: str):
 
     @arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokenizer = load(path)
-        if tokenizer.decoder is None:
-            names = {i: t for t, i in tokenizer.get_vocab(with_added_tokens=True).items()}
-            text = lambda ids: " ".join(map(names.__getitem__, ids))
-        else:
-            text = lambda ids: tokenizer.decode(ids, skip_special_tokens=False)
+        text = namer(load(path))
         for batch in batches:
             yield pa.array([None if b is None else text(np.frombuffer(b, "<u4").tolist()) for b in batch.to_pylist()], pa.string())
 
@@ -225,8 +249,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """Token count and the hashes of ids and decoded text, one row per document."""
-    both = encode(docs, path).select("doc_id", "ids", decoder(path)("ids").alias("decoded"))
-    return both.select(
+    return code(docs, path).select(
         "doc_id",
         F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

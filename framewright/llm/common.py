@@ -6,7 +6,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+#: Rows that a Python worker gets at a time. Texts are long, and a worker holds a batch and what it makes of it.
+BATCH_ROWS = 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus; from then on the session sends rows to Python workers in batches of at most BATCH_ROWS."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.functions import arrow_udf
 from framewright.llm.bpe import chunks
 
 #: Bounds of the model: characters of text per language, characters of a sampled piece, letters, languages.
-TRAIN_CHARS, SAMPLE_PIECE, MAX_LETTERS, MAX_LANGUAGES = 1 << 16, 512, 126, 64
+TRAIN_CHARS, SAMPLE_PIECE, MAX_LETTERS, MAX_LANGUAGES = 1 << 15, 512, 126, 64
 #: Phrases end every so many characters at the latest, so that the pieces of a text are parsed side by side.
 LANE = 256
 SEPARATOR, SPACE = 0, 1
