@@ -11,8 +11,9 @@ from framewright.llm.common import scan
 from framewright.session import cut
 
 #: Vectors per list on average; lists at most; rows that centroids are fitted on; copies of a boundary vector at most;
-#: distance ratio within which a vector is copied; rows per search block; queries that the ratio is set with; recall aimed at.
-LIST_ROWS, MAX_LISTS, SAMPLE_ROWS, COPIES, CLOSE, BLOCK, PROBE_QUERIES, AIM = 512, 4096, 16_384, 4, 0.1, 4096, 200, 0.97
+#: distance ratio within which a vector is copied; rows per search block; queries that the ratio is set with; recall aimed at;
+#: lists of a query that are searched first, whose k-th best score the other lists must reach.
+LIST_ROWS, MAX_LISTS, SAMPLE_ROWS, COPIES, CLOSE, BLOCK, PROBE_QUERIES, AIM, NEAR = 512, 4096, 16_384, 2, 0.1, 4096, 200, 0.97, 8
 DEGREE = 16
 
 
@@ -89,18 +90,10 @@ class Centroids:
         return ids, np.sqrt(dist)
 
     def homes(self, x: np.ndarray) -> list[list[int]]:
-        """Lists of every vector: its nearest, and near ones that are not closer to a list it already has."""
+        """Lists of every vector: its nearest, and for a vector on a boundary the next ones that are hardly farther."""
         ids, dist = self.search(x, 4 * COPIES)
-        out = []
-        for row, d in zip(ids.tolist(), dist.tolist()):
-            mine: list[int] = []
-            for c, far in zip(row, d):
-                if far > (1 + CLOSE) * d[0] or len(mine) == COPIES:
-                    break
-                if all(np.linalg.norm(self.points[c] - self.points[m]) > far for m in mine):
-                    mine.append(c)
-            out.append(mine or row[:1])
-        return out
+        near = dist[:, :COPIES] <= (1 + CLOSE) * dist[:, :1]
+        return [row[keep].tolist() for row, keep in zip(ids[:, :COPIES], near)]
 
     def probes(self, q: np.ndarray, ratio: float) -> list[list[int]]:
         """Lists within `ratio` of the nearest one's distance; the search widens until the ratio is passed."""
@@ -124,16 +117,18 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def best_pairs(queries: np.ndarray, q_ids: np.ndarray, base: np.ndarray, b_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of `base` for every query but itself, largest product first, ties to the smaller id."""
+def best_pairs(queries: np.ndarray, q_ids: np.ndarray, base: np.ndarray, b_ids: np.ndarray, k: int, least: np.ndarray | None = None) -> pd.DataFrame:
+    """The k best of `base` for every query but itself, largest product first, ties to the smaller id; none below `least` of the query."""
     out = []
+    least = np.full(len(queries), -np.inf) if least is None else least
     (q_ids, i), (b_ids, j) = np.unique(q_ids, return_index=True), np.unique(b_ids, return_index=True)
-    queries, base = queries[i], base[j]  # repeated rows count once
+    queries, least, base = queries[i], least[i], base[j]  # repeated rows count once
     for begin in range(0, len(queries), 512):
         q, own = queries[begin : begin + 512], q_ids[begin : begin + 512]
         rough = q @ base.T
         rough[own[:, None] == b_ids[None]] = -np.inf
         kth = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(q), -np.inf)
+        kth = np.maximum(kth, least[begin : begin + 512])
         slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(kth), kth, 0)))
         i, j = np.nonzero((rough >= (kth - slack)[:, None]) & np.isfinite(rough))
         out.append(pd.DataFrame({"query_id": own[i], "vec_id": b_ids[j], "score": exact(q[i], base[j])}))
@@ -179,8 +174,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, aim: float = AIM
     """(query_id, rank, vec_id, score): the k nearest found of `vectors` (vec_id, embedding) for each of `queries` (same columns).
 
     Inner products become distances by one more component that gives all vectors the largest norm. Centroids are fitted to
-    a sample of at most 16,384 rows; every row is indexed, boundary vectors in up to four lists. A query reads the lists whose
-    centroid is within a ratio of its nearest one's distance. The ratio is set so that a share `aim` of the true neighbours of 200
+    a sample of at most 16,384 rows; every row is indexed, boundary vectors in two lists. A query reads the lists whose
+    centroid is within a ratio of its nearest one's distance; the nearest eight are searched first, and from the others only
+    vectors are taken that reach the k-th best score found there, which loses none of the k best. The ratio is set so that a share `aim` of the true neighbours of 200
     sampled queries, found by brute force, lies in such lists. Lists are searched in blocks of at most about 4,096 vectors by
     as many queries, so neither a large list nor a popular one is a large task, and no rows are left out.
 
@@ -218,25 +214,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, aim: float = AIM
         def work(ids, vs):
             for i in range(0, len(ids), 1024):
                 near = model.value.probes(flat(np.array(vs[i : i + 1024], float)), ratio)
-                yield {"list": [c for p in near for c in p], "query_id": [v for v, p in zip(ids[i : i + 1024], near) for _ in p], "q": [v for v, p in zip(vs[i : i + 1024], near) for _ in p]}
+                yield {
+                    "list": [c for p in near for c in p],
+                    "query_id": [v for v, p in zip(ids[i : i + 1024], near) for _ in p],
+                    "q": [v for v, p in zip(vs[i : i + 1024], near) for _ in p],
+                    "place": [j for p in near for j in range(len(p))],
+                }
 
         return work
 
-    probes = cut(scan(asked, "list int, query_id bigint, q array<double>", prober))
+    probes = cut(scan(asked, "list int, query_id bigint, q array<double>, place int", prober))
+    first = cut(ranked(tiled(postings, probes.where(F.col("place") < NEAR).withColumn("least", F.lit(-math.inf)), k), k))
+    bound = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    others = probes.where(F.col("place") >= NEAR).join(bound, "query_id", "left").fillna(-math.inf, ["least"])
+    return ranked(first.select("query_id", "vec_id", "score").unionByName(tiled(postings, others, k)), k)
+
+
+def tiled(postings: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each list for the queries that read it, `least` at least, by blocks of both."""
     blocks = lambda t, name: t.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
     shape = F.broadcast(blocks(postings, "nb").join(blocks(probes, "nq"), "list"))  # a row per list, at most 4,096
     spread = lambda c, m, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.col(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
     left = postings.join(shape, "list").select("list", spread("vec_id", "nb", 5).alias("b"), every("nq").alias("p"), "vec_id", "v")
-    right = probes.join(shape, "list").select("list", every("nb").alias("b"), spread("query_id", "nq", 6).alias("p"), "query_id", "q")
+    right = probes.join(shape, "list").select("list", every("nb").alias("b"), spread("query_id", "nq", 6).alias("p"), "query_id", "q", "least")
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return best_pairs(np.stack(b["q"].to_list()), b["query_id"].to_numpy(), np.stack(a["v"].to_list()), a["vec_id"].to_numpy(), k)
+        arrays = np.stack(b["q"].to_list()), b["query_id"].to_numpy(), np.stack(a["v"].to_list()), a["vec_id"].to_numpy()
+        return best_pairs(*arrays, k, b["least"].to_numpy(float))
 
-    found = left.groupBy("list", "b", "p").cogroup(right.groupBy("list", "b", "p")).applyInPandas(tile, FOUND)
-    return ranked(found, k)
+    return left.groupBy("list", "b", "p").cogroup(right.groupBy("list", "b", "p")).applyInPandas(tile, FOUND)
 
 
 def calibrated(rows: DataFrame, postings: DataFrame, asked: DataFrame, model: Centroids, flat, k: int, aim: float) -> float:
