@@ -7,32 +7,122 @@ from itertools import chain
 from pyspark.sql import Column, functions as F
 
 # Language code and name of every supported language, in the supported order.
-LANGUAGES = """
-en english, zh chinese, de german, es spanish, ru russian, ko korean, fr french, ja japanese, pt portuguese, tr turkish,
-pl polish, ca catalan, nl dutch, ar arabic, sv swedish, it italian, id indonesian, hi hindi, fi finnish, vi vietnamese,
-he hebrew, uk ukrainian, el greek, ms malay, cs czech, ro romanian, da danish, hu hungarian, ta tamil, no norwegian,
-th thai, ur urdu, hr croatian, bg bulgarian, lt lithuanian, la latin, mi maori, ml malayalam, cy welsh, sk slovak,
-te telugu, fa persian, lv latvian, bn bengali, sr serbian, az azerbaijani, sl slovenian, kn kannada, et estonian,
-mk macedonian, br breton, eu basque, is icelandic, hy armenian, ne nepali, mn mongolian, bs bosnian, kk kazakh,
-sq albanian, sw swahili, gl galician, mr marathi, pa punjabi, si sinhala, km khmer, sn shona, yo yoruba, so somali,
-af afrikaans, oc occitan, ka georgian, be belarusian, tg tajik, sd sindhi, gu gujarati, am amharic, yi yiddish, lo lao,
-uz uzbek, fo faroese, ht haitian creole, ps pashto, tk turkmen, nn nynorsk, mt maltese, sa sanskrit, lb luxembourgish,
-my myanmar, bo tibetan, tl tagalog, mg malagasy, as assamese, tt tatar, haw hawaiian, ln lingala, ha hausa, ba bashkir,
-jw javanese, su sundanese
-"""
+NAME_OF = {
+    "en": "english",
+    "zh": "chinese",
+    "de": "german",
+    "es": "spanish",
+    "ru": "russian",
+    "ko": "korean",
+    "fr": "french",
+    "ja": "japanese",
+    "pt": "portuguese",
+    "tr": "turkish",
+    "pl": "polish",
+    "ca": "catalan",
+    "nl": "dutch",
+    "ar": "arabic",
+    "sv": "swedish",
+    "it": "italian",
+    "id": "indonesian",
+    "hi": "hindi",
+    "fi": "finnish",
+    "vi": "vietnamese",
+    "he": "hebrew",
+    "uk": "ukrainian",
+    "el": "greek",
+    "ms": "malay",
+    "cs": "czech",
+    "ro": "romanian",
+    "da": "danish",
+    "hu": "hungarian",
+    "ta": "tamil",
+    "no": "norwegian",
+    "th": "thai",
+    "ur": "urdu",
+    "hr": "croatian",
+    "bg": "bulgarian",
+    "lt": "lithuanian",
+    "la": "latin",
+    "mi": "maori",
+    "ml": "malayalam",
+    "cy": "welsh",
+    "sk": "slovak",
+    "te": "telugu",
+    "fa": "persian",
+    "lv": "latvian",
+    "bn": "bengali",
+    "sr": "serbian",
+    "az": "azerbaijani",
+    "sl": "slovenian",
+    "kn": "kannada",
+    "et": "estonian",
+    "mk": "macedonian",
+    "br": "breton",
+    "eu": "basque",
+    "is": "icelandic",
+    "hy": "armenian",
+    "ne": "nepali",
+    "mn": "mongolian",
+    "bs": "bosnian",
+    "kk": "kazakh",
+    "sq": "albanian",
+    "sw": "swahili",
+    "gl": "galician",
+    "mr": "marathi",
+    "pa": "punjabi",
+    "si": "sinhala",
+    "km": "khmer",
+    "sn": "shona",
+    "yo": "yoruba",
+    "so": "somali",
+    "af": "afrikaans",
+    "oc": "occitan",
+    "ka": "georgian",
+    "be": "belarusian",
+    "tg": "tajik",
+    "sd": "sindhi",
+    "gu": "gujarati",
+    "am": "amharic",
+    "yi": "yiddish",
+    "lo": "lao",
+    "uz": "uzbek",
+    "fo": "faroese",
+    "ht": "haitian creole",
+    "ps": "pashto",
+    "tk": "turkmen",
+    "nn": "nynorsk",
+    "mt": "maltese",
+    "sa": "sanskrit",
+    "lb": "luxembourgish",
+    "my": "myanmar",
+    "bo": "tibetan",
+    "tl": "tagalog",
+    "mg": "malagasy",
+    "as": "assamese",
+    "tt": "tatar",
+    "haw": "hawaiian",
+    "ln": "lingala",
+    "ha": "hausa",
+    "ba": "bashkir",
+    "jw": "javanese",
+    "su": "sundanese",
+}
 # Further names of a language.
-ALIASES = """
-burmese my, valencian ca, flemish nl, haitian ht, letzeburgesch lb, pushto ps, panjabi pa, moldavian ro, moldovan ro,
-sinhalese si, castilian es
-"""
-
-
-def _entries(text: str) -> list[str]:
-    return [" ".join(e.split()) for e in text.split(",")]
-
-
-NAME_OF = dict(e.split(" ", 1) for e in _entries(LANGUAGES))
-CODE_OF = {name: code for code, name in NAME_OF.items()} | dict(e.rsplit(" ", 1) for e in _entries(ALIASES))
+ALIASES = {
+    "burmese": "my",
+    "valencian": "ca",
+    "flemish": "nl",
+    "haitian": "ht",
+    "letzeburgesch": "lb",
+    "pushto": "ps",
+    "panjabi": "pa",
+    "moldavian": "ro",
+    "moldovan": "ro",
+    "sinhalese": "si",
+    "castilian": "es",
+}
+CODE_OF = {name: code for code, name in NAME_OF.items()} | ALIASES
 
 
 def _lookup(pairs: dict[str, str], key: Column) -> Column:

@@ -42,7 +42,7 @@ def viterbi(
     """
     step, start = np.asarray(transition, float), np.asarray(initial, float)
     rows = frames.select(*keys, idx, scores)
-    long = frames.where(F.col(idx) == block).select(*keys)
+    long = frames.where(F.col(idx) >= block).select(*keys)
     short_path = _best_paths(rows, keys, idx, scores, step, start)
     if long.isEmpty():
         return short_path

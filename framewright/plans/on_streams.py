@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from framewright.plans import views as V
 from framewright.plans.on_frames import SEG
 from framewright.plans.on_scalars import r6
 from framewright.plans.registry import query
-from framewright.session import checkpoint_root
+from framewright.session import scratch
 from framewright.streaming import ingest, vad
 
 c = F.col
 
 
-def fresh(spark):
-    return f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
-
-
 def chunks(spark, d):
     events = ingest.watch(spark, d, "events*.parquet")
     return events.select(
@@ -40,7 +34,8 @@ GROUPS = {k: SEG[k] for k in ("kk", "st", "cl", "nu")}
     ),
 )
 def stream_vad(spark, d):
-    return ingest.drain(vad.speech_events(chunks(spark, d)), fresh(spark))
+    path = scratch(spark, "stream")
+    return ingest.drain(vad.speech_events(chunks(spark, d)), path).unionByName(vad.events_left(spark, path))
 
 
 @query(
@@ -56,13 +51,15 @@ def stream_vad(spark, d):
     ),
 )
 def stream_mask(spark, d):
-    return ingest.drain(vad.masked_samples(chunks(spark, d)), fresh(spark))
+    path = scratch(spark, "stream")
+    found = ingest.drain(vad.masked_samples(chunks(spark, d)), path).unionByName(vad.samples_left(spark, path))
+    return found.select("sid", "pos", F.when(~c("late"), c("x")).alias("x"))
 
 
 @query("stream_ingest_once", "SELECT event_id, user_id, value FROM events")
 def stream_ingest_once(spark, d):
     stream = ingest.once(ingest.watch(spark, d, "events*.parquet")).select("event_id", "user_id", "value")
-    return ingest.drain(stream, fresh(spark))
+    return ingest.drain(stream, scratch(spark, "stream"))
 
 
 @query(
@@ -72,5 +69,5 @@ def stream_ingest_once(spark, d):
     WHERE (w + 900) * 1000 <= (SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM events) GROUP BY event_type, w""",
 )
 def stream_chunk_features(spark, d):
-    out = ingest.drain(ingest.chunk_features(ingest.watch(spark, d, "events*.parquet"), ["event_type"]), fresh(spark))
+    out = ingest.drain(ingest.chunk_features(ingest.watch(spark, d, "events*.parquet"), ["event_type"]), scratch(spark, "stream"))
     return out.select("event_type", "start_s", "n", r6("mean").alias("mean"), r6("peak").alias("peak"))

@@ -16,13 +16,22 @@ def watch(spark: SparkSession, folder: str, pattern: str = "*.parquet", schema:
     return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def once(events: DataFrame, key: str = "event_id", delay: str = "1 hour") -> DataFrame:
-    """Each key once, even if it arrives again within the delay."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+def once(events: DataFrame, key: str = "event_id") -> DataFrame:
+    """The first arrival of each key, however late it comes.
+
+    Files are taken once by the stream's own checkpoint. The state holds every key seen, a few bytes each, spread over the
+    shuffle partitions; long-lived streams should keep it in RocksDB (`spark.sql.streaming.stateStore.providerClass`).
+    """
+    return events.dropDuplicates([key])
 
 
 def chunk_features(events: DataFrame, keys: list[str], width: str = "15 minutes", delay: str = "1 hour") -> DataFrame:
-    """Count, mean and peak of each window of each key; late rows beyond the delay are dropped."""
+    """Count, mean and peak of each window of each key.
+
+    On a stream a window comes out once the newest event is `delay` past its end, and rows that arrive later than that are
+    left out: so a watermark works. A finished input has neither limit: give its rows as a batch (`spark.read`), and every
+    window is put out with all of its rows.
+    """
     grouped = events.withWatermark("ts", delay).groupBy(F.window("ts", width), *keys)
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max("value").alias("peak")).select(
         *keys, F.unix_seconds("window.start").alias("start_s"), "n", "mean", "peak"

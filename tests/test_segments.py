@@ -124,31 +124,76 @@ def stream_rows(p, t=0.5, min_silence=2, pad=1):
     return events, states
 
 
+STREAM = "sid bigint, pos bigint, p double, x double"
+
+
+def series(probs):
+    keys = [k for k, p in probs.items() if len(p) >= 30]
+    return keys, [(k, i, v, 1.0 + i) for k in keys for i, v in enumerate(probs[k])]
+
+
+def streamed(spark, root, fn, out, **options):
+    stream = spark.readStream.schema(STREAM).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    return ingest.drain(fn(stream, **options), f"{root}/{out}")
+
+
+def put(spark, root, part):
+    spark.createDataFrame(part, STREAM).coalesce(1).write.mode("append").parquet(f"{root}/in")
+
+
+def all_events(probs, keys):
+    return sorted((k, *e) for k in keys for e in stream_rows(probs[k])[0])
+
+
+def all_samples(probs, keys):
+    return sorted((k, i, 1.0 + i if on else 0.0) for k in keys for i, on in enumerate(stream_rows(probs[k])[1]))
+
+
 def test_stream_across_batches_and_restart(spark, probs):
-    """Files arrive late and once more; the state carries over and a restart adds nothing."""
+    """Without waiting rows: files in order and one again; the state carries over, repeats are marked, a restart adds nothing."""
     root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    keys = [k for k, p in probs.items() if len(p) >= 30]
-    rows = [(k, i, v, 1.0 + i) for k in keys for i, v in enumerate(probs[k])]
-    schema = "sid bigint, pos bigint, p double, x double"
-
-    def put(part):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
-
-    def run(fn, out):
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-        return ingest.drain(fn(stream), f"{root}/{out}")
-
-    put([r for r in rows if r[1] < 10])
-    run(vad.speech_events, "events"), run(vad.masked_samples, "mask")
-    put([r for r in rows if 10 <= r[1] < 25])
-    put([r for r in rows if r[1] < 10])
-    run(vad.speech_events, "events"), run(vad.masked_samples, "mask")
-    put([r for r in rows if r[1] >= 25])
+    keys, rows = series(probs)
+
+    def run():
+        return streamed(spark, root, vad.speech_events, "events", hold=0), streamed(spark, root, vad.masked_samples, "mask", hold=0)
+
+    put(spark, root, [r for r in rows if r[1] < 10])
+    run()
+    put(spark, root, [r for r in rows if 10 <= r[1] < 25])
+    put(spark, root, [r for r in rows if r[1] < 10])
+    run()
+    put(spark, root, [r for r in rows if r[1] >= 25])
     for _ in range(2):
-        events, mask = run(vad.speech_events, "events"), run(vad.masked_samples, "mask")
-        assert sorted((r["sid"], r["kind"], r["at"]) for r in events.collect()) == sorted(
-            (k, *e) for k in keys for e in stream_rows(probs[k])[0]
-        )
-        assert sorted((r["sid"], r["pos"], r["x"]) for r in mask.collect()) == sorted(
-            (k, i, 1.0 + i if on else 0.0) for k in keys for i, on in enumerate(stream_rows(probs[k])[1])
-        )
+        events, mask = run()
+        assert sorted((r["sid"], r["kind"], r["at"]) for r in events.where("kind <> 'late'").collect()) == all_events(probs, keys)
+        assert sorted((r["sid"], r["pos"], r["x"]) for r in mask.where("NOT late").collect()) == all_samples(probs, keys)
+        again = sorted((k, i) for k in keys for i in range(10))
+        assert sorted((r["sid"], r["at"]) for r in events.where("kind = 'late'").collect()) == again
+        assert sorted((r["sid"], r["pos"]) for r in mask.where("late").collect()) == again
+
+
+@pytest.mark.parametrize("hold", [30, 4096])
+def test_stream_of_files_newest_first(spark, probs, hold):
+    """Rows wait for earlier ones; none is lost, and those left in the state are put out at the end."""
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    keys, rows = series(probs)
+    for low, high in ((20, 1 << 40), (10, 20), (0, 10)):
+        part = [r for r in rows if low <= r[1] < high and r[1] < 30]
+        put(spark, root, part + part[:1])
+        events, mask = streamed(spark, root, vad.speech_events, "events", hold=hold), streamed(spark, root, vad.masked_samples, "mask", hold=hold)
+    put(spark, root, [r for r in rows if r[1] >= 30] or rows[:1])
+    events, mask = streamed(spark, root, vad.speech_events, "events", hold=hold), streamed(spark, root, vad.masked_samples, "mask", hold=hold)
+    events, mask = events.unionByName(vad.events_left(spark, f"{root}/events")), mask.unionByName(vad.samples_left(spark, f"{root}/mask"))
+    assert sorted((r["sid"], r["kind"], r["at"]) for r in events.collect()) == all_events(probs, keys)
+    assert sorted((r["sid"], r["pos"], r["x"]) for r in mask.collect()) == all_samples(probs, keys)
+    assert mask.where("late").isEmpty()
+
+
+def test_ingest_keeps_late_first_arrivals(spark):
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    for hour in (9, 5, 1, 9):
+        rows = spark.range(hour * 10, hour * 10 + 10).selectExpr("id AS event_id", f"TIMESTAMP_NTZ'2024-01-0{hour} 00:00:00' AS ts")
+        rows = rows.selectExpr("*", "event_id % 3 AS user_id", "'a' AS event_type", "1D AS value", "'' AS props")
+        rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        out = ingest.drain(ingest.once(ingest.watch(spark, f"{root}/in", files_per_batch=1)), f"{root}/out")
+    assert sorted(r["event_id"] for r in out.collect()) == sorted(i for h in (1, 5, 9) for i in range(h * 10, h * 10 + 10))
