@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from framewright.functions.noise import digest
 from framewright.operators.blocks import hashed_ordinal
@@ -247,7 +247,27 @@ def build_index(vectors: DataFrame, keys: list[str], **options) -> tuple[DataFra
 
 
 def save_index(centroids: DataFrame, postings: DataFrame, path: str, keys: list[str], rewrite: bool = False) -> None:
-    """Write both tables partitioned by group. An existing index is an error unless `rewrite`."""
-    mode = "overwrite" if rewrite else "errorifexists"
-    centroids.write.mode(mode).partitionBy(*keys).parquet(f"{path}/centroids")
-    postings.write.mode(mode).partitionBy(*keys).parquet(f"{path}/postings")
+    """Write both tables partitioned by group. An existing index is an error unless `rewrite`.
+
+    Centroids come last: an index whose saving failed has none, cannot be loaded, and is saved again with `rewrite`.
+    """
+    if not rewrite:  # an existing index fails here, before any row is written
+        centroids.limit(0).write.mode("errorifexists").partitionBy(*keys).parquet(f"{path}/centroids")
+    postings.write.mode("overwrite").partitionBy(*keys).parquet(f"{path}/postings")
+    centroids.write.mode("overwrite").partitionBy(*keys).parquet(f"{path}/centroids")
+
+
+def load_index(spark: SparkSession, path: str, keys: dict[str, str], where: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Centroids and postings of a saved index. `keys` are its group columns and their types.
+
+    `where` is a condition on the group columns, such as one speaker, some features or a prefix; only the folders
+    of groups that meet it are read.
+    """
+
+    def part(name: str) -> DataFrame:
+        columns = spark.read.parquet(f"{path}/{name}").schema
+        ddl = ", ".join(f"`{c.name}` {keys.get(c.name, c.dataType.simpleString())}" for c in columns)
+        found = spark.read.schema(ddl).parquet(f"{path}/{name}")
+        return found if where is None else found.where(where)
+
+    return part("centroids"), part("postings")

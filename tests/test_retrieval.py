@@ -86,3 +86,18 @@ def test_index_is_not_overwritten_by_accident(base):
         R.save_index(cents, postings, path, ["spk"])
     R.save_index(cents, postings, path, ["spk"], rewrite=True)
     assert base.sparkSession.read.parquet(f"{path}/postings").count() == base.count()
+
+
+def test_saved_index_is_read_by_group(spark, base):
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/index"
+    named = base.withColumn("speaker", F.concat(F.lit("0"), "spk")).drop("spk")
+    cents = named.where("vec_id < 2").select("speaker", F.lit(0).cast("bigint").alias("cell"), "v")
+    R.save_index(cents, R.assign_cells(named, cents, ["speaker"]), path, ["speaker"])
+    _, everything = R.load_index(spark, path, {"speaker": "string"})
+    assert {r["speaker"]: r["count"] for r in everything.groupBy("speaker").count().collect()} == {"00": 30, "01": 30}
+    cents, postings = R.load_index(spark, path, {"speaker": "string"}, F.col("speaker").startswith("01"))
+    assert cents.count() == 1 and {r["speaker"] for r in postings.collect()} == {"01"}
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(speaker" in plan
+    queries = named.where("speaker = '01'").select("speaker", F.col("vec_id").alias("q"), "v")
+    assert R.knn_ivf(queries, postings, cents, 1, ["speaker"]).where("d2 = 0").count() == 30
