@@ -221,11 +221,16 @@ def stride_downsample(df: DataFrame, idx: str, step: int) -> DataFrame:
 
 
 def find_endpoint(df: DataFrame, keys, idx: str, x: str, window: int, threshold: float, **opts) -> DataFrame:
-    """First grid point followed by `window` quiet rows, plus one hop; the length if there is none."""
+    """First grid point followed by `window` quiet rows, plus one hop; the length if there is none.
+
+    What counts is how far the next loud row is, so the cost does not depend on the window. Missing values are quiet.
+    """
     hop = window // 4
-    quiet = framed(df, keys, idx, 0, window - 1, lambda w: {"_m": F.max(x).over(w.rowsBetween(0, window - 1))}, **opts)
-    sized = with_group(quiet, keys, _n=F.count(F.lit(1)))
-    here = (F.col(idx) >= hop) & (F.col(idx) % hop == 0) & (F.col(idx) < F.col("_n") - window) & (F.col("_m") < threshold)
+    loud = F.when(F.col(x) >= threshold, F.col(idx))
+    ahead = running(df, keys, idx, {"_next": ("last", loud)}, reverse=True, **opts)
+    sized = with_group(ahead, keys, _n=F.count(F.lit(1)))
+    quiet = F.coalesce(F.col("_next") - F.col(idx) >= window, F.lit(True))
+    here = (F.col(idx) >= hop) & (F.col(idx) % hop == 0) & (F.col(idx) < F.col("_n") - window) & quiet
     return sized.groupBy(*keys).agg(F.coalesce(F.min(F.when(here, F.col(idx))) + hop, F.max("_n")).alias("endpoint"))
 
 

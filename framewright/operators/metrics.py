@@ -147,6 +147,25 @@ def harmonic_sum(spectrum: DataFrame, keys: list[str], weights: dict[int, float]
     return sent.where((F.col("bin") >= 0) & (F.col("bin") < bins)).groupBy(*keys, "bin").agg(F.sum("_v").alias("salience"))
 
 
+# Fixed value: the guard inside the logarithm of relative levels (single precision epsilon).
+LEVEL_EPS = 1.1920928955078125e-07
+
+
+def compress_levels(rows: DataFrame, clip: list[str], x: str, beta: float, gamma: float) -> DataFrame:
+    """`x` to the power `beta` where it lies below `gamma` dB relative to the clip's peak, 0 elsewhere and in silent clips."""
+    peaked = with_group(rows, clip, _peak=F.max(x))
+    level = 20.0 * F.log10(F.try_divide(F.col(x), F.col("_peak")) + LEVEL_EPS)
+    return peaked.withColumn(x, F.when(level < gamma, F.pow(F.col(x), F.lit(beta))).otherwise(0.0)).drop("_peak")
+
+
+def salience(
+    spectrum: DataFrame, clip: list[str], frame: list[str], weights: dict[int, float], bins: int, beta: float, gamma: float
+) -> DataFrame:
+    """`harmonic_sum` of the compressed power, compressed once more: columns clip, frame, bin, salience."""
+    summed = harmonic_sum(compress_levels(spectrum, clip, "power", beta, gamma), [*clip, *frame], weights, bins)
+    return compress_levels(summed, clip, "salience", beta, gamma)
+
+
 def retention(rows: DataFrame, name: list[str], row_id: str, newest: list, keep: int, protected: Column | None = None) -> DataFrame:
     """Rows to delete: all but the `keep` newest of each name; nothing if `keep` is 0. Protected rows do not count.
 

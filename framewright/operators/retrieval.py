@@ -117,7 +117,8 @@ def nearest(
 def soft_codes(queries: DataFrame, codes: DataFrame, temperature: float = 0.1, tile: int = TILE) -> DataFrame:
     """Best code of each query and its softmax probability, from cosine / temperature against every code.
 
-    Columns: q, code, logit, prob. Logits are within ±1/temperature, so exponentials add up without a shift.
+    Columns: q, code, logit, prob. Each tile adds up its exponentials relative to its own best logit, and the tiles of a
+    query are put together relative to the best of all, so that no temperature overflows.
     """
     left, right = _tiles(queries.select("q", "v"), codes.select("code", "v"), [], "q", "code", tile)
 
@@ -135,17 +136,18 @@ def soft_codes(queries: DataFrame, codes: DataFrame, temperature: float = 0.1, t
                 "q": pa.array(qs["q"].to_numpy().astype(np.int64)),
                 "code": pa.array(ids[top].astype(np.int64)),
                 "logit": pa.array(logits[np.arange(len(top)), top]),
-                "total": pa.array(np.exp(logits).sum(1)),
+                "total": pa.array(np.exp(logits - logits.max(1, keepdims=True)).sum(1)),
             }
         )
 
     scored = left.groupBy("_qb", "_vb").cogroup(right.groupBy("_qb", "_vb")).applyInArrow(
         score, "q bigint, code bigint, logit double, total double"
     )
-    return scored.groupBy("q").agg(
+    shifted = scored.withColumn("_top", F.max("logit").over(W.partitionBy("q")))
+    return shifted.groupBy("q").agg(
         F.expr("max_by(code, struct(logit, -code))").alias("code"),
         F.max("logit").alias("logit"),
-        (F.exp(F.max("logit")) / F.sum("total")).alias("prob"),
+        (1.0 / F.sum(F.col("total") * F.exp(F.col("logit") - F.col("_top")))).alias("prob"),
     )
 
 

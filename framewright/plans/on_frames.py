@@ -174,8 +174,8 @@ def segment_drop(spark, d):
     ),
 )
 def interval_mask(spark, d):
-    fast = FR.repeat_upsample(V.series(spark, d).select("sid", "idx", "x"), "idx", 2)
-    return SG.mask_outside(fast, found_segments(spark, d), KEY, "idx", "x", 2).select("sid", "idx", "inside", "x")
+    masked = SG.mask_outside(V.series(spark, d).select("sid", "idx", "x"), found_segments(spark, d), KEY, "idx", "x")
+    return FR.repeat_upsample(masked, "idx", 2).select("sid", "idx", "inside", "x")
 
 
 @query("threshold_at", V.sql("pitch", "SELECT sid, idx, CASE WHEN NOT per < 0.3 THEN f0 END AS f0 FROM pitch"))
@@ -247,36 +247,6 @@ def peak_locations(spark, d):
     return FR.peaks(V.pitch(spark, d), KEY, "idx", "f0").select("sid", "idx", "peak")
 
 
-DIP = dict(
-    nb=f"SELECT sid, idx, x, lag(x) {OVER}) AS p, lead(x) {OVER}) AS n FROM series",
-    rg="SELECT *, x < p AND x < n AND x < 5 AS dip FROM nb WHERE idx >= 2 AND idx < 40",
-    bs="""SELECT sid, min(idx) FILTER (WHERE dip) AS d, arg_min(idx, (x, idx)) AS m FROM rg GROUP BY sid""",
-)
-
-
-@query("local_minima", V.sql("series", "SELECT sid, coalesce(d, m) AS lag, d IS NOT NULL AS dip FROM bs", **DIP))
-def local_minima(spark, d):
-    return FR.first_dip(V.series(spark, d), KEY, "idx", "x", 5.0, 2, 40).select("sid", "lag", "dip")
-
-
-A_SQL = f"({FR.EPS!r} + (p + n - 2 * x) / 2)"
-
-
-@query(
-    "parabolic_refine",
-    V.sql(
-        "series",
-        f"""SELECT sid, round(CASE WHEN d IS NULL THEN m ELSE d - ((n - p) / 2) / (2 * {A_SQL}) END, 6) AS vertex,
-        round(CASE WHEN d IS NULL THEN x ELSE x - pow((n - p) / 2, 2) / (4 * {A_SQL}) END, 6) AS depth
-        FROM bs JOIN nb USING (sid) WHERE idx = coalesce(d, m)""",
-        **DIP,
-    ),
-)
-def parabolic_refine(spark, d):
-    out = FR.first_dip(V.series(spark, d), KEY, "idx", "x", 5.0, 2, 40)
-    return out.select("sid", r6("vertex").alias("vertex"), r6("depth").alias("depth"))
-
-
 @query(
     "phase_accumulate",
     V.sql(

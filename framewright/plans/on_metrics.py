@@ -188,6 +188,29 @@ def harmonic_sum(spark, d):
     return out.select("t", "bin", r6("salience").alias("salience"))
 
 
+CUT = lambda x: f"""CASE WHEN 20 * log10({x} / max({x}) OVER (PARTITION BY clip) + 1.1920928955078125e-07) < -3 THEN sqrt({x})
+    ELSE 0 END"""
+
+
+@query(
+    "salience_levels",
+    V.sql(
+        "",
+        f"""SELECT clip, t, bin, round({CUT('v')}, 6) AS salience FROM (SELECT clip, t, bin - o AS bin, sum(p * w) AS v FROM
+        (SELECT t // 64 AS clip, t, bin, {CUT('power')} AS p FROM (SELECT t // 64 AS clip, * FROM power)), h
+        WHERE bin - o BETWEEN 0 AND 60 GROUP BY clip, t, bin - o)""",
+        power=POWER,
+        h="""SELECT CAST(round(log2(k + 1) * 12) AS BIGINT) + o AS o, sum(pow(0.8, k) * pow(cos(o * pi() / 4), 2)) AS w
+            FROM range(3) a(k), range(-1, 2) b(o) GROUP BY ALL""",
+    ),
+)
+def salience_levels(spark, d):
+    """Harmonic sum with the power and threshold steps before and after it."""
+    spectrum = binned(spark, d).withColumn("clip", F.expr("t div 64"))
+    out = M.salience(spectrum, ["clip"], ["t"], WEIGHTS, M.bin_count(100.0, 55.0, 1760.0), 0.5, -3.0)
+    return out.select("clip", "t", "bin", r6("salience").alias("salience"))
+
+
 @query(
     "retention_latest_n",
     """SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framewright.functions import scalars as S
 from framewright.operators import frames as FR, plugins as PL, retrieval as R, sequence as SQ, spectral as SP
 from framewright.plans import views as V
-from framewright.plans.on_frames import found_segments
+from framewright.plans.on_frames import SEG, found_segments
 from framewright.plans.on_scalars import r6
 from framewright.plans.on_vectors import centroids, ivf
 from framewright.plans.registry import query
@@ -30,12 +30,56 @@ def state_scores(spark, d):
     return V.series(spark, d).select("sid", "idx", F.expr("transform(sequence(0, 7), s -> -pow(x / 25D - s, 2) / 2D)").alias("lp"))
 
 
-@query("viterbi")
+def paths_sql(lp: str, initial: str, weight: str, body: str, tables: str, **ctes: str) -> str:
+    """SQL of best paths: `lp` gives (sid, region, idx, lp), `weight` the score of a step from i to j."""
+    reach = "list_transform(range(8), lambda i: f.best[i + 1] + w[i * 8 + j + 1])"
+    text = V.sql(
+        tables,
+        body,
+        **ctes,
+        lp=lp,
+        w=f"SELECT list(w ORDER BY i, j) AS w FROM (SELECT i, j, {weight} AS w FROM range(8) a(i), range(8) b(j))",
+        fw=f"""SELECT sid, region, idx, list_transform(lp, lambda v: v + {initial}) AS best, list_transform(range(8), lambda j: 0)
+            AS back FROM lp WHERE idx = 0 UNION ALL SELECT e.sid, e.region, e.idx, list_transform(range(8), lambda j:
+            list_max({reach}) + e.lp[j + 1]), list_transform(range(8), lambda j: list_position({reach}, list_max({reach})) - 1)
+            FROM fw f JOIN lp e ON e.sid = f.sid AND e.region = f.region AND e.idx = f.idx + 1, w""",
+        ends="SELECT sid, region, max(idx) AS idx FROM lp GROUP BY sid, region",
+        bw="""SELECT sid, region, idx, list_position(best, list_max(best)) - 1 AS state, back FROM fw JOIN ends
+            USING (sid, region, idx) UNION ALL SELECT f.sid, f.region, f.idx, b.back[b.state + 1], f.back FROM bw b JOIN fw f
+            ON f.sid = b.sid AND f.region = b.region AND f.idx = b.idx - 1""",
+    )
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "viterbi",
+    paths_sql(
+        "SELECT sid, 0 AS region, idx, list_transform(range(8), lambda s: -pow(x / 25.0 - s, 2) / 2.0) AS lp FROM series",
+        "ln(1 / 8.0)",
+        """ln(greatest(3 - abs(i - j), 0)::DOUBLE / sum(greatest(3 - abs(i - j), 0)) OVER (PARTITION BY i)
+        + 2.2250738585072014e-308)""",
+        "SELECT sid, idx, CAST(state AS BIGINT) AS state FROM bw",
+        "series",
+    ),
+)
 def viterbi(spark, d):
     return SQ.viterbi(state_scores(spark, d), KEY, "idx", "lp", SQ.band_matrix(8, 3), np.log(np.full(8, 1 / 8)))
 
 
-@query("trajectory_dp")
+@query(
+    "trajectory_dp",
+    paths_sql(
+        """SELECT s.sid, seg_no AS region, idx - start AS idx, list_transform(range(8), lambda s:
+        ln(exp(-pow(x / 25.0 - s, 2) / 2.0) + 1.1920928955078125e-07)) AS lp FROM series s JOIN sg ON sg.sid = s.sid
+        AND idx >= start AND idx < "end\"""",
+        "0.0",
+        "ln(CASE WHEN abs(i - j) <= 1 THEN 1.0::DOUBLE ELSE 0.01::DOUBLE END + 1.1920928955078125e-07)",
+        """SELECT s.sid, s.idx, CAST(coalesce(state, -1) AS BIGINT) AS state FROM series s LEFT JOIN (SELECT bw.sid,
+        bw.idx + start AS idx, state FROM bw JOIN sg ON bw.sid = sg.sid AND region = seg_no) p ON p.sid = s.sid AND p.idx = s.idx""",
+        "series prob",
+        **SEG,
+    ),
+)
 def trajectory_dp(spark, d):
     grid = state_scores(spark, d).select("sid", "idx", F.expr("transform(lp, v -> exp(v))").alias("z"))
     regions = found_segments(spark, d).select("sid", c("seg_no").alias("region"), "start", "end")
@@ -85,6 +129,46 @@ def period_cmndf(spark, d):
     return out.where("lag > 0").select("sid", "frame", big("lag"), r6("v").alias("cmndf"))
 
 
+A_SQL = f"({FR.EPS!r} + (p + n - 2 * x) / 2)"
+DIP = dict(
+    len="SELECT sid, count(*) AS n FROM series GROUP BY sid",
+    f32=F32,
+    cm=f"""SELECT sid, frame, k AS lag, round(d / (avg(d) OVER (PARTITION BY sid, frame ORDER BY k) + {FR.EPS!r}), 9) AS x
+        FROM (SELECT a.sid, a.frame, k, sum(pow(a.x - b.x, 2)) AS d FROM f32 a, generate_series(1, 12) AS t(k), f32 b
+        WHERE a.sid = b.sid AND a.frame = b.frame AND b.o = a.o + k GROUP BY a.sid, a.frame, k)
+        UNION ALL SELECT DISTINCT sid, frame, 0, 1.0 FROM f32""",
+    nb="""SELECT *, lag(x) OVER w AS p, lead(x) OVER w AS n FROM cm WINDOW w AS (PARTITION BY sid, frame ORDER BY lag)""",
+    rg="SELECT *, x < p AND x < n AND x < 0.9 AS dip FROM nb WHERE lag >= 2 AND lag < 12",
+    bs="SELECT sid, frame, min(lag) FILTER (WHERE dip) AS d, arg_min(lag, (x, lag)) AS m FROM rg GROUP BY sid, frame",
+)
+
+
+def period_dips(spark, d):
+    """The first dip of the normalised difference of every frame, among lags 2 to 11."""
+    lags = frames32(spark, d).select("sid", "frame", F.posexplode(SQ.cmndf("f", 12)).alias("lag", "v"))
+    rows = lags.select("sid", "frame", big("lag"), F.round("v", 9).alias("v"))
+    return FR.first_dip(rows, ["sid", "frame"], "lag", "v", 0.9, 2, 12)
+
+
+@query("local_minima", V.sql("series", "SELECT sid, frame, coalesce(d, m) AS lag, d IS NOT NULL AS dip FROM bs", **DIP))
+def local_minima(spark, d):
+    return period_dips(spark, d).select("sid", "frame", "lag", "dip")
+
+
+@query(
+    "parabolic_refine",
+    V.sql(
+        "series",
+        f"""SELECT sid, frame, round(CASE WHEN d IS NULL THEN m ELSE d - ((n - p) / 2) / (2 * {A_SQL}) END, 6) AS vertex,
+        round(CASE WHEN d IS NULL THEN x ELSE x - pow((n - p) / 2, 2) / (4 * {A_SQL}) END, 6) AS depth
+        FROM bs JOIN nb USING (sid, frame) WHERE lag = coalesce(d, m)""",
+        **DIP,
+    ),
+)
+def parabolic_refine(spark, d):
+    return period_dips(spark, d).select("sid", "frame", r6("vertex").alias("vertex"), r6("depth").alias("depth"))
+
+
 SPEC = dict(
     len="SELECT sid, count(*) AS n FROM series GROUP BY sid",
     rp="""SELECT sid, idx + 6 AS p, x FROM series UNION ALL SELECT sid, 6 - idx, x FROM series WHERE idx BETWEEN 1 AND 6 UNION ALL
