@@ -330,23 +330,71 @@ def even_batches(spark, d):
     return M.even_batches(V.vecs(spark, d).select("vec_id", "spk"), ["spk"], "vec_id", 8).select("vec_id", "spk", "batch")
 
 
-@query("compress_conditional")
+def kmeans_ctes(src: str, k: str, keys: str, rounds: int) -> dict[str, str]:
+    """k-means unrolled: `src` has keys, vec_id, v; `k` is an expression over the group's size n."""
+    ctes = dict(
+        src=src,
+        c0=f"""SELECT {keys}, cell, v AS cv FROM (SELECT {keys}, v, row_number() OVER (PARTITION BY {keys} ORDER BY
+            md5('0|' || vec_id), vec_id) - 1 AS cell, count(*) OVER (PARTITION BY {keys}) AS n FROM src) WHERE cell < {k}""",
+    )
+    for r in range(rounds + 1):
+        ctes[f"a{r}"] = f"""SELECT {keys}, vec_id, v, arg_min(cell, (dd, cell)) AS cell, min(dd) AS d2 FROM (SELECT {keys}, vec_id, v,
+            cell, {dist('v', 'cv')} AS dd FROM src JOIN c{r} USING ({keys})) GROUP BY {keys}, vec_id, v"""
+        ctes[f"m{r}"] = f"""SELECT {keys}, cell, list(m ORDER BY d) AS mv FROM (SELECT {keys}, cell, d, avg(x) AS m FROM (SELECT {keys},
+            cell, unnest(generate_series(0, len(v) - 1)) AS d, unnest(v) AS x FROM a{r}) GROUP BY {keys}, cell, d)
+            GROUP BY {keys}, cell"""
+        ctes[f"c{r + 1}"] = f"SELECT {keys}, cell, coalesce(mv, cv) AS cv FROM c{r} LEFT JOIN m{r} USING ({keys}, cell)"
+    return ctes
+
+
+CELLS = "greatest(least(CAST(floor(16 * sqrt(n)) AS BIGINT), n // 39), 1)"
+
+
+@query(
+    "compress_conditional",
+    V.sql(
+        "vecs",
+        """SELECT spk, vec_id, CAST(d AS BIGINT) AS d, round(c, 6) AS c FROM (SELECT spk, vec_id, unnest(generate_series(0, len(v) - 1))
+        AS d, unnest(v) AS c FROM (SELECT spk, vec_id, v FROM small UNION ALL SELECT spk, cell, cv FROM c3))""",
+        sized="SELECT *, count(*) OVER (PARTITION BY spk) AS n FROM vecs",
+        small="SELECT spk, vec_id, v FROM sized WHERE n <= 50",
+        **kmeans_ctes("SELECT spk, vec_id, v FROM sized WHERE n > 50", "16", "spk", 3),
+    ),
+)
 def compress_conditional(spark, d):
     out = R.compress(V.vecs(spark, d), ["spk"], threshold=50, clusters=16, iterations=3)
-    return out.select("spk", "vec_id", F.posexplode("v").alias("d", "c"))
+    return out.select("spk", "vec_id", F.posexplode("v").alias("d", "c")).select("spk", "vec_id", big("d"), r6("c").alias("c"))
 
 
-@query("ivf_train")
+@query(
+    "ivf_train",
+    V.sql(
+        "vecs",
+        """SELECT cell, CAST(d AS BIGINT) AS d, round(c, 6) AS c FROM (SELECT cell, unnest(generate_series(0, len(cv) - 1)) AS d,
+        unnest(cv) AS c FROM c3)""",
+        **kmeans_ctes("SELECT 'hubert' AS feature, vec_id, v FROM vecs", CELLS, "feature", 3),
+    ),
+)
 def ivf_train(spark, d):
-    v = V.vecs(spark, d).withColumn("feature", F.lit("hubert"))
-    sizes = v.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
     from framewright.functions.scalars import ivf_cells
 
+    v = V.vecs(spark, d).withColumn("feature", F.lit("hubert"))
+    sizes = v.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
     cents = R.kmeans(v, sizes.select("feature", ivf_cells("n").alias("k")), ["feature"], iterations=3)
-    return cents.select("cell", F.posexplode("v").alias("d", "c"))
+    return cents.select("cell", F.posexplode("v").alias("d", "c")).select("cell", big("d"), r6("c").alias("c"))
 
 
-@query("index_build_all")
+@query(
+    "index_build_all",
+    V.sql(
+        "vecs",
+        "SELECT spk, feature, vec_id, cell, round(d2, 6) AS d2 FROM a3",
+        **kmeans_ctes(
+            "SELECT spk, 'hubert' AS feature, vec_id, v FROM vecs UNION ALL SELECT spk, 'whisper', vec_id, list_reverse(v) FROM vecs",
+            CELLS, "spk, feature", 3,
+        ),
+    ),
+)
 def index_build_all(spark, d):
     """Both features of every speaker in one grouped build: the embedding as it is and back to front."""
     v = V.vecs(spark, d)
@@ -354,4 +402,4 @@ def index_build_all(spark, d):
         v.withColumn("v", F.reverse("v")).withColumn("feature", F.lit("whisper"))
     )
     _, postings = R.build_index(features, ["spk", "feature"], iterations=3)
-    return postings.select("spk", "feature", "vec_id", "cell", "d2")
+    return postings.select("spk", "feature", "vec_id", "cell", r6("d2").alias("d2"))
