@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from framewright.functions.noise import gumbel, uniform
 from framewright.functions.pitch import bin_to_cents, cents_to_bin, cents_to_hz, hz_to_cents
 from framewright.operators.blocks import with_group
+from framewright.operators.sequence import band_matrix, viterbi
 
 
 def _best(c: str, score: Column) -> Column:
@@ -66,7 +68,25 @@ def ranked_best(rows: DataFrame, group: list[str], row_id: str, logprob: str, le
     )
 
 
+def best_path(rows: DataFrame, group: list[str], c: str, z: str, states: int = 360, width: int = 12) -> DataFrame:
+    """Bin of every frame on the best path through the frames of a track, whose steps follow a triangular band.
+
+    `group` is the track's keys and then the frame's position, counted from 0. A softmax shifts all scores of a frame
+    alike and so changes no path: scores are taken as they are. A candidate that a frame does not have is impossible there.
+    """
+    if len(group) < 2:
+        raise ValueError("the group needs the keys of a track before the position")
+    held = rows.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct(F.col(c).cast("int"), F.col(z).cast("double")))).alias("_m"))
+    scores = F.expr(f"transform(sequence(0, {states - 1}), s -> coalesce(try_element_at(_m, s), CAST('-Infinity' AS DOUBLE)))")
+    frames = held.select(*group, scores.alias("_lp"))
+    paths = viterbi(frames, group[:-1], group[-1], "_lp", band_matrix(states, width), np.log(np.full(states, 1 / states)))
+    return paths.select(*group, F.col("state").alias("bin"))
+
+
 DECODERS = {
+    "viterbi": lambda rows, group, c, z, **o: best_path(rows, group, c, z, **o).select(
+        *group, cents_to_hz(bin_to_cents(F.col("bin"))).alias("hz")
+    ),
     "argmax": lambda rows, group, c, z: argmax(rows, group, c, z).select(
         *group, cents_to_hz(bin_to_cents(F.col("bin"))).alias("hz")
     ),
@@ -74,9 +94,9 @@ DECODERS = {
 }
 
 
-def decode(rows: DataFrame, group: list[str], c: str, z: str, decoder: str) -> DataFrame:
+def decode(rows: DataFrame, group: list[str], c: str, z: str, decoder: str, **options) -> DataFrame:
     """Pitch in Hz by the decoder of that name; further ones can be added to `DECODERS`."""
-    return DECODERS[decoder](rows, group, c, z)
+    return DECODERS[decoder](rows, group, c, z, **options)
 
 
 def triangular_transition(i: Column, j: Column, states: int, width: int) -> Column:

@@ -299,19 +299,6 @@ def weighted_argmax(spark, d):
     return D.weighted_argmax(V.logits(spark, d), ["g"], "c", "z").select("g", "bin", r6("hz").alias("hz"))
 
 
-@query(
-    "decoder_plugin",
-    V.sql(
-        "logits",
-        f"""SELECT 'weighted_argmax' AS decoder, g, hz FROM ({WEIGHTED}) UNION ALL SELECT 'argmax', g,
-        round(10.0 * pow(2.0, (bin * 20.0 + 1997.3794084376191) / 1200.0), 6) FROM ({ARGMAX})""",
-    ),
-)
-def decoder_plugin(spark, d):
-    runs = [D.decode(V.logits(spark, d), ["g"], "c", "z", n).withColumn("decoder", F.lit(n)) for n in ("argmax", "weighted_argmax")]
-    return runs[0].unionByName(runs[1]).select("decoder", "g", r6("hz").alias("hz"))
-
-
 @query(
     "temperature_sample",
     V.sql(

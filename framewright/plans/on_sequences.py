@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from framewright.functions import scalars as S
-from framewright.operators import frames as FR, plugins as PL, retrieval as R, sequence as SQ, spectral as SP
+from framewright.operators import decode as D, frames as FR, plugins as PL, retrieval as R, sequence as SQ, spectral as SP
 from framewright.plans import views as V
 from framewright.plans.on_frames import SEG, found_segments
+from framewright.plans.on_metrics import ARGMAX, WEIGHTED
 from framewright.plans.on_scalars import r6
 from framewright.plans.on_vectors import centroids, ivf
 from framewright.plans.registry import query
@@ -86,6 +87,35 @@ def trajectory_dp(spark, d):
     return SQ.trajectory(grid, KEY, "idx", "z", tol=1, regions=regions).select("sid", "idx", "state")
 
 
+TRACKS = """SELECT g, g // 64 AS sid, 0 AS region, row_number() OVER (PARTITION BY g // 64 ORDER BY g) - 1 AS idx FROM
+    (SELECT DISTINCT g FROM logits)"""
+
+
+@query(
+    "decoder_plugin",
+    paths_sql(
+        """SELECT sid, region, idx, list_transform(range(8), lambda s: coalesce(list_max(list_transform(held, lambda e:
+        CASE WHEN e.c = s THEN e.z END)), '-inf'::DOUBLE)) AS lp FROM tr JOIN
+        (SELECT g, list({'c': c, 'z': z}) AS held FROM logits GROUP BY g) USING (g)""",
+        "ln(1 / 8.0)",
+        """ln(greatest(3 - abs(i - j), 0)::DOUBLE / sum(greatest(3 - abs(i - j), 0)) OVER (PARTITION BY i)
+        + 2.2250738585072014e-308)""",
+        f"""SELECT 'weighted_argmax' AS decoder, g, hz FROM ({WEIGHTED}) UNION ALL SELECT 'argmax', g,
+        round(10.0 * pow(2.0, (bin * 20.0 + 1997.3794084376191) / 1200.0), 6) FROM ({ARGMAX}) UNION ALL SELECT 'viterbi', g,
+        round(10.0 * pow(2.0, (state * 20.0 + 1997.3794084376191) / 1200.0), 6) FROM bw JOIN tr USING (sid, region, idx)""",
+        "logits",
+        tr=TRACKS,
+    ),
+)
+def decoder_plugin(spark, d):
+    """All decoders; for the best path, 64 neighbouring groups make a track."""
+    rows = V.logits(spark, d).withColumns({"track": F.expr("g div 64"), "at": F.expr("g % 64")})
+    runs = [D.decode(rows, ["g"], "c", "z", n).select("g", "hz", F.lit(n).alias("decoder")) for n in ("argmax", "weighted_argmax")]
+    path = D.decode(rows, ["track", "at"], "c", "z", "viterbi", states=8, width=3)
+    runs.append(path.select(F.expr("track * 64 + at").alias("g"), "hz", F.lit("viterbi").alias("decoder")))
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]).select("decoder", "g", r6("hz").alias("hz"))
+
+
 @query(
     "inverse_preemphasis",
     V.sql(
@@ -102,11 +132,6 @@ def frames32(spark, d):
     return FR.frame_arrays(FR.hop_frames(V.series(spark, d), KEY, "idx", "x", 32, 16), KEY)
 
 
-@query("period_estimate")
-def period_estimate(spark, d):
-    return SQ.period_estimate(frames32(spark, d), ["sid", "frame"], "f", 16000.0, 1400.0, 8000.0)
-
-
 F32 = """SELECT sid, frame, p + 16 - frame * 16 AS o, x FROM (SELECT p.sid, p.p, p.x, unnest(generate_series(greatest(
     CAST(ceil((p + 16 - 31) / 16.0) AS BIGINT), 0), least((p + 16) // 16, n // 16))) AS frame FROM
     (SELECT sid, idx AS p, x FROM series UNION ALL SELECT sid, unnest(generate_series(-16, -1)), 0.0 FROM len UNION ALL
@@ -130,13 +155,14 @@ def period_cmndf(spark, d):
 
 
 A_SQL = f"({FR.EPS!r} + (p + n - 2 * x) / 2)"
+CMNDF_SQL = f"""SELECT sid, frame, k AS lag, {{}} AS x FROM (SELECT *, avg(d) OVER (PARTITION BY sid, frame ORDER BY k) + {FR.EPS!r}
+    AS mean FROM (SELECT a.sid, a.frame, k, sum(pow(a.x - b.x, 2)) AS d FROM f32 a, generate_series(1, 12) AS t(k), f32 b
+    WHERE a.sid = b.sid AND a.frame = b.frame AND b.o = a.o + k GROUP BY a.sid, a.frame, k))
+    UNION ALL SELECT DISTINCT sid, frame, 0, 1.0 FROM f32"""
 DIP = dict(
     len="SELECT sid, count(*) AS n FROM series GROUP BY sid",
     f32=F32,
-    cm=f"""SELECT sid, frame, k AS lag, round(d / (avg(d) OVER (PARTITION BY sid, frame ORDER BY k) + {FR.EPS!r}), 9) AS x
-        FROM (SELECT a.sid, a.frame, k, sum(pow(a.x - b.x, 2)) AS d FROM f32 a, generate_series(1, 12) AS t(k), f32 b
-        WHERE a.sid = b.sid AND a.frame = b.frame AND b.o = a.o + k GROUP BY a.sid, a.frame, k)
-        UNION ALL SELECT DISTINCT sid, frame, 0, 1.0 FROM f32""",
+    cm=CMNDF_SQL.format("round(d / mean, 9)"),
     nb="""SELECT *, lag(x) OVER w AS p, lead(x) OVER w AS n FROM cm WINDOW w AS (PARTITION BY sid, frame ORDER BY lag)""",
     rg="SELECT *, x < p AND x < n AND x < 0.9 AS dip FROM nb WHERE lag >= 2 AND lag < 12",
     bs="SELECT sid, frame, min(lag) FILTER (WHERE dip) AS d, arg_min(lag, (x, lag)) AS m FROM rg GROUP BY sid, frame",
@@ -150,6 +176,38 @@ def period_dips(spark, d):
     return FR.first_dip(rows, ["sid", "frame"], "lag", "v", 0.9, 2, 12)
 
 
+@query(
+    "period_estimate",
+    V.sql(
+        "series",
+        f"""SELECT sid, frame, round(16000.0 / lag, 6) AS f0, round((avg(pow(x - moved, 2)) / 2)
+        / ((avg(x * x) + avg(moved * moved)) / 2 + {FR.EPS!r}), 6) AS ap FROM (SELECT a.sid, a.frame, l.lag, a.x,
+        (1 - (lag - floor(lag))) * b.x + (lag - floor(lag)) * e.x AS moved FROM f32 a JOIN l2 l USING (sid, frame)
+        JOIN f32 b ON b.sid = a.sid AND b.frame = a.frame AND b.o = CASE WHEN a.o + floor(lag) < 32 THEN a.o + floor(lag)
+        ELSE 63 - a.o - floor(lag) END JOIN f32 e ON e.sid = a.sid AND e.frame = a.frame AND e.o = CASE WHEN a.o + floor(lag) < 31
+        THEN a.o + floor(lag) + 1 ELSE 62 - a.o - floor(lag) END) GROUP BY sid, frame, lag""",
+        len=DIP["len"], f32=F32, cm=CMNDF_SQL.format("d / mean"), nb=DIP["nb"],
+        b1="""SELECT sid, frame, coalesce(min(lag) FILTER (WHERE x < p AND x < n AND x < 0.15), -1) AS d, arg_min(lag, (x, lag)) AS m
+            FROM nb WHERE lag >= 2 AND lag < 12 GROUP BY sid, frame""",
+        l1=f"""SELECT sid, frame, d, CASE WHEN d < 0 THEN m ELSE d - ((n - p) / 2) / (2 * {A_SQL}) END AS lag,
+            x - pow((n - p) / 2, 2) / (4 * {A_SQL}) AS depth FROM b1 JOIN nb USING (sid, frame)
+            WHERE nb.lag = CASE WHEN d < 0 THEN m ELSE d END""",
+        near="""SELECT *, greatest(round_even(lag * pow(2, -25 / 1200.0), 0), 2) AS lo,
+            least(round_even(lag * pow(2, 25 / 1200.0), 0), 12) AS hi FROM l1""",
+        n2="""SELECT *, lag(x) OVER w AS p, lead(x) OVER w AS n FROM (SELECT c.sid, c.frame, c.lag, lo, hi,
+            CASE WHEN c.lag = d THEN depth ELSE x END AS x FROM cm c JOIN near USING (sid, frame))
+            WINDOW w AS (PARTITION BY sid, frame ORDER BY lag)""",
+        b2="""SELECT sid, frame, any_value(lo) AS lo, any_value(hi) AS hi, min(lag) FILTER (WHERE lag >= lo AND lag < hi AND x < p
+            AND x < n) AS d, arg_min(lag, (x, lag)) FILTER (WHERE lag >= lo AND lag < hi) AS m FROM n2 GROUP BY sid, frame""",
+        l2=f"""SELECT sid, frame, CASE WHEN b2.lo = b2.hi THEN b2.lo WHEN d IS NULL THEN m ELSE d - ((n - p) / 2) / (2 * {A_SQL}) END
+            AS lag FROM b2 JOIN n2 USING (sid, frame) WHERE n2.lag = CASE WHEN b2.lo = b2.hi THEN b2.lo ELSE coalesce(d, m) END""",
+    ),
+)
+def period_estimate(spark, d):
+    found = SQ.period_estimate(frames32(spark, d), ["sid", "frame"], "f", 16000.0, 1400.0, 8000.0)
+    return found.select("sid", "frame", r6("f0").alias("f0"), r6("ap").alias("ap"))
+
+
 @query("local_minima", V.sql("series", "SELECT sid, frame, coalesce(d, m) AS lag, d IS NOT NULL AS dip FROM bs", **DIP))
 def local_minima(spark, d):
     return period_dips(spark, d).select("sid", "frame", "lag", "dip")
