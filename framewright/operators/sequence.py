@@ -201,14 +201,13 @@ SALIENCE_EPS = 1.1920928955078125e-07
 
 
 def trajectory(
-    grid: DataFrame, keys: list[str], idx: str, salience: str, tol: int = 5, regions: DataFrame | None = None,
+    grid: DataFrame, keys: list[str], idx: str, salience: str, states: int, tol: int = 5, regions: DataFrame | None = None,
     low: float = 0.01, high: float = 1.0, **opts
 ) -> DataFrame:
-    """Best path through a salience grid (an array per frame); -1 outside the regions if there are any.
+    """Best path through a salience grid (an array of `states` values per frame); -1 outside the regions if there are any.
 
     `regions` has keys, region, start, end: disjoint `[start, end)` spans tracked independently of each other.
     """
-    states = grid.select(F.size(salience)).first()[0]
     i = np.arange(states)
     step = np.log(np.where(np.abs(i[:, None] - i) <= tol, high, low) + SALIENCE_EPS)
     scored = grid.select(*keys, idx, F.expr(f"transform({salience}, z -> ln(z + {SALIENCE_EPS!r}D))").alias("_lp"))

@@ -84,7 +84,7 @@ def viterbi(spark, d):
 def trajectory_dp(spark, d):
     grid = state_scores(spark, d).select("sid", "idx", F.expr("transform(lp, v -> exp(v))").alias("z"))
     regions = found_segments(spark, d).select("sid", c("seg_no").alias("region"), "start", "end")
-    return SQ.trajectory(grid, KEY, "idx", "z", tol=1, regions=regions).select("sid", "idx", "state")
+    return SQ.trajectory(grid, KEY, "idx", "z", 8, tol=1, regions=regions).select("sid", "idx", "state")
 
 
 TRACKS = """SELECT g, g // 64 AS sid, 0 AS region, row_number() OVER (PARTITION BY g // 64 ORDER BY g) - 1 AS idx FROM

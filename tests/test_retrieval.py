@@ -101,3 +101,12 @@ def test_saved_index_is_read_by_group(spark, base):
     assert "PartitionFilters: [isnotnull(speaker" in plan
     queries = named.where("speaker = '01'").select("speaker", F.col("vec_id").alias("q"), "v")
     assert R.knn_ivf(queries, postings, cents, 1, ["speaker"]).where("d2 = 0").count() == 30
+
+
+@pytest.mark.parametrize("tile", [2, 1000])
+def test_code_probabilities_at_a_very_low_temperature(spark, tile):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.001])]
+    codes = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [-1.0, 0.0]), (3, [1.0, 0.0])], "code bigint, v array<double>")
+    got = R.soft_codes(spark.createDataFrame(rows, "q bigint, v array<double>"), codes, 1e-5, tile).orderBy("q").collect()
+    assert [(r["q"], r["code"]) for r in got] == [(0, 0), (1, 1), (2, 0)]
+    assert [r["prob"] for r in got] == pytest.approx([0.5, 1.0, 0.5])

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.operators import frames as FR, sequence as SQ, spectral as SP
+from framewright.operators import decode as D, frames as FR, metrics as M, sequence as SQ, spectral as SP
 
 
 def score(path, lp, step, start):
@@ -33,10 +33,22 @@ def test_trajectory_follows_the_ridge_inside_regions(spark):
     rows = [(0, t, [1.0 if s == ridge[t] else 0.01 for s in range(6)]) for t in range(8)]
     grid = spark.createDataFrame(rows, "sid bigint, idx bigint, z array<double>")
     regions = spark.createDataFrame([(0, 0, 1, 4), (0, 1, 5, 7)], "sid bigint, region bigint, start bigint, end bigint")
-    whole = SQ.trajectory(grid, ["sid"], "idx", "z", tol=1).orderBy("idx").collect()
+    whole = SQ.trajectory(grid, ["sid"], "idx", "z", 6, tol=1).orderBy("idx").collect()
     assert [r["state"] for r in whole] == ridge
-    parts = SQ.trajectory(grid, ["sid"], "idx", "z", tol=1, regions=regions).orderBy("idx").collect()
+    parts = SQ.trajectory(grid, ["sid"], "idx", "z", 6, tol=1, regions=regions).orderBy("idx").collect()
     assert [r["state"] for r in parts] == [-1, 2, 3, 3, -1, 4, 3, -1]
+    assert SQ.trajectory(grid.limit(0), ["sid"], "idx", "z", 6, tol=1, regions=regions.limit(0)).collect() == []
+
+
+def test_best_path_decoder_bridges_a_spike(spark):
+    """One frame whose best bin is far off is overruled by the band; a frame without a candidate takes another."""
+    rows = [(0, t, c, 5.0 if c == (7 if t == 3 else 2) else 0.0) for t in range(6) for c in range(8) if (t, c) != (4, 2)]
+    df = spark.createDataFrame(rows, "k bigint, t bigint, c int, z double")
+    got = D.best_path(df, ["k", "t"], "c", "z", states=8, width=2).orderBy("t").collect()
+    bins = [r["bin"] for r in got]
+    assert bins[:3] == [2, 2, 2] and abs(bins[3] - 2) <= 1 and bins[4] in (1, 3) and bins[5] == 2
+    with pytest.raises(ValueError):
+        D.decode(df, ["t"], "c", "z", "viterbi")
 
 
 @pytest.mark.parametrize("block", [3, 70, 1000])
@@ -86,3 +98,21 @@ def test_mel_filters_cover_the_range_once():
 def test_silence_is_at_the_floor(spark):
     quiet = spark.createDataFrame([(0, i, 0.0) for i in range(64)], "sid bigint, idx bigint, x double")
     assert all(-125.0 < r["loudness"] <= -100.0 for r in SP.loudness(quiet, ["sid"], "idx", "x", 16, 8, 16000.0).collect())
+
+
+def test_endpoint_before_a_quiet_window_across_blocks(spark):
+    """Missing values are quiet; without a quiet window the endpoint is the length."""
+    x = [9.0] * 10 + [0.0, None] * 8 + [9.0] * 10
+    rows = [(0, i, v) for i, v in enumerate(x)] + [(1, i, 9.0) for i in range(12)]
+    df = spark.createDataFrame(rows, "sid bigint, idx bigint, x double")
+    for rows_per_block in (3, 7, 1000):
+        got = FR.find_endpoint(df, ["sid"], "idx", "x", 8, 1.0, rows=rows_per_block).collect()
+        assert {r["sid"]: r["endpoint"] for r in got} == {0: 12, 1: 12}
+
+
+def test_levels_are_relative_to_the_clip(spark):
+    """Power above the threshold goes, what is left is compressed, and a silent clip stays silent."""
+    df = spark.createDataFrame([(0, 100.0), (0, 4.0), (0, 0.0), (1, 0.0)], "clip bigint, power double")
+    got = M.compress_levels(df, ["clip"], "power", 0.5, -3.0).orderBy("clip", "power").collect()
+    assert [tuple(r) for r in got] == [(0, 0.0), (0, 0.0), (0, 2.0), (1, 0.0)]
+    assert [r["power"] for r in M.compress_levels(df, ["clip"], "power", 0.5, 40.0).orderBy("clip", "power").collect()] == [0.0, 2.0, 10.0, 0.0]
