@@ -95,13 +95,16 @@ class Centroids:
         near = dist[:, :COPIES] <= (1 + CLOSE) * dist[:, :1]
         return [row[keep].tolist() for row, keep in zip(ids[:, :COPIES], near)]
 
-    def probes(self, q: np.ndarray, ratio: float) -> list[list[int]]:
-        """Lists within `ratio` of the nearest one's distance; the search widens until the ratio is passed."""
+    def probes(self, q: np.ndarray, ratio: float, sizes: np.ndarray, least: int) -> list[list[int]]:
+        """The nearest lists that hold `least` rows by `sizes`, and all within `ratio` of the last one's distance; the search widens until that is passed."""
         out: list[list[int]] = [[] for _ in q]
         todo, width = np.arange(len(q)), 64
         while len(todo):
             ids, dist = self.search(q[todo], width)
-            near = dist <= ratio * dist[:, :1] + 1e-12
+            held = np.cumsum(sizes[ids], axis=1) >= least
+            last = np.where(held.any(axis=1), held.argmax(axis=1), dist.shape[1] - 1)
+            near = dist <= ratio * np.take_along_axis(dist, last[:, None], 1) + 1e-12
+            near |= np.arange(dist.shape[1]) <= last[:, None]
             full = near.all(axis=1) & (ids.shape[1] < len(self.points)) & (width < len(self.points))
             for t, row, keep in zip(todo[~full], ids[~full], near[~full]):
                 out[t] = row[keep & np.isfinite(row)].tolist()
@@ -174,8 +177,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, aim: float = AIM
     """(query_id, rank, vec_id, score): the k nearest found of `vectors` (vec_id, embedding) for each of `queries` (same columns).
 
     Inner products become distances by one more component that gives all vectors the largest norm. Centroids are fitted to
-    a sample of at most 16,384 rows; every row is indexed, boundary vectors in two lists. A query reads the lists whose
-    centroid is within a ratio of its nearest one's distance; the nearest eight are searched first, and from the others only
+    a sample of at most 16,384 rows; every row is indexed, boundary vectors in two lists. A query reads its nearest lists until
+    they hold k other vectors, and the lists whose centroid is within a ratio of the last one's distance; the nearest eight are searched first, and from the others only
     vectors are taken that reach the k-th best score found there, which loses none of the k best. The ratio is set so that a share `aim` of the true neighbours of 200
     sampled queries, found by brute force, lies in such lists. Lists are searched in blocks of at most about 4,096 vectors by
     as many queries, so neither a large list nor a popular one is a large task, and no rows are left out.
@@ -209,11 +212,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, aim: float = AIM
 
     postings = cut(scan(rows, "list int, vec_id bigint, v array<double>", indexer))
     ratio = calibrated(rows, postings, asked, model.value, flat, k, aim)
+    sizes = np.zeros(lists, np.int64)
+    for r in postings.select("list", "vec_id").distinct().groupBy("list").count().collect():  # a row per list, at most 4,096
+        sizes[r["list"]] = r["count"]
+    enough = COPIES * (k + 1)  # as rows of lists, so that k vectors besides the query's own are among them
 
     def prober():
         def work(ids, vs):
             for i in range(0, len(ids), 1024):
-                near = model.value.probes(flat(np.array(vs[i : i + 1024], float)), ratio)
+                near = model.value.probes(flat(np.array(vs[i : i + 1024], float)), ratio, sizes, enough)
                 yield {
                     "list": [c for p in near for c in p],
                     "query_id": [v for v, p in zip(ids[i : i + 1024], near) for _ in p],

@@ -253,6 +253,19 @@ def test_neighbours_reach_their_recall_and_skip_bad_vectors(spark):
     assert ann.search(few, few, 20).count() == 6
 
 
+def test_queries_in_tiny_clusters_get_all_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 8)
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(46, 16)) * 10
+    sizes = [60] * 40 + [5] * 6  # tight clusters, and tiny ones far out
+    middles[40:] *= 3
+    base = np.vstack([m + rng.normal(size=(n, 16)) * 0.01 for m, n in zip(middles, sizes)])
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(base.tolist())], "vec_id bigint, embedding array<double>").repartition(6)
+    tiny = set(range(2400, 2430, 5))
+    got = ann.search(table, table.where(f"vec_id % 12 = 0 AND vec_id < 2400 OR vec_id IN ({','.join(map(str, tiny))})"), 20).toPandas()
+    assert set(got["query_id"]) == set(range(0, 2400, 12)) | tiny and (got.groupby("query_id").size() == 20).all()
+
+
 def test_contamination_is_exact(docs, none, spark):
     word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(decontaminate.LOWER))
     items = [("i1", " ".join(LONG.split()[100:130])), ("i2", TEXTS[12]), ("i3", "One"), ("i4", ""), ("i5", None), (None, "Mail a b"), ("i6", "never seen here " * 4), ("i1", TEXTS[4]), ("i7", TEXTS[7])]
