@@ -9,9 +9,11 @@ from framewright.session import cut
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents in which a language is recognised; those without letters, or null, go."""
+    """Keep the documents in which a language is recognised; those without letters, or null, go. Without labels, only those go."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     model = langid.learn(docs)
+    if not model.languages:
+        return docs.where(langid.lettered()("text"))
     name = fresh(docs, "language_found")
     return docs.withColumn(name, langid.predictor(model)("text")["lang_pred"]).where(F.col(name) != "und").drop(name)
 

@@ -9,8 +9,8 @@ from pyspark.sql.functions import arrow_udf
 
 from framewright.llm.bpe import chunks
 
-#: Bounds of the model: characters of text per language, characters of a sampled piece, letters, languages.
-TRAIN_CHARS, SAMPLE_PIECE, MAX_LETTERS, MAX_LANGUAGES = 1 << 15, 512, 126, 64
+#: Bounds of the model: characters of text per language, characters of a sampled piece, letters.
+TRAIN_CHARS, SAMPLE_PIECE, MAX_LETTERS = 1 << 15, 512, 126
 #: Phrases end every so many characters at the latest, so that the pieces of a text are parsed side by side.
 LANE = 256
 SEPARATOR, SPACE = 0, 1
@@ -98,28 +98,25 @@ class Model:
 def learn(labelled: DataFrame, train_chars: int = TRAIN_CHARS) -> Model:
     """Model of the languages in `labelled` (text, lang), fitted on a sample of about `train_chars` characters each.
 
-    Pieces of 512 characters are drawn by the hash of their text and place, from all documents of a language alike. Null texts and languages
-    are left out. Memory of a parsing task is about 2 * train_chars * letters * 4 bytes per language.
+    Pieces of 512 characters are drawn by the hash of their text and place from the distinct texts of a language, about twice
+    `train_chars` of them, so long texts and copies weigh no more than their share; a language of less text gives all it has.
+    Equal pieces count once. Null texts and languages are left out.
     """
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND text <> ''").select("text", "lang")
-    totals = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not totals:
-        return Model({})
-    uniform = lambda *of: (F.pmod(F.xxhash64(*of), F.lit(1 << 30)) / F.lit(1 << 30))
-    share = lambda times: F.element_at(F.create_map(*[F.lit(x) for r in totals for x in (r["lang"], min(1.0, times * train_chars / r["n"]))]), F.col("lang"))
-    some = rows.where(uniform("text", F.lit(1)) < share(16))
-    cut_up = some.select("lang", "text", F.explode(F.expr(f"sequence(0, (length(text) - 1) DIV {SAMPLE_PIECE})")).alias("i"))
-    rate = F.least(F.lit(1.0), share(2) / share(16))
-    pieces = cut_up.where(uniform("text", "i", F.lit(2)) < rate).select("lang", F.expr(f"substring(text, i * {SAMPLE_PIECE} + 1, {SAMPLE_PIECE})").alias("piece"))
-    texts: dict[str, list[str]] = {r["lang"]: [] for r in totals}
-    room = dict.fromkeys(texts, train_chars)
-    for r in sorted(pieces.collect(), key=lambda r: (hash_of(r["piece"]), r["lang"])):
-        if room[r["lang"]] > 0:
-            texts[r["lang"]].append(r["piece"][: room[r["lang"]]])
-            room[r["lang"]] -= len(r["piece"])
-    return Model({k: v for k, v in texts.items() if v})
+    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND text <> ''").select("lang", "text", F.xxhash64("text").alias("h"))
+    chars = rows.select("lang", "h", F.length("text").alias("n")).distinct().groupBy("lang").agg(F.sum("n").alias("chars"))
+    room = F.broadcast(chars.select("lang", F.least(F.lit(1.0), 2.0 * train_chars / F.col("chars")).alias("rate")))  # a row per language
+    places = F.expr(
+        f"filter(sequence(0, (length(text) - 1) DIV {SAMPLE_PIECE}), i -> pmod(xxhash64(h, i, 2), {1 << 30}) < rate * {1 << 30})"
+    )
+    drawn = rows.join(room, "lang").select("lang", "text", F.explode(places).alias("i"))
+    pieces = drawn.select("lang", F.expr(f"substring(text, i * {SAMPLE_PIECE} + 1, {SAMPLE_PIECE})").alias("piece")).distinct()
+    texts: dict[str, list[str]] = {}
+    left: dict[str, int] = {}
+    for r in sorted(pieces.collect(), key=lambda r: (hash_of(r["piece"]), r["lang"], r["piece"])):
+        if left.setdefault(r["lang"], train_chars) > 0:
+            texts.setdefault(r["lang"], []).append(r["piece"][: left[r["lang"]]])
+            left[r["lang"]] -= len(r["piece"])
+    return Model(texts)
 
 
 def hash_of(text: str) -> int:
@@ -158,7 +155,7 @@ def parse(model: Model, tables: list[np.ndarray], codes: np.ndarray, alpha: np.n
             step = table[state[:m] * model.width + symbols[starts[:m] + i]]
             phrases[:m] += step < 0
             state[:m] = np.abs(step) - 1
-        cost[k] = np.bincount(lane_doc, phrases, minlength=n) * np.log2(model.sizes[k]) / np.maximum(sizes, 1)
+        cost[k] = np.bincount(lane_doc, phrases, minlength=n) * np.log2(model.sizes[k] + model.width) / np.maximum(sizes, 1)
     out = []
     for i in range(n):
         if not lettered[i] or not len(tables):
@@ -170,6 +167,17 @@ def parse(model: Model, tables: list[np.ndarray], codes: np.ndarray, alpha: np.n
     return out
 
 
+def lettered():
+    """UDF: whether a text has letters, as `predictor` sees them."""
+
+    @arrow_udf("boolean")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([any(map(str.isalpha, t or "")) for t in batch.to_pylist()], pa.bool_())
+
+    return run
+
+
 def predictor(model: Model):
     """UDF: text to (lang_pred, score). The score is the runner-up's cost over the sum of both: 0.5 is a tie."""
 
@@ -187,7 +195,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of `docs` (doc_id, text), from its whole text alone.
 
     A document is parsed greedily into the longest phrases found in each language's sample; phrases times the logarithm of
-    the sample's size, per character, is its cost, and the lowest wins (ties: the first by name). A null text, one
+    the sample's size and the number of letters (a phrase is one of its places, or a letter it lacks), per character, is its cost, and the lowest wins (ties: the first by name). A null text, one
     without letters, or a model without languages gives `und` and 0. Case, digits and punctuation do not count.
     """
     return docs.select("doc_id", predictor(model)("text").alias("p")).select("doc_id", "p.lang_pred", "p.score")

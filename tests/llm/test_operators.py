@@ -140,6 +140,27 @@ def test_language(docs, none, spark):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.learn(fresh.where("false").withColumn("lang", F.lit("q")))).collect()} == {"und"}
 
 
+def test_no_language_is_lost_to_long_texts_or_copies(spark):
+    made = lambda syllables, n: " ".join("".join(RNG.choice(syllables) for _ in range(2)) for _ in range(n))
+    syllables = {"long": ["ta", "ri", "no", "es"], "copies": ["at", "ir", "on", "se"], "plain": ["ba", "lu", "ke"], "small": ["xo", "qi"]}
+    rows = [(made(syllables["plain"], 100), "plain") for _ in range(400)] + [(made(syllables["copies"], 1000), "copies")] * 300
+    rows += [(made(syllables["small"], 2), "small")] + [(made(syllables["long"], 9), "long")] * 2
+    for _ in range(4):  # one text holds nearly all of a language
+        model = langid.learn(spark.createDataFrame([*rows, (made(syllables["long"], 100_000), "long")], "text string, lang string"), 1024)
+        assert model.languages == sorted(syllables) and max(model.sizes) <= 1024 + 100
+        asked = [(made(syllables[k], 60), k) for k in ("long", "copies", "plain") for _ in range(20)]
+        docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(asked)], "doc_id bigint, text string")
+        assert [r["lang_pred"] for r in langid.identify(docs, model).orderBy("doc_id").collect()] == [k for _, k in asked]
+
+
+def test_pipeline_keeps_texts_without_any_label(spark):
+    import corpus_pipeline
+
+    table = spark.createDataFrame([(0, "a text", None), (1, "...", None), (2, None, None), (3, "漢字", None), (4, "", None)], "doc_id bigint, text string, lang string")
+    kept = corpus_pipeline.language(spark, table, "")
+    assert kept.columns == table.columns and {r["doc_id"] for r in kept.collect()} == {0, 3}
+
+
 def test_phrases_are_the_longest_found(spark):
     text = "abracadabra banana bandana"
     model = langid.Model({"x": [text]})
