@@ -9,8 +9,9 @@ from pyspark.sql.functions import arrow_udf
 
 from framewright.llm.bpe import chunks
 
-#: Bounds of the model: characters of text per language, characters of a sampled piece, letters.
-TRAIN_CHARS, SAMPLE_PIECE, MAX_LETTERS = 1 << 15, 512, 126
+#: Bounds of the model: characters of text per language, characters of a sampled piece; entries of tables that hold every letter in
+#: every state, and of all of them together (4 bytes each). What does not fit is kept as sorted edges.
+TRAIN_CHARS, SAMPLE_PIECE, DENSE, ALL_DENSE = 1 << 15, 512, 1 << 23, 1 << 25
 #: Phrases end every so many characters at the latest, so that the pieces of a text are parsed side by side.
 LANE = 256
 SEPARATOR, SPACE = 0, 1
@@ -45,6 +46,20 @@ def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
     return np.array([(s, c, t) for s, line in enumerate(step) for c, t in line.items() if c != SEPARATOR], np.int32).reshape(-1, 3)
 
 
+class Edges:
+    """The entries of a table of `Model.tables`, looked up among sorted edges instead of in an array of all letters by all states."""
+
+    def __init__(self, edges: np.ndarray, first: np.ndarray) -> None:
+        keys = edges[:, 0].astype(np.int64) * len(first) + edges[:, 1]
+        order = np.argsort(keys)
+        self.keys, self.next = np.r_[keys[order], np.iinfo(np.int64).max], np.r_[edges[order, 2] + 1, 0].astype(np.int32)
+        self.missing = -(first + 1)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.next[at], self.missing[keys % len(self.missing)])
+
+
 class Model:
     """Suffix automata per language as edge lists; `tables` makes the arrays that parse with them."""
 
@@ -56,7 +71,7 @@ class Model:
                 for c in piece.lower():
                     if c.isalpha():
                         letters[c] = letters.get(c, 0) + 1
-        common = sorted(letters, key=lambda c: (-letters[c], c))[:MAX_LETTERS]
+        common = sorted(letters, key=lambda c: (-letters[c], c))
         self.letter = {c: i + 2 for i, c in enumerate(common)}
         self.width = len(common) + 2
         self.sizes, self.edges = [], []
@@ -73,14 +88,18 @@ class Model:
                 out.append(s)
         return out
 
-    def tables(self) -> list[np.ndarray]:
+    def tables(self) -> list[np.ndarray | Edges]:
         """Per language, next state + 1 by state and symbol; negative where a phrase ends and the next starts with the symbol."""
-        out = []
+        out, room = [], ALL_DENSE
         for edges in self.edges:
             states = int(edges[:, [0, 2]].max()) + 1 if len(edges) else 1
             first = np.zeros(self.width, np.int32)
             root = edges[edges[:, 0] == 0]
             first[root[:, 1]] = root[:, 2]
+            if states * self.width > min(DENSE, room):
+                out.append(Edges(edges, first))
+                continue
+            room -= states * self.width
             table = np.tile(-(first + 1), (states, 1))
             table[edges[:, 0], edges[:, 1]] = edges[:, 2] + 1
             out.append(table.reshape(-1))
@@ -89,7 +108,7 @@ class Model:
     def codes(self) -> np.ndarray:
         """Code point to symbol."""
         alpha = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-        table = np.where(alpha, SEPARATOR, SPACE).astype(np.uint8)
+        table = np.where(alpha, SEPARATOR, SPACE).astype(np.uint8 if self.width <= 256 else np.int32)
         for c, s in self.letter.items():
             table[ord(c)] = s
         return table, alpha
@@ -152,7 +171,7 @@ def parse(model: Model, tables: list[np.ndarray], codes: np.ndarray, alpha: np.n
         for i, m in enumerate(live):
             if not m:
                 break
-            step = table[state[:m] * model.width + symbols[starts[:m] + i]]
+            step = table[state[:m] * np.int64(model.width) + symbols[starts[:m] + i]]
             phrases[:m] += step < 0
             state[:m] = np.abs(step) - 1
         cost[k] = np.bincount(lane_doc, phrases, minlength=n) * np.log2(model.sizes[k] + model.width) / np.maximum(sizes, 1)

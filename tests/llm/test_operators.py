@@ -153,6 +153,30 @@ def test_no_language_is_lost_to_long_texts_or_copies(spark):
         assert [r["lang_pred"] for r in langid.identify(docs, model).orderBy("doc_id").collect()] == [k for _, k in asked]
 
 
+def test_languages_of_large_alphabets_are_told_apart(spark):
+    # two languages of the same 2,000 letters, which many letters of others outnumber
+    signs = [chr(0x4E00 + i) for i in range(2000)]
+    words = {k: ["".join(RNG.choice(signs) for _ in range(3)) for _ in range(700)] for k in ("one", "two")}
+    latin = ["".join(RNG.choice("abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ") for _ in range(6)) for _ in range(300)]
+    cyrillic = ["".join(chr(RNG.randrange(0x430, 0x482)) for _ in range(6)) for _ in range(300)]
+    words |= {"a latin": latin, "cyrillic": cyrillic}
+    made = lambda k, n: " ".join(RNG.choice(words[k]) for _ in range(n))
+    table = spark.createDataFrame([(made(k, 400), k) for k in words for _ in range(12)], "text string, lang string")
+    model = langid.learn(table)
+    assert model.width > 1500 and any(isinstance(t, langid.Edges) for t in model.tables())
+    asked = [(made(k, 30), k) for k in words for _ in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(asked)], "doc_id bigint, text string")
+    assert [r["lang_pred"] for r in langid.identify(docs, model).orderBy("doc_id").collect()] == [k for _, k in asked]
+
+
+def test_sorted_edges_are_the_table():
+    model = langid.Model({"x": ["abracadabra banana bandana"], "y": ["", "дом漢字"]})
+    for edges, table in zip(model.edges, model.tables()):
+        first = np.zeros(model.width, np.int32)
+        first[edges[edges[:, 0] == 0, 1]] = edges[edges[:, 0] == 0, 2]
+        assert (langid.Edges(edges, first)[np.arange(len(table))] == table).all()
+
+
 def test_pipeline_keeps_texts_without_any_label(spark):
     import corpus_pipeline
 
