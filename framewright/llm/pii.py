@@ -79,19 +79,39 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
         before = [m for m in WORD.finditer(text, low, start) if free(m)][-REACH:]
         after = [m for m in WORD.finditer(text, end, high) if free(m)][:REACH]
         words = [{"term": m[0].lower(), "start": m.start(), "end": m.end()} for m in before + after]
-        if words:
-            out.append({"entity": entity(kind, text[start:end]), "words": words})
+        out.append({"entity": entity(kind, text[start:end]), "words": words})
     return out
 
 
+def vocabulary(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
+    """Every term of the text with the starts and ends, in turn, of its places that are in no span."""
+    found: dict[str, list[int]] = {}
+    covered, i = [], 0
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    for m in WORD.finditer(text):
+        s, e = m.span()
+        while i < len(covered) and covered[i][1] <= s:
+            i += 1
+        if i == len(covered) or covered[i][0] >= e:
+            found.setdefault(m[0].lower(), []).extend((s, e))
+    return [{"term": t, "at": at} for t, at in found.items()]
+
+
 SCANNED = (
     "doc_id bigint, key string, spans array<struct<kind:int,start:bigint,end:bigint>>, "
-    "contexts array<struct<entity:string,words:array<struct<term:string,start:bigint,end:bigint>>>>, term string, times bigint"
+    "contexts array<struct<entity:string,words:array<struct<term:string,start:bigint,end:bigint>>>>, "
+    "words array<struct<term:string,at:array<bigint>>>, term string, times bigint"
 )
+#: Words of texts with entities that a worker holds before it hands them on.
+HELD_WORDS = 200_000
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: a row per document with its spans and contexts, and word counts of each task (term, times)."""
+    """One pass over the texts: a row per document with its spans, contexts and, if it has any, words, and word counts of each task (term, times)."""
 
     def make():
         counts: Counter = Counter()
@@ -99,21 +119,25 @@ def scanned(docs: DataFrame) -> DataFrame:
         def totals() -> Iterator[dict]:
             if counts:
                 nothing = [None] * len(counts)
-                yield {"doc_id": nothing, "key": nothing, "spans": nothing, "contexts": nothing, "term": list(counts), "times": list(counts.values())}
+                yield {"doc_id": nothing, "key": nothing, "spans": nothing, "contexts": nothing, "words": nothing, "term": list(counts), "times": list(counts.values())}
                 counts.clear()
 
         def work(ids, keys, texts):
-            spans = []
-            around = []
-            for text in texts:
+            spans, around, words, begin, size = [], [], [], 0, 0
+            for i, text in enumerate(texts):
                 found = base_spans(text) if text else []
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
                 around.append(contexts(text, found) if found else [])
+                words.append(vocabulary(text, found) if found else [])
+                size += sum(len(w["at"]) // 2 for w in words[-1])
                 if text:
                     counts.update(WORD.findall(text.lower()))
                     if len(counts) > 400_000:
                         yield from totals()
-            yield {"doc_id": ids, "key": keys, "spans": spans, "contexts": around, "term": [None] * len(ids), "times": [None] * len(ids)}
+                if size > HELD_WORDS or i == len(texts) - 1:
+                    nothing = [None] * len(spans)
+                    yield {"doc_id": ids[begin : i + 1], "key": keys[begin : i + 1], "spans": spans, "contexts": around, "words": words, "term": nothing, "times": nothing}
+                    spans, around, words, begin, size = [], [], [], i + 1, 0
 
         work.flush = totals
         return work
@@ -152,19 +176,21 @@ def revealing(rows: DataFrame, disclosure: float = DISCLOSURE, support: int = SU
 def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(doc_id, key, spans, terms) for every row of `docs` (doc_id, text).
 
-    spans: (kind number, start, end) of the four forms. terms: (start, end, stem) of words that reveal an entity of the same text, in
-    whose context they stand; stem is what a generalised term keeps, null where the term goes altogether. Offsets are code points.
+    spans: (kind number, start, end) of the four forms. terms: (start, end, stem) of words that reveal an entity of the same text,
+    wherever in it they stand; texts without the entity keep them. stem is what a generalised term keeps, null where the term goes altogether. Offsets are code points.
     A null or empty text has neither. Repeated rows are repeated, no rows give none, other columns are ignored. key is the
     MD5 of the text: equal texts have equal findings.
     """
     rows = cut(scanned(docs))
     own = rows.where("key IS NOT NULL")
-    near = own.where("size(contexts) > 0").dropDuplicates(["key"]).select("key", F.explode("contexts").alias("c"))
-    places = near.select("key", "c.entity", F.explode("c.words").alias("w")).select("key", "entity", "w.*")
-    told = places.join(revealing(rows, disclosure, support), ["entity", "term"])
-    each = told.groupBy("key", "start", "end").agg(F.min("stem").alias("stem"), F.count_if(F.col("stem").isNull()).alias("bare"))
+    near = own.where("size(contexts) > 0").dropDuplicates(["key"])
+    held = near.select("key", F.explode("contexts.entity").alias("entity")).distinct()
+    words = near.select("key", F.explode("words").alias("w")).select("key", "w.term", "w.at")
+    told = words.join(cut(revealing(rows, disclosure, support)), "term").join(held, ["key", "entity"], "left_semi")
+    each = told.groupBy("key", "term").agg(F.first("at").alias("at"), F.min("stem").alias("stem"), F.count_if(F.col("stem").isNull()).alias("bare"))
     each = each.withColumn("stem", F.when(F.col("bare") == 0, F.col("stem")))
-    terms = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "stem"))).alias("terms"))
+    places = F.expr("transform(sequence(0, size(at) DIV 2 - 1), i -> struct(at[2 * i] AS start, at[2 * i + 1] AS end, stem AS stem))")
+    terms = each.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list(places))).alias("terms"))
     return own.join(terms, "key", "left").select("doc_id", "key", "spans", F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,stem:string>>")).alias("terms"))
 
 

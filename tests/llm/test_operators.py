@@ -97,6 +97,20 @@ def test_terms_that_reveal_an_entity_are_hidden(spark):
     assert all("zorblatt" not in clean[i] and "x.y@" not in clean[i] and "river" in clean[i] for i, _ in told) and all(clean[i] == t for i, t in plain)
 
 
+def test_revealing_terms_are_hidden_throughout_the_texts_of_their_entity(spark):
+    plain = [(i, " ".join(RNG.choice("river stone light wind".split()) for _ in range(60))) for i in range(60)]
+    far = " stone river" * 60
+    told = [(100 + i, f"Zorblatt{far} {'abcdef'[i] * 4} zorblatt x.y@mail.example.com river stone{far} zorblatt, zorblatt@z.example.com") for i in range(6)]
+    bare = [(200, "zorblatt" + far + "\n1 x.y@mail.example.com")]
+    bare += [(201, "zorblatt" + "!" * 400 + "x.y@mail.example.com")]  # no word is near enough
+    table = spark.createDataFrame(plain + told + bare, "doc_id bigint, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(table, 0.6).collect()}
+    assert all("zorblatt" not in clean[i].lower() and "stone" in clean[i] for i, _ in told + bare[:1]) and clean[201].endswith("!" * 400 + "[EMAIL]") and "zorblatt" not in clean[201]
+    found = {r["doc_id"]: r["terms"] for r in pii.find(table, 0.6).collect()}
+    for i, text in told:
+        assert [text[t["start"] : t["end"]].lower() for t in found[i]].count("zorblatt") == 3
+
+
 def simhash_by_bits(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
