@@ -183,6 +183,14 @@ def test_languages_of_large_alphabets_are_told_apart(spark):
     assert [r["lang_pred"] for r in langid.identify(docs, model).orderBy("doc_id").collect()] == [k for _, k in asked]
 
 
+def test_many_languages_with_copies(spark):
+    rows = [(i, chr(0x4E00 + i) * 3, f"l{i}") for i in range(70)]
+    table = spark.createDataFrame(rows * 5, "doc_id bigint, text string, lang string")
+    model = langid.learn(table)
+    assert len(model.languages) == 70 and set(model.sizes) == {4}  # one separator and three letters: copies count once
+    assert {(r["doc_id"], r["lang_pred"]) for r in langid.identify(table, model).collect()} == {(i, name) for i, _, name in rows}
+
+
 def test_sorted_edges_are_the_table():
     model = langid.Model({"x": ["abracadabra banana bandana"], "y": ["", "дом漢字"]})
     for edges, table in zip(model.edges, model.tables()):
