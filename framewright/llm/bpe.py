@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from framewright.llm.common import process_cache, scan
+from framewright.llm.common import chunks, process_cache, scan
 
 #: Texts of more characters are cut into pieces of at most PIECE.
 LONG, PIECE = 1 << 15, 1 << 14
@@ -55,19 +55,6 @@ class Words:
         return [b"".join([memo[w] for w in words]) for words in split]
 
 
-def chunks(texts: list, size: int = 1 << 19) -> Iterator[list]:
-    """Consecutive texts of about `size` characters together."""
-    held, n = [], 0
-    for t in texts:
-        held.append(t)
-        n += len(t or "")
-        if n >= size:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
 def namer(tokenizer):
     """Function from a list of ids to the text that the library decodes them to, special tokens kept."""
     if tokenizer.decoder is None:

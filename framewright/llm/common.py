@@ -51,6 +51,19 @@ def scan(df: DataFrame, schema: str, make: Callable[[], Callable[..., Iterator[d
     return df.mapInArrow(run, schema)
 
 
+def chunks(texts: list, size: int = 1 << 19) -> Iterator[list]:
+    """Consecutive texts of about `size` characters together."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t or "")
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def process_cache() -> dict:
     """What a Python worker keeps from task to task. Functions are shipped by value, so a module of theirs would be new for each."""
     import sys

@@ -7,8 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from framewright.llm.bpe import chunks
-from framewright.llm.common import scan
+from framewright.llm.common import chunks, scan
 from framewright.llm.words import letters_table, mix, word_hashes
 from framewright.session import cut
 

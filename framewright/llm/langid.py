@@ -7,7 +7,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from framewright.llm.bpe import chunks
 
 #: Bounds of the model: characters of text per language, characters of a sampled piece; entries of tables that hold every letter in
 #: every state, and of all of them together (4 bytes each). What does not fit is kept as sorted edges.

@@ -121,3 +121,11 @@ def op10(spark, sf_dir):
     from framewright.llm.decontaminate import digest
 
     return digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_katz")
+def op11(spark, sf_dir):
+    from framewright.llm.katz import score
+
+    found = score(table(spark, sf_dir, "documents"), fold("doc_id", 5) != 1)
+    return found.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -14,8 +14,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from framewright.llm.bpe import chunks, load
-from framewright.llm.common import process_cache, scan
+from framewright.llm.bpe import load
+from framewright.llm.common import chunks, process_cache, scan
 
 BLOCK_DOCS, BLOCK_IDS = 1024, 1 << 20
 BLOCK = "part int, block int, dict_hash string, before bigint, doc_ids array<bigint>, counts array<bigint>, offsets array<bigint>, payload binary"

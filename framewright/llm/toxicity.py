@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from framewright.llm.bpe import chunks
+from framewright.llm.common import chunks
 from framewright.llm.words import letters_table, mix, word_hashes
 
 #: Bits of the feature space; rows of the fitting sample; rows that one learner gets; passes over them.
