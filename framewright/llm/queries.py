@@ -129,3 +129,17 @@ def op11(spark, sf_dir):
 
     found = score(table(spark, sf_dir, "documents"), fold("doc_id", 5) != 1)
     return found.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op12_resampling")
+def op12(spark, sf_dir):
+    from framewright.llm.resample import draw
+
+    return draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    from framewright.llm.whiten import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
