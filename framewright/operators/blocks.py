@@ -9,10 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
+from framewright.session import cut
+
 BLOCK_ROWS = 1 << 16
 ORDINAL_SPAN = 1 << 22
+#: Blocks whose maps meet in one task.
+FAN = 1024
 
 
 def block_id(idx: str, rows: int) -> Column:
@@ -148,6 +154,44 @@ def running(
     )
 
 
+def chained(maps: DataFrame, keys: list[str], first: int, reverse: bool = False, fan: int = FAN) -> DataFrame:
+    """(keys, _blk, _entry): with what every block of a key is entered, if each leads from an entry to an exit.
+
+    `maps` has keys, _blk and m, the exit for every entry; an exit is the entry of the next block. `first` is the entry of
+    the first block; with `reverse`, blocks are entered from the last one on, and `first` is the column of `maps` that names its entry there.
+    Runs of `fan` blocks are summed up by the map of all of them, so a task sees the blocks of a run or one row per run.
+    """
+    maps = cut(maps)
+    ddl = ", ".join(f"`{k}` {maps.schema[k].dataType.simpleString()}" for k in keys)
+    given = first if isinstance(first, str) else None
+
+    def through(pdf: pd.DataFrame, by: str, entry: int) -> pd.DataFrame:
+        pdf, entries = pdf.sort_values(by, ascending=not reverse), []
+        for m in pdf["m"]:
+            entries.append(entry)
+            entry = int(m[entry])
+        return pdf.assign(_entry=entries)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_blk", ascending=not reverse)
+        whole = np.arange(len(pdf["m"].iloc[0]))
+        for m in pdf["m"]:
+            whole = np.asarray(m)[whole]
+        head = pdf.iloc[:1]
+        return head[[*keys, "_run"]].assign(m=[whole], _first=int(head[given].iloc[0]) if given else first)
+
+    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        entry = pdf.sort_values("_run", ascending=not reverse)["_first"].iloc[0]
+        return through(pdf, "_run", int(entry))[[*keys, "_run", "_entry"]]
+
+    dealt = maps.withColumn("_run", F.expr(f"_blk div {fan}"))
+    run_maps = dealt.groupBy(*keys, "_run").applyInPandas(fold, f"{ddl}, _run bigint, m array<int>, _first int")
+    run_entry = run_maps.groupBy(*keys).applyInPandas(runs, f"{ddl}, _run bigint, _entry int")
+    met = join_on(dealt, run_entry.withColumnRenamed("_entry", "_e"), [*keys, "_run"])
+    schema = f"{ddl}, _blk bigint, _entry int"
+    return cut(met.groupBy(*keys, "_run").applyInPandas(lambda pdf: through(pdf, "_blk", int(pdf["_e"].iloc[0]))[[*keys, "_blk", "_entry"]], schema))
+
+
 def with_group(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     """Attach per-key aggregates. The aggregate is combined before its shuffle and joined back as one row per key."""
     return join_on(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys)

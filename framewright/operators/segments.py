@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framewright.operators.blocks import framed, in_spans, ordinal, running, with_group
+from framewright.operators.blocks import BLOCK_ROWS, chained, framed, halo, in_spans, ordinal, running, with_group
 from framewright.session import cut
 
 
@@ -70,6 +72,166 @@ def speech_segments(
     return ordinal(segs, keys, ["start"], F.expr(f"start div {1 << 22}"), "seg_no").select(*keys, "seg_no", "start", "end", "len")
 
 
+class _Jumps:
+    """Segments of at most `limit` frames in a stretch of rows, as jumps from one moment of decision to the next.
+
+    There are two kinds of moments: nothing is open from row r on, or the segment that began at an earlier pause was just cut
+    at row r. In both the machine remembers nothing that r does not tell, so every moment has one successor, at most
+    `limit` + 1 rows on or at the next onset. `own` is the stretch of rows whose moments are asked for; the
+    rows hold `limit` more on either side, as far as the series has them.
+    """
+
+    def __init__(self, at: np.ndarray, p: np.ndarray, threshold: float, limit: int, min_speech: float, min_silence: int, pause: int) -> None:
+        self.first, n = int(at[0]), len(p)
+        self.n, self.limit, self.min_speech = n, limit, min_speech
+        onset, quiet = np.flatnonzero(p >= threshold), np.flatnonzero(p < threshold - 0.15)
+
+        def following(places: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            """The first of `places` at or after each row; far beyond the end where there is none."""
+            return np.r_[places, 4 * n + 4 * limit][np.searchsorted(places, rows)]
+
+        rows = np.arange(n)
+        self.onset = following(onset, np.arange(n + 1))
+        after = self.onset[1:]  # the onset that ends the pause a row lies in
+        # a pause watched from row r on: where it begins, where it is long enough to close, and where long enough to cut at
+        self.pause = following(quiet, rows)
+        closes, cuts = following(quiet, self.pause + min_silence), following(quiet, self.pause + pause + 1)
+        self.closes, self.cuts = np.where(closes < after, closes, -1), np.where(cuts < after, cuts, -1)
+        self.after = after
+        # the next onset whose pause closes, and the last watch (from an onset or the first row) whose pause allows a cut before a row
+        closing = onset[self.closes[onset] >= 0]
+        self.closing = np.r_[following(closing, rows + 1)]
+        watch = np.unique(np.r_[0, onset])
+        allowed = watch[self.cuts[watch] >= 0]
+        self.allowed = np.r_[-1, allowed][np.searchsorted(self.cuts[allowed], np.arange(n + 1))]
+
+    def begun(self, cut: np.ndarray) -> np.ndarray:
+        """Where the segment began that is open after a cut at a row; -1 where no segment can be."""
+        watch = self.allowed[cut]
+        start = np.where(watch >= 0, self.after[np.maximum(watch, 0)], -1)
+        return np.where((start <= cut) & (cut - start < self.limit), start, -1)
+
+    def follow(self, start: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What becomes of segments begun at `start` and watched from row `seen` on: end, whether it is kept, next moment (its row, and whether that is a cut)."""
+        n, cut = self.n, start + self.limit
+        here = self.closes[seen] >= 0
+        onset = np.minimum(self.closing[seen], n - 1)
+        close = np.where(here, self.closes[seen], np.where(self.closing[seen] < n, self.closes[onset], 4 * n))
+        end = np.where(here, self.pause[seen], self.pause[onset])
+        closed = close < np.minimum(cut, n)
+        is_cut = ~closed & (cut < n)
+        row = np.minimum(cut, n - 1)
+        watch = np.where(self.allowed[row] > seen, self.allowed[row], np.where((self.cuts[seen] >= 0) & (self.cuts[seen] < row), seen, -1))
+        paused = is_cut & (watch >= 0)
+        w = np.maximum(watch, 0)
+        goes_on = paused & (self.after[w] <= row)
+        ends = np.where(closed, end, np.where(paused, self.pause[w], np.where(is_cut, cut, n)))
+        keep = is_cut | (ends - start > self.min_speech)
+        after = np.where(closed, close + 1, np.where(is_cut, np.where(goes_on, cut, cut + 1), n))
+        return ends, keep, after, goes_on
+
+    def successors(self, low: int, high: int) -> np.ndarray:
+        """Exit of every entry to the rows [low, high).
+
+        Entry and exit number i of the first limit + 2 say that nothing is open from the i-th row after the border on, the
+        others that a segment was cut at that row.
+        """
+        size, rows = self.limit + 2, np.arange(low, high)
+        count = high - low
+        # moments 0 .. count - 1: nothing open; count .. 2 * count - 1: cut; then the exits
+        exits = 2 * count
+        start = self.onset[rows]
+        open_ = start < high
+        safe = np.where(open_, start, 0)
+        _, _, after, goes_on = self.follow(safe, safe)
+        target = np.full(2 * count + 2 * size, -1)
+        target[:count] = np.where(open_, self._moment(after, goes_on, low, high), exits)
+        begun = self.begun(rows)
+        known = begun >= 0
+        _, _, after, goes_on = self.follow(np.where(known, begun, 0), np.where(known, rows, 0))
+        target[count:exits] = np.where(known, self._moment(after, goes_on, low, high), exits)
+        target[exits:] = np.arange(exits, exits + 2 * size)
+        while (target[:exits] < exits).any():
+            target = target[target]
+        entry = np.arange(2 * size) % size
+        inside = entry < count
+        moment = np.where(np.arange(2 * size) < size, entry, count + entry)
+        through = exits + np.arange(2 * size) - count  # a moment beyond these rows passes them
+        return target[np.where(inside, moment, through)] - exits
+
+    def _moment(self, row: np.ndarray, is_cut: np.ndarray, low: int, high: int) -> np.ndarray:
+        count, size = high - low, self.limit + 2
+        inside = np.where(is_cut, count, 0) + row - low
+        beyond = 2 * count + np.where(is_cut, size, 0) + np.minimum(row - high, size - 1)
+        return np.where(row < high, inside, beyond)
+
+    def walk(self, entry: int, low: int, high: int) -> list[tuple[int, int]]:
+        """The segments decided from an entry on within the rows [low, high)."""
+        size, found = self.limit + 2, []
+        row, is_cut = low + entry % size, entry >= size
+        while row < high:
+            start = int(self.begun(np.array([row]))[0]) if is_cut else int(self.onset[row])
+            if start >= high:
+                break
+            end, keep, after, goes_on = (v[0] for v in self.follow(np.array([start]), np.array([row if is_cut else start])))
+            if keep:
+                found.append((self.first + start, self.first + int(end)))
+            row, is_cut = int(after), bool(goes_on)
+        return found
+
+
+def limited_segments(
+    df: DataFrame, keys, idx: str, p: str, max_speech: int, threshold=0.5, min_speech=2, min_silence=2, pause=1, rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """`speech_segments` of at most `max_speech` frames: keys, seg_no, start, end, len (of the series), in frames.
+
+    A segment that is longer at some row is cut there. If since it began, or since the last cut, there was a pause of more than `pause` frames,
+    it ends where the last such pause begins, and the next one begins at the onset after that pause; if no onset came yet, the next onset
+    begins one. Without such a pause it ends at the row itself. A cut also starts the count of silence anew. Cut segments are kept
+    whatever their length. Positions are dense from 0; a NULL probability is neither speech nor silence.
+
+    What a cut leaves depends on the row alone, so each block of `rows` rows is summed up by where it leads from
+    every row at which a cut before it can fall; the blocks are chained, and a second pass gives the segments of each block.
+    """
+    if max_speech < 1 or min_silence < 1:
+        raise ValueError("max_speech and min_silence must be at least 1")
+    limit = int(max_speech) + 1
+    spread = halo(df.select(*keys, idx, F.col(p).cast("double").alias("_p")), keys, idx, limit, limit + 1, rows)
+    ddl = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def jumps(pdf: pd.DataFrame) -> tuple[_Jumps, int, int]:
+        at = pdf[idx].to_numpy(np.int64)
+        own = np.flatnonzero(pdf["_own"].to_numpy(bool))
+        made = _Jumps(at, pdf["_p"].to_numpy(np.float64), threshold, limit, min_speech, min_silence, pause)
+        return made, int(own[0]), int(own[-1]) + 1
+
+    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(idx)
+        if not pdf["_own"].any():  # rows before the first of a block that the series does not reach
+            return pdf.iloc[:0][[*keys, "_blk"]].assign(m=pd.Series(dtype=object))
+        made, low, high = jumps(pdf)
+        return pdf.iloc[:1][[*keys, "_blk"]].assign(m=[made.successors(low, high)])
+
+    maps = spread.groupBy(*keys, "_blk").applyInPandas(lead, f"{ddl}, _blk bigint, m array<int>")
+    entries = chained(maps, keys, 0)
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(idx)
+        made, low, high = jumps(pdf)
+        found = made.walk(int(pdf["_entry"].iloc[0]), low, high)
+        out = pd.DataFrame(found, columns=["start", "end"], dtype="int64")
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    on = [spread[k].eqNullSafe(entries[k]) for k in keys] + [spread["_blk"] == entries["_blk"]]
+    fed = spread.join(entries, on).select(*[spread[c] for c in spread.columns], entries["_entry"])
+    segs = cut(fed.groupBy(*keys, "_blk").applyInPandas(mark, f"{ddl}, start bigint, end bigint"))
+    lengths = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("len"))
+    numbered = ordinal(segs, keys, ["start"], F.expr(f"start div {1 << 22}"), "seg_no")
+    return numbered.join(lengths, keys).select(*keys, "seg_no", "start", "end", "len")
+
+
 def pad_segments(segs: DataFrame, keys, pad: int, **opts) -> DataFrame:
     """Widen segments by `pad` on both sides; a gap too short for both pads is halved between its neighbours."""
 

@@ -116,6 +116,32 @@ def speech_segments(spark, d):
     return found_segments(spark, d).select("sid", "seg_no", "start", "end")
 
 
+LIMITED = """st AS (SELECT sid, idx, p, false AS open, 0 AS a, 0 AS q, 0 AS e, 0 AS r, NULL::BIGINT AS s0, NULL::BIGINT AS s1 FROM prob
+    WHERE false UNION ALL SELECT sid, -1, 0.0, false, 0, 0, 0, 0, NULL, NULL FROM (SELECT DISTINCT sid FROM prob)
+  UNION ALL SELECT sid, idx, p,
+    CASE WHEN fresh THEN true WHEN cut AND e > 0 THEN again >= e WHEN cut OR closed THEN false ELSE open END,
+    CASE WHEN fresh THEN idx WHEN cut AND e > 0 AND again >= e THEN again WHEN cut OR closed THEN 0 ELSE a END,
+    CASE WHEN cut AND e > 0 AND again >= e AND low THEN idx WHEN cut OR closed THEN 0 ELSE quiet END,
+    CASE WHEN cut OR closed THEN 0 WHEN open AND low AND idx - quiet > 1 THEN quiet ELSE e END,
+    CASE WHEN cut OR closed THEN 0 ELSE again END,
+    CASE WHEN cut OR (closed AND quiet - a > 2) THEN a END, CASE WHEN cut THEN CASE WHEN e > 0 THEN e ELSE idx END WHEN closed AND quiet - a > 2 THEN quiet END
+  FROM (SELECT *, open AND NOT cut AND low AND idx - quiet >= 3 AS closed FROM (SELECT *, loud AND NOT open AS fresh, open AND idx - a > 8 AS cut,
+      CASE WHEN open AND low AND q = 0 THEN idx WHEN loud THEN 0 ELSE q END AS quiet, CASE WHEN loud AND q > 0 AND r < e THEN idx ELSE r END AS again
+    FROM (SELECT x.sid, x.idx, x.p, x.p >= 0.5 AS loud, x.p < 0.35 AS low, s.open, s.a, s.q, s.e, s.r FROM st s JOIN prob x ON x.sid = s.sid AND x.idx = s.idx + 1))))"""
+
+
+@query(
+    "speech_segments_limited",
+    V.sql("prob", "", last="SELECT sid, count(*) AS n FROM prob GROUP BY sid").rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", {LIMITED} SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY s0) - 1 AS seg_no, s0 AS start, s1 AS "end" FROM
+    (SELECT sid, s0, s1 FROM st WHERE s0 IS NOT NULL UNION ALL SELECT sid, a, n FROM st JOIN last USING (sid) WHERE open AND idx = n - 1 AND n - a > 2)""",
+)
+def speech_segments_limited(spark, d):
+    """No segment of more than 8 frames; cuts fall into pauses of more than one."""
+    found = SG.limited_segments(V.prob(spark, d), KEY, "idx", "p", 8, min_silence=3, pause=1)
+    return found.select("sid", "seg_no", "start", "end")
+
+
 def found_segments(spark, d):
     return SG.speech_segments(V.prob(spark, d), KEY, "idx", "p")
 
