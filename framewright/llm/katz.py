@@ -96,11 +96,11 @@ class Block:
     """
 
     def __init__(self, data: bytes, buckets: int, models: list[dict], answers: list[list[bytes]], texts_learned: int) -> None:
-        self.words, places, self.lead, self.n, train = unpack(data)
-        self.places, self.buckets = places.astype(np.int64), buckets
-        sizes = self.lead.astype(np.int64) + self.n
-        self.owner = np.repeat(np.arange(len(sizes)), sizes)
-        offset = np.arange(len(self.owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.words, self.places, self.lead, self.n, train = unpack(data)
+        self.buckets = buckets
+        sizes = self.lead + self.n
+        self.owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        offset = np.arange(len(self.owner), dtype=np.int32) - np.repeat(np.cumsum(sizes, dtype=np.int32) - sizes, sizes)
         self.first, self.counted = offset == 0, offset >= self.lead[self.owner]
         self.learned = self.counted & (train[self.owner] > 0)
         self.order = np.argsort(self.words % np.uint64(buckets), kind="stable")
@@ -139,14 +139,17 @@ class Block:
         context, seen, word = context[self.asked], seen[self.asked], self.word[self.asked]
         hot = max(HOT, self.total // HOT_CONTEXTS)
         parts = -(-seen // hot)
-        salt = np.where(parts > 1, mix(word.view(np.uint64)) % np.maximum(parts, 1).view(np.uint64), np.uint64(0))
-        bucket = (mix((context.view(np.uint64) << np.uint64(1)) + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.buckets)).astype(np.int64)
+        dealt = np.flatnonzero(parts > 1)
+        mixed = context.view(np.uint64) << np.uint64(1)
+        mixed[dealt] += mix(word[dealt].view(np.uint64)) % parts[dealt].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        bucket = (mix(mixed) % np.uint64(self.buckets)).astype(np.int32)
+        del mixed
         order = np.lexsort((word, context, bucket))
         bucket, context, word = bucket[order], context[order], word[order]
         new = np.r_[True, (np.diff(bucket) != 0) | (np.diff(context) != 0) | (np.diff(word) != 0)][: len(order)]
         heads = np.flatnonzero(new)
-        self.pair = np.empty(len(order), np.int64)
-        self.pair[order] = np.cumsum(new) - 1
+        self.pair = np.empty(len(order), np.int32)
+        self.pair[order] = np.cumsum(new, dtype=np.int32) - 1
         self.bucket, self.context, self.follower = bucket[heads], context[heads], word[heads]
         at = order[heads]
         self.seen, self.dealt, self.lower = seen[at], parts[at] > 1, self.p[self.asked][at]
@@ -159,7 +162,7 @@ class Block:
             heads = np.flatnonzero(np.r_[True, np.diff(self.context[a:b]) != 0])
             yield bucket, pack(
                 narrow(np.diff(self.context[a:b][heads], prepend=0)), narrow(np.diff(np.r_[heads, b - a])), self.dealt[a:b][heads].view(np.uint8),
-                narrow(self.follower[a:b]), narrow(times[a:b]), self.lower[a:b],
+                narrow(self.follower[a:b]), narrow(times[a:b]), *indexed(self.lower[a:b]),
             )
 
     def climb(self, model: dict, answers: list[bytes]) -> None:
@@ -190,6 +193,12 @@ class Block:
         return np.bincount(self.owner[self.counted], values[self.counted], minlength=len(self.n))
 
 
+def indexed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and the place of each among them."""
+    distinct, place = np.unique(values, return_inverse=True)
+    return distinct, narrow(place)
+
+
 def runs(values: np.ndarray) -> list[tuple[int, int, int]]:
     """(value, start, end) of runs of equal neighbours."""
     cuts = np.r_[0, np.flatnonzero(np.diff(values)) + 1, len(values)] if len(values) else np.zeros(1, np.int64)
@@ -252,12 +261,12 @@ def answer_grams(pdf: pd.DataFrame, buckets: int, last: bool) -> pd.DataFrame:
     """One partition of the table of a higher level; n-grams get ids where they are the contexts of another level."""
     bucket, contexts, words, times, lowers, dealt = int(pdf["bucket"].iloc[0]), [], [], [], [], []
     for d in pdf["data"]:
-        steps, sizes, hot, follower, n, lower = unpack(d)
+        steps, sizes, hot, follower, n, lower, place = unpack(d)
         contexts.append(np.repeat(np.cumsum(steps.astype(np.int64)), sizes))
         dealt.append(np.repeat(hot, sizes))
         words.append(follower.astype(np.int64))
         times.append(n.astype(np.float64))
-        lowers.append(lower)
+        lowers.append(lower[place])
     ends = np.cumsum([len(w) for w in words])[:-1]
     context, word, n, lower, dealt = map(np.concatenate, (contexts, words, times, lowers, dealt))
     order = np.lexsort((word, context))
