@@ -154,14 +154,14 @@ def running(
     )
 
 
-def chained(maps: DataFrame, keys: list[str], first: int, reverse: bool = False, fan: int = FAN) -> DataFrame:
+def chained(maps: DataFrame, keys: list[str], first: int | str, reverse: bool = False, fan: int = FAN) -> DataFrame:
     """(keys, _blk, _entry): with what every block of a key is entered, if each leads from an entry to an exit.
 
     `maps` has keys, _blk and m, the exit for every entry; an exit is the entry of the next block. `first` is the entry of
-    the first block; with `reverse`, blocks are entered from the last one on, and `first` is the column of `maps` that names its entry there.
+    the first block, or the column of `maps` that names it there; with `reverse`, blocks are entered from the last one on.
     Runs of `fan` blocks are summed up by the map of all of them, so a task sees the blocks of a run or one row per run.
+    `maps` is read twice.
     """
-    maps = cut(maps)
     ddl = ", ".join(f"`{k}` {maps.schema[k].dataType.simpleString()}" for k in keys)
     given = first if isinstance(first, str) else None
 

@@ -72,13 +72,12 @@ def best_path(rows: DataFrame, group: list[str], c: str, z: str, states: int = 3
     """Bin of every frame on the best path through the frames of a track, whose steps follow a triangular band.
 
     `group` is the track's keys and then the frame's position, counted from 0. A softmax shifts all scores of a frame
-    alike and so changes no path: scores are taken as they are. A candidate that a frame does not have is impossible there.
+    alike and so changes no path: scores are taken as they are. A candidate that a frame does not have is impossible there; of
+    two scores for one candidate the higher counts.
     """
     if len(group) < 2:
         raise ValueError("the group needs the keys of a track before the position")
-    held = rows.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct(F.col(c).cast("int"), F.col(z).cast("double")))).alias("_m"))
-    scores = F.expr(f"transform(sequence(0, {states - 1}), s -> coalesce(try_element_at(_m, s), CAST('-Infinity' AS DOUBLE)))")
-    frames = held.select(*group, scores.alias("_lp"))
+    frames = rows.groupBy(*group).agg(F.collect_list(F.struct(F.col(c).cast("int"), F.col(z).cast("double"))).alias("_lp"))
     paths = viterbi(frames, group[:-1], group[-1], "_lp", band_matrix(states, width), np.log(np.full(states, 1 / states)))
     return paths.select(*group, F.col("state").alias("bin"))
 

@@ -212,7 +212,7 @@ def limited_segments(
         made, low, high = jumps(pdf)
         return pdf.iloc[:1][[*keys, "_blk"]].assign(m=[made.successors(low, high)])
 
-    maps = spread.groupBy(*keys, "_blk").applyInPandas(lead, f"{ddl}, _blk bigint, m array<int>")
+    maps = cut(spread.groupBy(*keys, "_blk").applyInPandas(lead, f"{ddl}, _blk bigint, m array<int>"))
     entries = chained(maps, keys, 0)
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -1,70 +1,140 @@
 """Recurrences over frame series: best paths, feedback filters, period estimates.
 
-A path or a filter depends on everything before it, yet each is cut into blocks: one pass sums up every block as a
-small operator (a score matrix, a decay), those are chained, and a last pass fills in the rows of each block.
+A path or a filter depends on everything before it. A filter is cut into blocks: one pass sums up every block as a decay, those are
+chained, and a last pass fills in the rows of each block. A path goes forward in order and is walked back in parallel.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from framewright.operators.blocks import BLOCK_ROWS, block_id, in_spans
+from framewright.operators.blocks import BLOCK_ROWS, FAN, block_id, chained, in_spans, join_on
 from framewright.operators.frames import EPS
 from framewright.session import cut
 
-FAN = 1024
-
 
 def _ddl(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def _stack(column) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in column])
+class Steps:
+    """Best predecessors under a transition matrix that has its lowest value everywhere but on some diagonals.
 
+    Only the diagonals are looked at one by one; over all other states the best is the best of all at the lowest value. A
+    matrix without such a value has all of its diagonals looked at. The result, ties to the lowest state and rounding
+    included, is that of looking at every pair of states.
+    """
 
-def _maxplus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a[:, :, None] + b[None, :, :]).max(1)
+    def __init__(self, step: np.ndarray) -> None:
+        n = len(step)
+        self.floor = step.min()
+        ahead = np.subtract.outer(np.arange(n), np.arange(n)).T  # from state i to j: j - i
+        kept = np.unique(ahead[step > self.floor])[::-1]  # the farthest step first, so predecessors ascend
+        kept = kept if len(kept) else np.zeros(1, np.int64)
+        before = np.arange(n)[:, None] - kept
+        self.inside = (before >= 0) & (before < n)
+        self.before = np.where(self.inside, before, 0)
+        self.cost = np.where(self.inside, step[self.before, np.arange(n)[:, None]], -np.inf)
+        self.rows = np.arange(n)
+
+    def ahead(self, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every state the best score of reaching it from scores `now`, and the state it is reached from."""
+        reach = now[self.before] + self.cost
+        at = reach.argmax(1)
+        best, origin = reach[self.rows, at], self.before[self.rows, at]
+        far = now + self.floor
+        top = int(far.argmax())
+        other = (far[top] > best) | ((far[top] == best) & (top < origin))
+        return np.where(other, far[top], best), np.where(other, top, origin)
+
+
+#: Frames whose steps back make one row.
+CHUNK = 512
 
 
 def viterbi(
-    frames: DataFrame, keys: list[str], idx: str, scores: str, transition: np.ndarray, initial: np.ndarray, block: int = BLOCK_ROWS
+    frames: DataFrame, keys: list[str], idx: str, scores: str, transition: np.ndarray, initial: np.ndarray, block: int = CHUNK
 ) -> DataFrame:
-    """Best state path by log score: keys, idx, state. Ties within a block go to the lowest state.
+    """Best state path by log score: keys, idx, state. Ties go to the lowest state.
 
-    `scores` is an array column with one log score per state, `transition[i, j]` the log score of a step from i to j,
-    `initial` the log score of starting in each state. A key of one block is solved in one task. Longer keys sum up
-    each block by a matrix of states × states (tens of states at most), chained in runs of `FAN`, so that no task sees
-    more than one run of blocks or one row per run.
+    `scores` is an array column with one log score per state, or an array of (state, score) structs in which missing states
+    are impossible. `transition[i, j]` is the log score of a step from i to j, `initial` the log score of starting in each state.
+
+    A path depends on everything before it, to the last bit: each key streams through one task in order, a batch of frames at
+    a time, which keeps the scores of one frame and the steps back of one chunk of `block` frames. The chunks are written as
+    rows with the steps back and the map from the state after the chunk to that before it; the maps are chained from
+    the end, and every chunk is walked back by itself. The result does not depend on `block`.
     """
-    step, start = np.asarray(transition, float), np.asarray(initial, float)
-    rows = frames.select(*keys, idx, scores)
-    long = frames.where(F.col(idx) >= block).select(*keys)
-    short_path = _best_paths(rows, keys, idx, scores, step, start)
-    if long.isEmpty():
-        return short_path
-    long = cut(long.distinct())
-    return _best_paths(rows.join(long, keys, "left_anti"), keys, idx, scores, step, start).unionByName(
-        _blocked_paths(rows.join(long, keys, "left_semi"), keys, idx, scores, step, start, block)
-    )
-
-
-def _forward(step, start, entry, lp, first) -> tuple[np.ndarray, np.ndarray]:
-    """Scores after each frame and the predecessor of each state, from the scores before the block."""
-    best, back = np.empty_like(lp), np.zeros(lp.shape, dtype=np.int64)
-    now = entry
-    for t, obs in enumerate(lp):
-        if first and t == 0:
-            now = start + obs
-        else:
-            reach = now[:, None] + step
-            back[t] = reach.argmax(0)
-            now = reach.max(0) + obs
-        best[t] = now
-    return best, back
+    step, start = Steps(np.asarray(transition, float)), np.asarray(initial, float)
+    states, names = len(start), [*keys, idx]
+    small = np.dtype(np.uint8 if states <= 1 << 8 else np.uint16 if states <= 1 << 16 else np.int32)
+    fields = frames.select(*names).schema
+    ordered = frames.select(*names, F.col(scores).alias("_s")).repartition(*keys).sortWithinPartitions(*names)
+
+    def dense(column: pa.Array) -> np.ndarray:
+        if not pa.types.is_struct(column.type.value_type):
+            return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, states)
+        out = np.full((len(column), states), -np.inf)
+        flat = column.flatten()
+        rows = np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy(zero_copy_only=False))
+        state, value = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        np.maximum.at(out, (rows, state.astype(np.int64)), value.astype(np.float64))
+        return out
+
+    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now, number, places, back = None, None, 0, [], []
+
+        def chunk() -> pa.RecordBatch:
+            steps, origin = np.array(back, small), np.arange(states)
+            for t in range(len(steps) - 1, -1, -1):
+                origin = steps[t][origin]
+            values = [*key, number, list(places), steps.tobytes(), origin.tolist(), int(now.argmax())]
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, target)], schema=target)
+
+        for batch in batches:
+            lists = [batch.column(k).to_pylist() for k in range(len(names))]
+            for t, obs in enumerate(dense(batch.column(len(names)))):
+                own = tuple(c[t] for c in lists[:-1])
+                if now is None or own != key or len(back) == block:
+                    if back:
+                        yield chunk()
+                    number = number + 1 if now is not None and own == key else 0
+                    places, back = [], []
+                if now is None or own != key:
+                    key, now = own, start + obs
+                    back.append(np.zeros(states, small))
+                else:
+                    best, origin = step.ahead(now)
+                    now = best + obs
+                    back.append(origin.astype(small))
+                places.append(lists[-1][t])
+        if back:
+            yield chunk()
+
+    key_ddl, place = _ddl(frames, keys), fields[idx].dataType.simpleString()
+    schema = f"{key_ddl}, _blk bigint, at array<{place}>, back binary, m array<int>, last int"
+    target = to_arrow_schema(frames.sparkSession.createDataFrame([], schema).schema)
+    chunks = cut(ordered.mapInArrow(forward, schema))
+    ends = chained(chunks.select(*keys, "_blk", "m", "last"), keys, "last", reverse=True, fan=FAN)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1)
+                at, end = row.column(len(keys)).flatten(), int(row.column(len(keys) + 2)[0].as_py())
+                path = _walk_back(np.frombuffer(row.column(len(keys) + 1)[0].as_py(), small).reshape(-1, states), end)
+                times = pa.array(np.zeros(len(at), np.int64))
+                yield pa.RecordBatch.from_arrays([*[row.column(k).take(times) for k in range(len(keys))], at, pa.array(path)], names=[*names, "state"])
+
+    met = join_on(chunks.select(*keys, "_blk", "at", "back"), ends, [*keys, "_blk"])
+    return met.select(*keys, "at", "back", "_entry").mapInArrow(walk, f"{_ddl(frames, names)}, state bigint")
 
 
 def _walk_back(back: np.ndarray, end: int) -> np.ndarray:
@@ -75,120 +145,6 @@ def _walk_back(back: np.ndarray, end: int) -> np.ndarray:
     return path
 
 
-def _best_paths(rows: DataFrame, keys: list[str], idx: str, scores: str, step: np.ndarray, start: np.ndarray) -> DataFrame:
-    def solve(table: pa.Table) -> pa.Table:
-        table = table.sort_by(idx)
-        lp = table[scores].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
-        best, back = _forward(step, start, start, lp, True)
-        return table.select([*keys, idx]).append_column("state", pa.array(_walk_back(back, int(best[-1].argmax()))))
-
-    return rows.groupBy(*keys).applyInArrow(solve, f"{_ddl(rows, [*keys, idx])}, state bigint")
-
-
-def _blocked_paths(
-    frames: DataFrame, keys: list[str], idx: str, scores: str, step: np.ndarray, start: np.ndarray, block: int
-) -> DataFrame:
-    states = len(start)
-    key_ddl = _ddl(frames, keys)
-    rows = frames.withColumn("_blk", block_id(idx, block))
-
-    def forward(entry, lp, first):
-        return _forward(step, start, entry, lp, first)
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx)
-        lp = _stack(pdf[scores])
-        if pdf["_blk"].iat[0] == 0:
-            matrix = np.tile(forward(start, lp, True)[0][-1], (states, 1))
-        else:
-            matrix = np.where(np.eye(states, dtype=bool), 0.0, -np.inf)
-            for obs in lp:
-                matrix = _maxplus(matrix, step) + obs
-        return pdf.iloc[:1][[*keys, "_blk"]].assign(m=[matrix.ravel()])
-
-    matrices = cut(rows.groupBy(*keys, "_blk").applyInPandas(summarise, f"{key_ddl}, _blk bigint, m array<double>"))
-    square = lambda m: np.asarray(m, float).reshape(states, states)
-
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk")
-        out = square(pdf["m"].iat[0])
-        for m in pdf["m"].iloc[1:]:
-            out = _maxplus(out, square(m))
-        return pdf.iloc[:1][[*keys, "_run"]].assign(m=[out.ravel()])
-
-    def chain(pdf: pd.DataFrame, position: str, entry: np.ndarray) -> pd.DataFrame:
-        pdf = pdf.sort_values(position)
-        entries, now = [], entry
-        for m in pdf["m"]:
-            entries.append(now)
-            now = (now[:, None] + square(m)).max(0)
-        return pdf.assign(v=entries)
-
-    with_run = matrices.withColumn("_run", F.expr(f"_blk div {FAN}"))
-    runs = with_run.groupBy(*keys, "_run").applyInPandas(product, f"{key_ddl}, _run bigint, m array<double>")
-    run_entry = runs.groupBy(*keys).applyInPandas(
-        lambda pdf: chain(pdf, "_run", np.zeros(states))[[*keys, "_run", "v"]], f"{key_ddl}, _run bigint, v array<double>"
-    )
-    entries = cut(
-        with_run.join(run_entry.withColumnRenamed("v", "_e"), [*keys, "_run"])
-        .groupBy(*keys, "_run")
-        .applyInPandas(
-            lambda pdf: chain(pdf, "_blk", np.asarray(pdf["_e"].iat[0], float))[[*keys, "_run", "_blk", "v"]],
-            f"{key_ddl}, _run bigint, _blk bigint, v array<double>",
-        )
-    )
-
-    fed = rows.join(entries.drop("_run"), [*keys, "_blk"])
-
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        """For every state at the end of the block, the state before its first frame; and the best final state."""
-        pdf = pdf.sort_values(idx)
-        first = pdf["_blk"].iat[0] == 0
-        best, back = forward(np.asarray(pdf["v"].iat[0], float), _stack(pdf[scores]), first)
-        origin = np.arange(states)
-        for t in range(len(back) - 1, -1, -1):
-            origin = back[t][origin]
-        return pdf.iloc[:1][[*keys, "_blk"]].assign(f=[origin], last=[int(best[-1].argmax())])
-
-    maps = cut(fed.groupBy(*keys, "_blk").applyInPandas(exits, f"{key_ddl}, _blk bigint, f array<bigint>, last bigint"))
-    maps = maps.withColumn("_run", F.expr(f"_blk div {FAN}"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk", ascending=False)
-        origin = np.arange(states)
-        for f in pdf["f"]:
-            origin = np.asarray(f, int)[origin]
-        return pdf.iloc[:1][[*keys, "_run", "last"]].assign(f=[origin])
-
-    def trace(pdf: pd.DataFrame, position: str, end: int) -> pd.DataFrame:
-        pdf = pdf.sort_values(position, ascending=False)
-        ends, now = [], end
-        for f in pdf["f"]:
-            ends.append(now)
-            now = int(f[now])
-        return pdf.assign(x=ends)
-
-    run_maps = maps.groupBy(*keys, "_run").applyInPandas(fold, f"{key_ddl}, _run bigint, last bigint, f array<bigint>")
-    run_exit = run_maps.groupBy(*keys).applyInPandas(
-        lambda pdf: trace(pdf, "_run", int(pdf.sort_values("_run")["last"].iat[-1]))[[*keys, "_run", "x"]],
-        f"{key_ddl}, _run bigint, x bigint",
-    )
-    block_exit = (
-        maps.join(run_exit.withColumnRenamed("x", "_e"), [*keys, "_run"])
-        .groupBy(*keys, "_run")
-        .applyInPandas(lambda pdf: trace(pdf, "_blk", int(pdf["_e"].iat[0]))[[*keys, "_blk", "x"]], f"{key_ddl}, _blk bigint, x bigint")
-    )
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx)
-        _, back = forward(np.asarray(pdf["v"].iat[0], float), _stack(pdf[scores]), pdf["_blk"].iat[0] == 0)
-        return pdf[[*keys, idx]].assign(state=_walk_back(back, int(pdf["x"].iat[0])))
-
-    return fed.join(block_exit, [*keys, "_blk"]).groupBy(*keys, "_blk").applyInPandas(
-        fill, f"{_ddl(frames, [*keys, idx])}, state bigint"
-    )
-
-
 def band_matrix(states: int, width: int) -> np.ndarray:
     """Log of the row-normalised triangular band."""
     i = np.arange(states)

@@ -28,6 +28,50 @@ def test_viterbi_against_all_paths(spark, monkeypatch, block):
         assert score(path, lp, step, start) == pytest.approx(score(best, lp, step, start))
 
 
+def dense_path(lp, step, start):
+    now, back = start + lp[0], []
+    for obs in lp[1:]:
+        reach = now[:, None] + step
+        back.append(reach.argmax(0))
+        now = reach.max(0) + obs
+    path = [int(now.argmax())]
+    for b in back[::-1]:
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+@pytest.mark.parametrize("block", [1, 64, 512])
+def test_long_paths_over_many_states_are_those_of_all_pairs(spark, block):
+    """Ties, impossible states, bands, blocks of bands and full matrices; keys of any length, one of them NULL."""
+    rng = np.random.default_rng(3)
+    band = SQ.band_matrix(60, 5)
+    i = np.arange(60)
+    tolerant = np.log(np.where(np.abs(i[:, None] - i) <= 3, 1.0, 0.01))
+    with np.errstate(divide="ignore"):
+        voiced = np.log(np.kron([[0.99, 0.01], [0.01, 0.99]], np.exp(SQ.band_matrix(30, 4)) * (np.abs(i[:30, None] - i[:30]) < 4)))
+    full = rng.integers(-3, 1, size=(60, 60)).astype(float)
+    start = np.log(np.full(60, 1 / 60))
+    for step in (band, tolerant, voiced, full):
+        scores = {0: rng.integers(-4, 1, size=(700, 60)).astype(float), 1: np.zeros((130, 60)), 2: rng.normal(size=(1, 60)), None: rng.normal(size=(65, 60))}
+        scores[0][rng.random((700, 60)) < 0.3] = -np.inf
+        rows = [(k, t * 3, r.tolist()) for k, lp in scores.items() for t, r in enumerate(lp)]
+        df = spark.createDataFrame(rows, "sid bigint, idx bigint, lp array<double>").repartition(4)
+        got = SQ.viterbi(df, ["sid"], "idx", "lp", step, start, block=block).collect()
+        assert len(got) == len(rows)
+        for k, lp in scores.items():
+            assert [r["state"] for r in sorted((r for r in got if r["sid"] == k), key=lambda r: r["idx"])] == dense_path(lp, step, start)
+
+
+def test_steps_over_a_band_cost_the_band():
+    steps = SQ.Steps(SQ.band_matrix(360, 12))
+    assert steps.cost.shape == (360, 23)
+    rng = np.random.default_rng(4)
+    now = rng.normal(size=360)
+    reach = now[:, None] + SQ.band_matrix(360, 12)
+    best, origin = steps.ahead(now)
+    assert (best == reach.max(0)).all() and (origin == reach.argmax(0)).all()
+
+
 def test_trajectory_follows_the_ridge_inside_regions(spark):
     ridge = [2, 2, 3, 3, 4, 4, 3, 3]
     rows = [(0, t, [1.0 if s == ridge[t] else 0.01 for s in range(6)]) for t in range(8)]
