@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
-from framewright.operators.blocks import framed, halo, ordinal, running, with_group
+from framewright.operators.blocks import BLOCK_ROWS, framed, halo, ordinal, running, with_group
 from framewright.session import cut
 
 # Fixed value: the guard against a zero denominator (double precision epsilon).
@@ -49,8 +51,51 @@ def mean_filter(df: DataFrame, keys, idx: str, x: str, win: int, out: str = "y",
     return window_filter(df, keys, idx, win, lambda w: F.nullif(F.avg(x).over(w), F.lit(0.0)), out, **opts)
 
 
-def median_filter(df: DataFrame, keys, idx: str, x: str, win: int, out: str = "y", **opts) -> DataFrame:
-    return window_filter(df, keys, idx, win, lower_median(x), out, **opts)
+#: Widest window whose values are sorted for every row; wider ones keep an order that each step changes by two values.
+SORTED_WINDOW = 63
+
+
+def median_filter(df: DataFrame, keys, idx: str, x: str, win: int, out: str = "y", rows: int = BLOCK_ROWS, sorted_up_to: int = SORTED_WINDOW) -> DataFrame:
+    """Lower median of the values present in a centred window of odd length, missing if there are none."""
+    if win <= sorted_up_to:
+        return window_filter(df, keys, idx, win, lower_median(x), out, rows=rows)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, `{out}` double"
+    return chunk_apply(df, keys, idx, rows, win // 2, lambda pdf: pdf.assign(**{out: sliding_median(pdf[x].to_numpy(np.float64), win)}), schema)
+
+
+def sliding_median(values: np.ndarray, win: int) -> np.ndarray:
+    """Lower medians of centred windows of odd length, which shrink at the ends; NaN is no value.
+
+    The values of a window are counted in a tree over the ranks of all values, so a step costs the logarithm of their number.
+    """
+    n, half = len(values), win // 2
+    distinct, rank = np.unique(values, return_inverse=True)
+    present, rank = (~np.isnan(values)).tolist(), (rank + 1).tolist()
+    size = 1 << len(distinct).bit_length()
+    tree, held, out = [0] * (size + 1), 0, np.full(n, np.nan)
+
+    def add(i: int, by: int) -> None:
+        while i <= size:
+            tree[i] += by
+            i += i & -i
+
+    for right in range(n + half):
+        if right < n and present[right]:
+            add(rank[right], 1)
+            held += 1
+        left = right - win
+        if left >= 0 and present[left]:
+            add(rank[left], -1)
+            held -= 1
+        if right >= half and held:
+            place, wanted, step = 0, (held + 1) // 2, size
+            while step:
+                if place + step <= size and tree[place + step] < wanted:
+                    place += step
+                    wanted -= tree[place]
+                step >>= 1
+            out[right - half] = distinct[place]
+    return out
 
 
 def preemphasis(df: DataFrame, keys, idx: str, x: str, coef: float, out: str = "y", **opts) -> DataFrame:
@@ -118,7 +163,7 @@ def phases(df: DataFrame, keys, idx: str, f0: str, rate: float, harmonics: int,
 
 def restarted_phase(df: DataFrame, keys, idx: str, f0: str, rate: float, **opts) -> DataFrame:
     """Running phase that starts again from zero at every voiced stretch, and its cosine."""
-    cum = running(df, keys, idx, {"_c": ("sum", F.col(f0) / rate)}, **opts)
+    cum = cut(running(cut(df), keys, idx, {"_c": ("sum", F.col(f0) / rate)}, **opts))
     base = running(cum, keys, idx, {"_b": ("last", F.when(F.col(f0) <= 0, F.col("_c")))}, **opts)
     out = base.withColumn("phase", F.col("_c") - F.coalesce("_b", F.lit(0.0))).drop("_c", "_b")
     return out.withColumn("wave", F.cos(2.0 * math.pi * F.col("phase")))
@@ -158,6 +203,43 @@ def hop_frames(df: DataFrame, keys, idx: str, x: str, size: int, hop: int, pad:
     return placed.select(*keys, "frame", F.expr(f"_p + {half} - frame * {hop}").alias("offset"), "x")
 
 
+def strided_frames(
+    df: DataFrame, keys, idx: str, x: str, size: int, hop: int, pad: int = 0, mirror: bool = False, rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Overlapping frames as one array each: keys, frame, f. `pad` rows of zeros, or mirrored ones, stand at both ends.
+
+    One shuffle brings the rows of a block together with the few that its last frames reach beyond it; the frames
+    are views of that stretch, so no row is repeated before they are made. The end of a series shows in its last blocks, which need no
+    count of it. Positions are dense from 0. A series with fewer than `pad` + 1 rows cannot be mirrored and has no frames, as one shorter than a frame.
+    """
+    spread = halo(df.select(*keys, idx, F.col(x).cast("double").alias("_x")), keys, idx, pad, size, rows)
+
+    def views(table: pa.Table) -> pa.Table:
+        table = table.sort_by(idx)
+        at, own = table[idx].to_numpy(), table["_own"].to_numpy()
+        block, first, top = int(table["_blk"][0].as_py()), int(at[0]), int(at[-1]) + 1
+        low, high = block * rows, min((block + 1) * rows, top)
+        ends = top < (block + 1) * rows + size
+        start = 0 if block == 0 else -(-(low + pad) // hop)
+        stop = (high - 1 + pad) // hop + 1
+        if ends:
+            stop = min(stop, 0 if mirror and top <= pad else (top + 2 * pad - size) // hop + 1)
+        if not own.any() or stop <= start:
+            return pa.table({})
+        values = table["_x"].to_numpy()
+        left = (values[pad:0:-1] if mirror else np.zeros(pad)) if first == 0 else values[:0]
+        right = (values[-2 : -pad - 2 : -1] if mirror else np.zeros(pad)) if ends else values[:0]
+        line = np.concatenate([left, values, right])
+        frame = np.arange(start, stop)
+        found = np.lib.stride_tricks.sliding_window_view(line, size)[frame * hop - pad - (first - len(left))]
+        offsets = np.arange(0, found.size + 1, size, dtype=np.int32)
+        same = {k: table[k].combine_chunks().take(pa.array(np.zeros(len(frame), np.int64))) for k in keys}
+        return pa.table({**same, "frame": pa.array(frame), "f": pa.ListArray.from_arrays(offsets, found.reshape(-1))})
+
+    ddl = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return spread.groupBy(*keys, "_blk").applyInArrow(views, f"{ddl}, frame bigint, f array<double>")
+
+
 def frame_zscore(frames: DataFrame, keys) -> DataFrame:
     """Each frame minus its mean, over its sample deviation (at least 1e-10)."""
     return with_group(frames, [*keys, "frame"], _m=F.avg("x"), _s=F.stddev_samp("x")).select(
@@ -227,7 +309,7 @@ def find_endpoint(df: DataFrame, keys, idx: str, x: str, window: int, threshold:
     """
     hop = window // 4
     loud = F.when(F.col(x) >= threshold, F.col(idx))
-    ahead = running(df, keys, idx, {"_next": ("last", loud)}, reverse=True, **opts)
+    ahead = cut(running(cut(df), keys, idx, {"_next": ("last", loud)}, reverse=True, **opts))
     sized = with_group(ahead, keys, _n=F.count(F.lit(1)))
     quiet = F.coalesce(F.col("_next") - F.col(idx) >= window, F.lit(True))
     here = (F.col(idx) >= hop) & (F.col(idx) % hop == 0) & (F.col(idx) < F.col("_n") - window) & quiet
@@ -236,11 +318,12 @@ def find_endpoint(df: DataFrame, keys, idx: str, x: str, window: int, threshold:
 
 def silence_trim(df: DataFrame, keys, idx: str, x: str, margin: int, size: int, hop: int, top_db: float) -> DataFrame:
     """Drop `margin` rows at both ends, then the frames before the first and after the last loud one."""
-    sized = with_group(df, keys, _n=F.count(F.lit(1)))
+    sized = with_group(cut(df.select(*keys, idx, x)), keys, _n=F.count(F.lit(1)))
     inner = sized.where((F.col(idx) >= margin) & (F.col(idx) < F.col("_n") - margin))
-    inner = inner.select(*keys, (F.col(idx) - margin).alias(idx), x)
-    frames = hop_frames(inner, keys, idx, x, size, hop)
-    power = frames.groupBy(*keys, "frame").agg((F.sum(F.col("x") * F.col("x")) / float(size)).alias("_p"))
+    inner = cut(inner.select(*keys, (F.col(idx) - margin).alias(idx), x))
+    frames = strided_frames(inner, keys, idx, x, size, hop, pad=size // 2)
+    squares = F.aggregate("f", F.lit(0.0), lambda s, v: s + F.coalesce(v * v, F.lit(0.0)))
+    power = cut(frames.select(*keys, "frame", (squares / float(size)).alias("_p")))
     level = lambda c: 10.0 * F.log10(F.greatest(F.col(c), F.lit(1e-10)))
     loud = with_group(power, keys, _top=F.max("_p")).where(level("_p") - level("_top") > -top_db)
     bounds = loud.groupBy(*keys).agg((F.min("frame") * hop).alias("_a"), ((F.max("frame") + 1) * hop).alias("_z"))
@@ -249,23 +332,49 @@ def silence_trim(df: DataFrame, keys, idx: str, x: str, margin: int, size: int,
 
 
 def split_on_silence(
-    df: DataFrame, keys, idx: str, x: str, min_silence: int, threshold: float, keep: int, **opts
+    df: DataFrame, keys, idx: str, x: str, min_silence: int, threshold: float, keep: int, rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Drop stretches of at least `min_silence` rows at or below the RMS `threshold`, keeping `keep` rows at their edges.
 
-    Adds the new dense position `out_idx`. A fully silent key yields nothing.
+    Adds the new dense position `out_idx`. A fully silent key yields nothing. Missing values do not count in a mean. The cost
+    of a row does not depend on `min_silence`.
     """
-    last = min_silence - 1
+    reach = min_silence - 1 + keep
+
+    def kept_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf[x].to_numpy(np.float64)
+        gone = ~np.isnan(values)
+        n, whole = len(values), len(values) - min_silence + 1
+        quiet = np.zeros(n, np.int64)
+        if whole > 0:
+            total = window_sums(np.where(gone, values, 0.0) ** 2, min_silence)
+            seen = window_sums(gone.astype(np.float64), min_silence)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                quiet[:whole] = np.sqrt(total / seen) <= threshold
+        inside = spread(quiet, min_silence - 1, 0) > 0
+        return pdf.assign(_k=spread((~inside).astype(np.int64), keep, keep) > 0)
+
+    def spread(marks: np.ndarray, back: int, ahead: int) -> np.ndarray:
+        """Marks in the rows from `back` before to `ahead` after each."""
+        counts = np.r_[0, np.cumsum(marks)]
+        places = np.arange(len(marks))
+        return counts[np.minimum(places + ahead + 1, len(marks))] - counts[np.maximum(places - back, 0)]
+
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, _k boolean"
+    kept = cut(chunk_apply(df, keys, idx, rows, reach, kept_rows, schema).where("_k").drop("_k"))
+    return ordinal(kept, keys, [idx], F.expr(f"`{idx}` div {1 << 22}"), "out_idx")
 
-    def level(w):
-        frame = w.rowsBetween(0, last)
-        full = F.count(F.lit(1)).over(frame) == min_silence
-        return {"_q": full & (F.sqrt(F.avg(F.col(x) * F.col(x)).over(frame)) <= threshold)}
 
-    quiet = lambda w: {"_s": F.max(F.col("_q").cast("int")).over(w.rowsBetween(-last, 0))}
-    near = lambda w: {"_k": F.min("_s").over(w.rowsBetween(-keep, keep))}
-    kept = framed(df, keys, idx, last + keep, last + keep, level, quiet, near, **opts).where("_k = 0").drop("_q", "_s", "_k")
-    return ordinal(kept, keys, [idx], F.expr(f"`{idx}` div {1 << 22}"), "out_idx")
+def window_sums(values: np.ndarray, size: int) -> np.ndarray:
+    """Sum of every `size` neighbours, without subtraction.
+
+    The values are cut into runs of `size`: a window is the end of one run and the start of the next, both running sums.
+    """
+    padded = np.pad(values, (0, -len(values) % size)).reshape(-1, size)
+    ahead = padded.cumsum(1).reshape(-1)
+    behind = padded[:, ::-1].cumsum(1)[:, ::-1].reshape(-1)
+    start = np.arange(len(values) - size + 1)
+    return np.where(start % size == 0, behind[start], behind[start] + ahead[start + size - 1])
 
 
 def best_so_far(log: DataFrame, keys, step: str, loss: str, **opts) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from framewright.functions.noise import digest, uniform
 from framewright.operators.blocks import hashed_ordinal, running, with_group
+from framewright.session import cut
 
 
 def span_mask(rows: DataFrame, keys: list[str], idx: str, share: float, length: int, seed, min_masks: int = 0) -> DataFrame:
@@ -14,11 +15,12 @@ def span_mask(rows: DataFrame, keys: list[str], idx: str, share: float, length:
     The number of spans is `share · n / length` rounded up or down at random, at least `min_masks`, and falls back to
     the whole spans that fit if they would not fit.
     """
+    rows = cut(rows)
     sized = with_group(rows, keys, _n=F.count(F.lit(1)))
     wanted = F.greatest(F.floor(share * F.col("_n") / length + uniform(seed, *keys)), F.lit(min_masks))
     spans = F.when(wanted * length > F.col("_n"), F.expr(f"_n div {length}")).otherwise(wanted)
     starts = sized.where(F.col(idx) <= F.col("_n") - length).select(*keys, idx, spans.alias("_k"), digest(seed, *keys, idx).alias("_h"))
-    picked = hashed_ordinal(starts, keys, "_h", idx, "_place").where(F.col("_place") < F.col("_k"))
+    picked = hashed_ordinal(cut(starts), keys, "_h", idx, "_place").where(F.col("_place") < F.col("_k"))
     masked = picked.select(*keys, F.explode(F.expr(f"sequence(`{idx}`, `{idx}` + {length - 1})")).alias(idx)).distinct()
     return rows.join(masked.withColumn("masked", F.lit(True)), [*keys, idx], "left").withColumn(
         "masked", F.coalesce("masked", F.lit(False))

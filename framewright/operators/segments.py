@@ -18,23 +18,31 @@ def hysteresis(
     A run above the threshold that starts right after a row below it and never exceeds `high` is dropped whole.
     """
     log = F.when(F.col(per) >= low, F.log2(F.nullif(F.col(f0), F.lit(0.0))))
-    rows = with_group(df.withColumn("_y", log), keys, _m=F.avg("_y"), _s=F.stddev_pop("_y"))
+    rows = with_group(cut(df.withColumn("_y", log)), keys, _m=F.avg("_y"), _s=F.stddev_pop("_y"))
     z = F.try_divide(F.col("_y") - F.col("_m"), F.col("_s"))
     parabola = width * z * z - width * stds * stds
     rows = rows.withColumn(
         "_thr", F.coalesce(low + F.when(parabola.isNotNull(), F.least(F.greatest(parabola, F.lit(0.0)), F.lit(1.0 - low))), F.lit(low))
     )
-    rows = rows.withColumn("_up", F.col(per) > F.col("_thr"))
-    island = running(rows, keys, idx, {"_isl": ("sum", (~F.col("_up")).cast("bigint"))}, **opts)
-    runs = island.groupBy(*keys, "_isl").agg(
-        F.max(F.when(F.col("_up"), F.col(per))).alias("_top"),
-        F.max(F.when(~F.col("_up"), F.col(per) < F.col("_thr"))).alias("_below"),
-    )
-    weak = F.coalesce(F.col("_below"), F.lit(False)) & (F.col("_top") <= high)
+    rows = cut(rows.withColumn("_up", F.col(per) > F.col("_thr")))
+    # a run is told from others by the rows above no threshold before it; the larger struct is that of the later run, or of the higher value in it
+    before = running(
+        rows, keys, idx,
+        {
+            "_isl": ("sum", (~F.col("_up")).cast("bigint")),
+            "_below": ("last", F.when(~F.col("_up"), F.coalesce(F.col(per) < F.col("_thr"), F.lit(False)))),
+        },
+        **opts,
+    )
+    before = cut(before)
+    high_of = lambda run: F.when(F.col("_up"), F.struct(run.alias("run"), F.col(per).alias("top")))
+    so_far = running(before, keys, idx, {"_so": ("max", high_of(F.col("_isl")))}, **opts)
+    joined = running(cut(so_far), keys, idx, {"_to": ("max", high_of(-F.col("_isl")))}, reverse=True, **opts)
+    top = F.greatest(F.col("_so.top"), F.col("_to.top"))
+    weak = F.coalesce(F.col("_below"), F.lit(False)) & (top <= high)
     kept = ~(F.col(per) < F.col("_thr")) & ~(F.col("_up") & F.coalesce(weak, F.lit(False)))
-    joined = island.join(runs, [*keys, "_isl"])
     return joined.withColumn(out, F.when(kept, F.pow(F.lit(2.0), F.col("_y")))).drop(
-        "_isl", "_top", "_below", "_thr", "_up", "_y", "_m", "_s"
+        "_isl", "_so", "_to", "_below", "_thr", "_up", "_y", "_m", "_s"
     )
 
 
@@ -55,7 +63,8 @@ def speech_segments(
     `threshold - 0.15` span at least `min_silence`; the segment then ends at the first of them.
     """
     enter, leave = F.col(p) >= threshold, F.col(p) < threshold - 0.15
-    counted = running(df.select(*keys, idx, p), keys, idx, {"_k": ("sum", enter.cast("bigint"))}, **opts)
+    df = cut(df.select(*keys, idx, p))
+    counted = running(df, keys, idx, {"_k": ("sum", enter.cast("bigint"))}, **opts)
     stretches = (
         counted.where("_k > 0")
         .groupBy(*keys, "_k")

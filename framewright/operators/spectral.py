@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from framewright.operators.blocks import with_group
-from framewright.operators.frames import frame_arrays, hop_frames
+from framewright.operators.frames import strided_frames
 from framewright.operators.sequence import _ddl
+from framewright.session import cut
 
 
 def map_rows(df: DataFrame, keep: list[str], column: str, fn, out: str) -> DataFrame:
@@ -30,14 +31,6 @@ def hann(size: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(size) / size)
 
 
-def reflected(df: DataFrame, keys: list[str], idx: str, x: str, pad: int) -> DataFrame:
-    """Rows of a series with `pad` mirrored rows at both ends, positions starting at 0."""
-    sized = with_group(df.select(*keys, idx, x), keys, _n=F.count(F.lit(1)))
-    places = f"""filter(array(`{idx}`, IF(`{idx}` BETWEEN 1 AND {pad}, -`{idx}`, NULL),
-        IF(`{idx}` BETWEEN _n - 1 - {pad} AND _n - 2, 2 * (_n - 1) - `{idx}`, NULL)), p -> p IS NOT NULL)"""
-    return sized.select(*keys, F.explode(F.expr(f"transform({places}, p -> p + {pad})")).alias(idx), x)
-
-
 def magnitudes(frames: DataFrame, keys: list[str], f: str = "f", floor: float = 1e-6, out: str = "mag") -> DataFrame:
     """Hann-windowed magnitude of each frame array, `sqrt(re² + im² + floor)`."""
 
@@ -50,8 +43,8 @@ def magnitudes(frames: DataFrame, keys: list[str], f: str = "f", floor: float =
 
 def spectrum(df: DataFrame, keys: list[str], idx: str, x: str, size: int, hop: int) -> DataFrame:
     """keys, frame, mag: reflect-padded by `(size - hop) / 2`, as for training spectra."""
-    padded = reflected(df, keys, idx, x, (size - hop) // 2)
-    return magnitudes(frame_arrays(hop_frames(padded, keys, idx, x, size, hop, pad=False), keys), [*keys, "frame"])
+    frames = strided_frames(df, keys, idx, x, size, hop, pad=(size - hop) // 2, mirror=True)
+    return magnitudes(frames, [*keys, "frame"])
 
 
 def mel_filters(rate: float, size: int, mels: int, low: float, high: float) -> np.ndarray:
@@ -86,10 +79,10 @@ def a_weights(rate: float, size: int) -> np.ndarray:
 
 def loudness(df: DataFrame, keys: list[str], idx: str, x: str, size: int, hop: int, rate: float, top_db: float = 80.0) -> DataFrame:
     """A-weighted loudness of each frame: bins in dB not below `top_db` under the series' peak, weighted, averaged."""
-    frames = frame_arrays(hop_frames(df, keys, idx, x, size, hop), keys)
+    frames = strided_frames(df, keys, idx, x, size, hop, pad=size // 2)
     mags = magnitudes(frames, [*keys, "frame"], floor=0.0)
     db = mags.select(*keys, "frame", F.expr("transform(mag, m -> 20 * log10(greatest(m, 1e-5D)))").alias("db"))
-    peaked = with_group(db, keys, _top=F.max(F.array_max("db")))
+    peaked = with_group(cut(db), keys, _top=F.max(F.array_max("db")))
     weights = F.array(*[F.lit(float(w)) for w in a_weights(rate, size)])
     level = F.zip_with(
         "db", weights, lambda v, w: F.greatest(F.greatest(v, F.col("_top") - top_db) + w, F.lit(-100.0))

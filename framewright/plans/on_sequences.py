@@ -15,7 +15,7 @@ from framewright.plans.on_metrics import ARGMAX, WEIGHTED
 from framewright.plans.on_scalars import r6
 from framewright.plans.on_vectors import centroids, ivf
 from framewright.plans.registry import query
-from framewright.session import checkpoint_root
+from framewright.session import checkpoint_root, cut
 from framewright.sources import pcm
 
 c = F.col
@@ -263,7 +263,7 @@ def mel_project(spark, d):
     from framewright.operators.blocks import with_group
 
     spectra = SP.spectrum(V.series(spark, d), KEY, "idx", "x", 16, 4)
-    mels = SP.mel_project(spectra, ["sid", "frame"], "mag", FILTERS)
+    mels = cut(SP.mel_project(spectra, ["sid", "frame"], "mag", FILTERS))
     long = with_group(mels, KEY, peak=F.max(F.array_max("mel"))).select("sid", "frame", "peak", F.posexplode("mel").alias("mel", "e"))
     return long.select(
         "sid", "frame", big("mel"), r6(S.compress_range(c("e"))).alias("level"), r6(S.log_floor_scale(c("e"), c("peak"))).alias("scaled")

@@ -5,10 +5,11 @@ No audio is gathered into one string, so a transcript of any length is written b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from framewright.functions.text import format_timestamp, sanitise, strip
 from framewright.operators.blocks import ORDINAL_SPAN, ordinal
+from framewright.session import cut
 
 
 def numbered(segments: DataFrame) -> DataFrame:
@@ -17,62 +18,59 @@ def numbered(segments: DataFrame) -> DataFrame:
     return placed.withColumn("part", F.col("_i") + 1).drop("_i")
 
 
-def _audios(segments: DataFrame, chunk: str) -> DataFrame:
-    return segments.select("audio").distinct().select("audio", F.lit(0).cast("bigint").alias("part"), F.lit(chunk).alias("chunk"))
-
-
 def _span(always_hours: bool, mark: str):
     return F.concat_ws(" --> ", format_timestamp("start_s", always_hours, mark), format_timestamp("end_s", always_hours, mark))
 
 
-def as_txt(segments: DataFrame) -> DataFrame:
-    return numbered(segments).select("audio", "part", strip(F.col("text")).alias("chunk"))
-
+def _item(columns: list[str]) -> Column:
+    """One segment as JSON: start, end, text and whatever else it has."""
+    known = ("audio", "part", "seg_no", "start_s", "end_s", "text")
+    return F.to_json(F.struct(F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text", *[F.col(f"`{n}`") for n in columns if n not in known]))
 
-def as_vtt(segments: DataFrame) -> DataFrame:
-    cue = F.concat(_span(False, "."), F.lit("\n"), sanitise(F.col("text"), arrow=True), F.lit("\n"))
-    return _audios(segments, "WEBVTT\n").unionByName(numbered(segments).select("audio", "part", cue.alias("chunk")))
 
+def _ms(seconds: str) -> Column:
+    return F.expr(f"CAST(CAST(bround(1000D * {seconds}, 0) AS BIGINT) AS STRING)")
 
-def as_srt(segments: DataFrame) -> DataFrame:
-    text = sanitise(F.col("text"), arrow=True)
-    cue = F.concat(F.col("part").cast("string"), F.lit("\n"), _span(True, ","), F.lit("\n"), text, F.lit("\n"))
-    return numbered(segments).select("audio", "part", cue.alias("chunk"))
 
+#: Per format the opening chunk of an audio, if it has one, and the chunk of a segment among such columns.
+FORMATS = {
+    "txt": (None, lambda columns: strip(F.col("text"))),
+    "vtt": ("WEBVTT\n", lambda columns: F.concat(_span(False, "."), F.lit("\n"), sanitise(F.col("text"), arrow=True), F.lit("\n"))),
+    "srt": (None, lambda columns: F.concat(
+        F.col("part").cast("string"), F.lit("\n"), _span(True, ","), F.lit("\n"), sanitise(F.col("text"), arrow=True), F.lit("\n")
+    )),
+    "tsv": ("start\tend\ttext", lambda columns: F.concat_ws("\t", _ms("start_s"), _ms("end_s"), sanitise(F.col("text"), tab=True))),
+    "json": ('{"audio":%,"segments":[', lambda columns: F.concat(F.when(F.col("part") > 1, ",").otherwise(""), _item(columns))),
+}
 
-def as_tsv(segments: DataFrame) -> DataFrame:
-    ms = lambda s: F.expr(f"CAST(CAST(bround(1000D * {s}, 0) AS BIGINT) AS STRING)")
-    row = F.concat_ws("\t", ms("start_s"), ms("end_s"), sanitise(F.col("text"), tab=True))
-    return _audios(segments, "start\tend\ttext").unionByName(numbered(segments).select("audio", "part", row.alias("chunk")))
 
+def transcript(segments: DataFrame, output_format: str) -> DataFrame:
+    """Chunks (audio, part, chunk) of one format, or of every format with a `format` column for "all".
 
-def as_json(segments: DataFrame) -> DataFrame:
-    """One JSON document per audio: an opening chunk, one object per segment, a closing chunk."""
+    Segments are numbered once; an audio's first segment also gives its opening chunk (part 0), and JSON documents, of which every
+    segment is an object with all of its columns, are closed by one more chunk per audio.
+    """
+    names = list(FORMATS) if output_format == "all" else [output_format]
     placed = numbered(segments)
-    item = F.to_json(F.struct(F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text"))
-    comma = F.when(F.col("part") > 1, ",").otherwise("")
-    ends = placed.groupBy("audio").agg(F.max("part").alias("_n"))
-    opening = F.struct(
-        F.lit(0).cast("bigint").alias("part"),
-        F.concat(F.lit('{"audio":'), F.col("audio").cast("string"), F.lit(',"segments":[')).alias("chunk"),
-    )
-    closing = F.struct((F.col("_n") + 1).alias("part"), F.lit("]}").alias("chunk"))
-    frame = ends.select("audio", F.explode(F.array(opening, closing)).alias("e")).select("audio", "e.part", "e.chunk")
-    return placed.select("audio", "part", F.concat(comma, item).alias("chunk")).unionByName(frame)
-
-
-WRITERS = {"txt": as_txt, "vtt": as_vtt, "srt": as_srt, "tsv": as_tsv, "json": as_json}
+    if "json" in names:
+        placed = cut(placed)
+    chunks = []
+    for name in names:
+        head, chunk = FORMATS[name]
+        if head:
+            opening = F.concat(*[F.lit(p) if p != "%" else F.col("audio").cast("string") for p in head.replace("%", "|%|").split("|")])
+            chunks.append(F.when(F.col("part") == 1, _chunk(name, F.lit(0).cast("bigint"), opening)))
+        chunks.append(_chunk(name, F.col("part"), chunk(segments.columns)))
+    columns = ["audio", "e.part", "e.chunk", *(["e.format"] if output_format == "all" else [])]
+    out = placed.select("audio", F.explode(F.array_compact(F.array(*chunks))).alias("e")).select(*columns)
+    if "json" in names:
+        ends = placed.groupBy("audio").agg((F.max("part") + 1).alias("part"))
+        out = out.unionByName(ends.select("audio", "part", F.lit("]}").alias("chunk"), F.lit("json").alias("format")).select(*out.columns))
+    return out
 
 
-def transcript(segments: DataFrame, output_format: str) -> DataFrame:
-    """Chunks of one format, or of every format with a `format` column for "all"."""
-    if output_format != "all":
-        return WRITERS[output_format](segments)
-    parts = [w(segments).withColumn("format", F.lit(name)) for name, w in WRITERS.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _chunk(name: str, part: Column, chunk: Column) -> Column:
+    return F.struct(F.lit(name).alias("format"), part.alias("part"), chunk.alias("chunk"))
 
 
 def write_transcripts(segments: DataFrame, output_format: str, path: str, files: int = 200) -> None:
