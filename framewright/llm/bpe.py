@@ -1,6 +1,7 @@
 """BPE encoding and decoding equal to the tokenizers library's, with long texts encoded in parallel pieces."""
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from framewright.llm.common import chunks, process_cache, scan
+from framewright.llm.word_ids import WordIds
 
 #: Texts of more characters are cut into pieces of at most PIECE.
 LONG, PIECE = 1 << 15, 1 << 14
@@ -27,34 +29,6 @@ def load(path: str):
     return tokenizer
 
 
-class Words:
-    """Ids of whole texts through the ids of their words, kept for as long as a bounded memo holds them.
-
-    White space always ends a token of this kind of tokenizer and is dropped, so the words between spaces and line ends are
-    encoded independently; the library encodes each word, with all of its normalisation and special tokens. When the memo is
-    full, long words leave it first, as they recur least.
-    """
-
-    def __init__(self, path: str, room: int = 100_000) -> None:
-        self.tokenizer, self.memo, self.room = load(path), {}, room
-
-    @classmethod
-    def kept(cls, path: str) -> "Words":
-        cache = process_cache()
-        return cache.get(("words", path)) or cache.setdefault(("words", path), cls(path))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.memo) > self.room:
-            short = {k: v for k, v in self.memo.items() if len(k) <= 9}
-            self.memo = short if len(short) <= self.room // 2 else {}
-        memo = self.memo
-        missing = list({w for words in split for w in words if w not in memo})
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([memo[w] for w in words]) for words in split]
-
-
 def namer(tokenizer):
     """Function from a list of ids to the text that the library decodes them to, special tokens kept."""
     if tokenizer.decoder is None:
@@ -69,7 +43,7 @@ def short_coder(path: str, decoded: bool):
 
     @arrow_udf("struct<ids:binary,decoded:string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = Words.kept(path)
+        words = WordIds.kept(path, joined=False)
         name = namer(words.tokenizer)
         for batch in batches:
             ids = [i for part in chunks(batch.to_pylist()) for i in words.encode(part)]
@@ -88,20 +62,25 @@ class Pieces:
         self.plain.encode_special_tokens = True
         self.name = namer(self.whole)
         self.special = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.any_special = re.compile("|".join(map(re.escape, longest_first)) or "(?!)")
+
+    @classmethod
+    def kept(cls, path: str) -> "Pieces":
+        cache = process_cache()
+        return cache.get(("pieces", path)) or cache.setdefault(("pieces", path), cls(path))
 
     def sections(self, text: str) -> Iterator[tuple[str, int]]:
         """Normalised text between special tokens (with -1), and the ids of these."""
         at = 0
-        while True:
-            found = [(i, -len(s), s) for s in self.special if (i := text.find(s, at)) >= 0]
-            stop = min(found)[0] if found else len(text)
+        for found in [*self.any_special.finditer(text), None]:
+            stop = found.start() if found else len(text)
             if stop > at:
                 part = text[at:stop]
                 yield (self.whole.normalizer.normalize_str(part) if self.whole.normalizer else part), -1
-            if not found:
-                return
-            yield "", self.special[min(found)[2]]
-            at = stop + len(min(found)[2])
+            if found:
+                yield "", self.special[found[0]]
+                at = found.end()
 
     def encode(self, text: str) -> np.ndarray:
         """Rows (id, start, end) in characters."""
@@ -158,7 +137,7 @@ def encode_long(docs: DataFrame, path: str, piece: int, decoded: bool) -> DataFr
     """(doc_id, ids, decoded) of texts that are cut into pieces: one shuffle spreads the pieces, one gathers those of a text."""
 
     def cutter():
-        codec = Pieces(path)
+        codec = Pieces.kept(path)
 
         def work(rows, ids, texts):
             for row, doc_id, text in zip(rows, ids, texts):
@@ -172,7 +151,7 @@ def encode_long(docs: DataFrame, path: str, piece: int, decoded: bool) -> DataFr
         return work
 
     def leaves():
-        codec = Pieces(path)
+        codec = Pieces.kept(path)
 
         def work(rows, ids, parts, pieces, texts, specials):
             tokens = [codec.encode(t) if s < 0 else np.array([[s, 0, 0]]) for t, s in zip(texts, specials)]
@@ -180,12 +159,8 @@ def encode_long(docs: DataFrame, path: str, piece: int, decoded: bool) -> DataFr
 
         return work
 
-    loaded = []  # once per task
-
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        if not loaded:
-            loaded.append(Pieces(path))
-        codec, out = loaded[0], []
+        codec, out = Pieces.kept(path), []
         pdf = pdf.sort_values(["part", "piece"])
         for _, part in pdf.groupby("part", sort=True):
             out.append(codec.tree([(t, np.frombuffer(k, "<i4").reshape(-1, 3).astype(np.int64)) for t, k in zip(part["text"], part["tokens"])])[:, 0])
@@ -195,7 +170,8 @@ def encode_long(docs: DataFrame, path: str, piece: int, decoded: bool) -> DataFr
 
     head = "row bigint, doc_id bigint, part int, piece int, text string"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    spread = scan(rows, f"{head}, id bigint", cutter).repartition("row", "part", "piece")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
+    spread = scan(rows, f"{head}, id bigint", cutter).repartition(tasks, "row", "part", "piece")
     return scan(spread, f"{head}, tokens binary", leaves).groupBy("row").applyInPandas(gather, "doc_id bigint, ids binary, decoded string")
 
 

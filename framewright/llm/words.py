@@ -38,15 +38,25 @@ def letters_table(word: str) -> np.ndarray:
     return table
 
 
-def word_hashes(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text number, start, end) of every word; starts and ends are code points within its text."""
+def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts, a line end between two, and where each text begins."""
     sizes = np.array([len(t) + 1 if t else 1 for t in texts], np.int64)
-    offsets = np.cumsum(sizes) - sizes
     codes = np.frombuffer("\n".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    return codes, np.cumsum(sizes) - sizes
+
+
+def span_hashes(codes: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text number, start, end) of every word; starts and ends are places in `codes`."""
     value = table[codes]
     edges = np.diff(np.r_[0, (value > 0).view(np.int8), 0])
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     up, down = powers(len(codes) + 1)
     sums = np.r_[np.uint64(0), np.cumsum(value * up[: len(codes)])]
-    owner = np.searchsorted(offsets, starts, "right") - 1
-    return mix((sums[ends] - sums[starts]) * down[starts]), owner, starts - offsets[owner], ends - offsets[owner]
+    return mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(offsets, starts, "right") - 1, starts, ends
+
+
+def word_hashes(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text number, start, end) of every word; starts and ends are code points within its text."""
+    codes, offsets = code_points(texts)
+    h, owner, starts, ends = span_hashes(codes, offsets, table)
+    return h, owner, starts - offsets[owner], ends - offsets[owner]
