@@ -6,7 +6,6 @@ dictionary and the tokens before the block in its part. One document is read fro
 """
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,48 +13,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from framewright.llm.bpe import load
-from framewright.llm.common import chunks, process_cache, scan
+from framewright.llm.common import chunks, scan
+from framewright.llm.word_ids import WordIds
 
-BLOCK_DOCS, BLOCK_IDS = 1024, 1 << 20
-BLOCK = "part int, block int, dict_hash string, before bigint, doc_ids array<bigint>, counts array<bigint>, offsets array<bigint>, payload binary"
-
-
-#: White space other than space and line end, and characters that engines class differently.
-ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
-
-
-class ByteLevel:
-    """Ids of texts through the ids of their parts between spaces, kept for as long as a bounded memo holds them.
-
-    A token never reaches from other text into white space, so a text may be cut before a run of it. That is what cutting before each
-    single space does; texts in which a space stands before more white space or ends the text, or with odd characters, go to the
-    library whole. When the memo is full, long words leave it first, as they recur least.
-    """
-
-    def __init__(self, path: str, room: int = 400_000) -> None:
-        self.tokenizer, self.memo, self.room = load(path), {}, room
-
-    @classmethod
-    def kept(cls, path: str) -> "ByteLevel":
-        cache = process_cache()
-        return cache.get(("byte_level", path)) or cache.setdefault(("byte_level", path), cls(path))
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.memo) > self.room:
-            short = {k: v for k, v in self.memo.items() if len(k) <= 9}
-            self.memo = short if len(short) <= self.room // 2 else {}
-        memo = self.memo
-        whole = [i for i, t in enumerate(texts) if t and (t[-1] == " " or "  " in t or " \n" in t or ODD.search(t))]
-        given = dict(zip(whole, self.library([texts[i] for i in whole])))
-        split = [[] if not t or i in given else t.split(" ") for i, t in enumerate(texts)]
-        heads = self.library([s[0] if s else "" for s in split])
-        missing = list({p for parts in split for p in parts[1:] if p not in memo})
-        memo.update(zip(missing, self.library([f" {p}" for p in missing])))
-        return [given.get(i) or b"".join([heads[i], *[memo[p] for p in parts[1:]]]) for i, parts in enumerate(split)]
+BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
+#: Orders rows of one doc_id: the head of the text, then a hash of it, then the scan; a repeated id does not keep rows in one task.
+HEAD = 64
+BLOCK = "part int, block int, first_id bigint, last_id bigint, dict_hash string, before bigint, doc_ids array<bigint>, counts array<bigint>, offsets array<bigint>, payload binary"
 
 
 def train_dictionary(docs: DataFrame, path: str, rows: int, size: int) -> bytes:
@@ -68,15 +32,15 @@ def train_dictionary(docs: DataFrame, path: str, rows: int, size: int) -> bytes:
     picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text").limit(4 * rows)
 
     def make():
-        tokens = ByteLevel.kept(path)
+        tokens = WordIds.kept(path, joined=True)
 
         def work(texts):
             for part in chunks(texts):
-                yield {"ids": tokens.encode(part)}
+                yield {"ids": [i[: 1 << 14] for i in tokens.encode(part)]}
 
         return work
 
-    samples = [bytes(r["ids"][: 1 << 14]) for r in scan(picked, "ids binary", make).collect() if r["ids"]]
+    samples = [bytes(r["ids"]) for r in scan(picked, "ids binary", make).collect() if r["ids"]]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
@@ -86,7 +50,7 @@ def train_dictionary(docs: DataFrame, path: str, rows: int, size: int) -> bytes:
 def write_token_files(docs: DataFrame, target: str, path: str, end_id: int, sample_rows: int = 1000, dictionary_bytes: int = 1 << 16) -> None:
     """Encode every text of `docs` (doc_id, text; a null text is empty) and write the store to `target`.
 
-    Documents are in ascending doc_id order, null ids first, equal ids by text; each gets `end_id` at its end. The order is
+    Documents are in ascending doc_id order, null ids first, equal ids by the head of their text (null first) and a hash of it; each gets `end_id` at its end. The order is
     made by ranges, so every task encodes, compresses and writes its own stretch. `sample_rows` and `dictionary_bytes`
     bound what the dictionary is trained on and its size. No rows make an empty store.
     """
@@ -97,21 +61,23 @@ def write_token_files(docs: DataFrame, target: str, path: str, end_id: int, samp
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        tokens = ByteLevel.kept(path)
+        tokens = WordIds.kept(path, joined=True)
         known = zstandard.ZstdCompressionDict(shared) if shared else None
         press = zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=True)
         held = {"doc_ids": [], "counts": [], "payload": []}
-        state = {"block": 0, "before": 0}
+        state = {"block": 0, "before": 0, "bytes": 0}
 
         def flush() -> Iterator[dict]:
             if held["doc_ids"]:
                 sizes = [len(p) for p in held["payload"]]
                 yield {
-                    "part": [TaskContext.get().partitionId()], "block": [state["block"]], "dict_hash": [name], "before": [state["before"]],
+                    "part": [TaskContext.get().partitionId()], "block": [state["block"]],
+                    "first_id": [next((i for i in held["doc_ids"] if i is not None), None)], "last_id": [held["doc_ids"][-1]], "dict_hash": [name], "before": [state["before"]],
                     "doc_ids": [list(held["doc_ids"])], "counts": [list(held["counts"])], "offsets": [[0, *np.cumsum(sizes).tolist()]], "payload": [b"".join(held["payload"])],
                 }
                 state["block"] += 1
                 state["before"] += sum(held["counts"])
+                state["bytes"] = 0
                 for v in held.values():
                     v.clear()
 
@@ -122,15 +88,18 @@ def write_token_files(docs: DataFrame, target: str, path: str, end_id: int, samp
                     held["doc_ids"].append(ids[at])
                     held["counts"].append(len(raw) // 4 + 1)
                     held["payload"].append(press.compress(raw + end))
+                    state["bytes"] += len(held["payload"][-1])
                     at += 1
-                    if len(held["counts"]) >= BLOCK_DOCS or sum(map(len, held["payload"][-1:])) > BLOCK_IDS:
+                    if len(held["counts"]) >= BLOCK_DOCS or state["bytes"] > BLOCK_BYTES:
                         yield from flush()
 
         work.flush = flush
         return work
 
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    scan(ordered, BLOCK, make).write.parquet(f"{target}/blocks")
+    order = ["doc_id", "head", "hash", "row"]
+    marked = rows.select("*", F.substring("text", 1, HEAD).alias("head"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ordered = marked.repartitionByRange(*order).sortWithinPartitions(*order)
+    scan(ordered.select("doc_id", "text"), BLOCK, make).write.parquet(f"{target}/blocks")
     spark.createDataFrame([(name, bytearray(shared))], "hash string, bytes binary").write.parquet(f"{target}/dictionary")
 
 
@@ -168,10 +137,11 @@ def _unpacker(name: str, shared: bytes):
 
 
 def read_document(spark: SparkSession, target: str, doc_id: int) -> list[np.ndarray]:
-    """The arrays of the documents with this id, each decompressed alone from its slice of its block."""
+    """The arrays of the documents with this id, each decompressed alone from its slice of its block; only blocks whose ids reach round it are read."""
     name, shared = spark.read.parquet(f"{target}/dictionary").first()
     unpress = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(bytes(shared)) if shared else None)
-    found = spark.read.parquet(f"{target}/blocks").withColumn("at", F.explode(F.sequence(F.lit(1), F.size("doc_ids"))))
+    blocks = spark.read.parquet(f"{target}/blocks").where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    found = blocks.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("doc_ids"))))
     piece = F.expr("substring(payload, CAST(offsets[at - 1] AS INT) + 1, CAST(offsets[at] - offsets[at - 1] AS INT))")
     rows = found.where(F.expr("doc_ids[at - 1]") == doc_id).select(piece.alias("data")).collect()
     return [np.frombuffer(unpress.decompress(bytes(r["data"])), "<u4") for r in rows]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm import ann, bpe, decontaminate, langid, pii, secret_scan, sharding, simhash, token_files, toxicity
 from framewright.llm.graph import components
+from framewright.llm.word_ids import WordIds
 from framewright.session import scratch
 
 WORDS = "the of and river stone light carries über été niño 漢字 don't 12 token=abc".split()
@@ -270,7 +271,7 @@ def test_token_files_round_trip(docs, none, spark):
         start += len(ids)
     assert [a.tolist() for a in token_files.read_document(spark, target, 7)] == [tokenizer.encode("one").ids + [2]]
     odd = ["".join(RNG.choice(["a", " ", "\n", "é", "12", "'s", "!", "\t", "\xa0", "\x1c", "word"]) for _ in range(30)) for _ in range(2000)]
-    for text, ids in zip(odd, token_files.ByteLevel(path).encode(odd)):
+    for text, ids in zip(odd, WordIds(path, joined=True).encode(odd)):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     empty = scratch(spark, "tokens")
     token_files.write_token_files(none, empty, path, 2)
