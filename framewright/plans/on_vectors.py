@@ -8,7 +8,7 @@ from framewright.operators import manifest as M, retrieval as R, vectors as X
 from framewright.plans import views as V
 from framewright.plans.on_scalars import r6
 from framewright.plans.registry import query
-from framewright.session import cut
+from framewright.session import cut, scratch
 
 c = F.col
 LONG = "SELECT vec_id, spk, v, unnest(generate_series(0, len(v) - 1)) AS d, unnest(v) AS c FROM vecs"
@@ -38,9 +38,16 @@ def centroids(spark, d):
 
 
 def saved_index(spark, d):
-    """Postings and centroids, written once as an index is, and read by everything after."""
-    cents = cut(centroids(spark, d))
-    return cut(R.assign_cells(V.vecs(spark, d), cents)), cents
+    """The index over a folder's embeddings, partitioned by cell. The first query of a session builds and saves it, the others load it."""
+    known = vars(saved_index).setdefault("paths", {})
+    place = (spark.sparkContext.applicationId, d)
+    if place not in known:
+        path = scratch(spark, "index")
+        cents = cut(centroids(spark, d))
+        R.save_index(cents, R.assign_cells(V.vecs(spark, d), cents), path, [])
+        known[place] = path
+    cents, postings = R.load_index(spark, known[place], {})
+    return postings, cents
 
 
 def queries_of(spark, d):
@@ -362,7 +369,7 @@ CELLS = "greatest(least(CAST(floor(16 * sqrt(n)) AS BIGINT), n // 39), 1)"
     ),
 )
 def compress_conditional(spark, d):
-    out = R.compress(V.vecs(spark, d), ["spk"], threshold=50, clusters=16, iterations=3)
+    out = R.compress(V.vecs(spark, d), ["spk"], threshold=50, clusters=16, iterations=3, seeding="sample")
     return out.select("spk", "vec_id", F.posexplode("v").alias("d", "c")).select("spk", "vec_id", big("d"), r6("c").alias("c"))
 
 
@@ -380,7 +387,7 @@ def ivf_train(spark, d):
 
     v = V.vecs(spark, d).withColumn("feature", F.lit("hubert"))
     sizes = v.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    cents = R.kmeans(v, sizes.select("feature", ivf_cells("n").alias("k")), ["feature"], iterations=3)
+    cents = R.kmeans(v, sizes.select("feature", ivf_cells("n").alias("k")), ["feature"], iterations=3, seeding="sample")
     return cents.select("cell", F.posexplode("v").alias("d", "c")).select("cell", big("d"), r6("c").alias("c"))
 
 
@@ -401,5 +408,38 @@ def index_build_all(spark, d):
     features = v.withColumn("feature", F.lit("hubert")).unionByName(
         v.withColumn("v", F.reverse("v")).withColumn("feature", F.lit("whisper"))
     )
-    _, postings = R.build_index(features, ["spk", "feature"], iterations=3)
+    _, postings = R.build_index(features, ["spk", "feature"], iterations=3, seeding="sample")
     return postings.select("spk", "feature", "vec_id", "cell", r6("d2").alias("d2"))
+
+
+def spread_ctes(k: int, rounds: int, iterations: int) -> dict[str, str]:
+    """k-means|| unrolled over `src` (spk, vec_id, v): drawn candidates, their weights, the picks, and the rounds of means."""
+    ctes = dict(src="SELECT spk, vec_id, v FROM vecs", s0="SELECT spk, arg_min(vec_id, (md5('0|' || vec_id), vec_id)) AS cell FROM src GROUP BY spk")
+    for r in range(rounds + 1):
+        ctes[f"n{r}"] = f"""SELECT spk, a.vec_id, arg_min(cell, (dd, cell)) AS cell, min(dd) AS d2 FROM (SELECT a.spk, a.vec_id, s.cell, {dist('a.v', 'b.v')} AS dd
+            FROM src a JOIN s{r} s USING (spk) JOIN src b ON b.spk = a.spk AND b.vec_id = s.cell) a GROUP BY spk, a.vec_id"""
+        ctes[f"s{r + 1}"] = f"""SELECT spk, cell FROM s{r} UNION SELECT spk, vec_id FROM (SELECT *, sum(d2) OVER (PARTITION BY spk) AS cost FROM n{r})
+            WHERE d2 > 0 AND {V.uniform_sql(f"'0r{r}|' || vec_id")} * cost < {k} * d2"""
+    ctes["wt"] = f"SELECT spk, cell, v, w FROM (SELECT spk, cell, count(*) AS w FROM n{rounds} GROUP BY spk, cell) JOIN (SELECT spk, vec_id AS cell, v FROM src) USING (spk, cell)"
+    pick = "(PARTITION BY spk ORDER BY w * least DESC, cell)"
+    ctes["gr"] = f"""SELECT spk, cell, v, w, {dist('v', 'pv')} AS least, 0 AS step, pick FROM (SELECT *, first_value(v) OVER o AS pv, first_value(cell) OVER o AS pick
+        FROM wt WINDOW o AS (PARTITION BY spk ORDER BY w DESC, cell)) UNION ALL SELECT spk, cell, v, w, least(least, {dist('v', 'pv')}), step + 1, pick FROM
+        (SELECT spk, cell, v, w, least, step, first_value(v) OVER {pick} AS pv, first_value(cell) OVER {pick} AS pick FROM gr WHERE step < {k - 1})"""
+    ctes["c0"] = "SELECT spk, step AS cell, v AS cv FROM (SELECT DISTINCT spk, step, pick FROM gr) JOIN (SELECT spk, vec_id AS pick, v FROM src) USING (spk, pick)"
+    return ctes | {n: q for n, q in kmeans_ctes("", "0", "spk", iterations).items() if n not in ("src", "c0")}
+
+
+@query(
+    "kmeans_spread",
+    V.sql(
+        "vecs",
+        """SELECT spk, CAST(cell AS BIGINT) AS cell, CAST(d AS BIGINT) AS d, round(c, 6) AS c FROM (SELECT spk, cell, unnest(generate_series(0, len(cv) - 1)) AS d,
+        unnest(cv) AS c FROM c2)""",
+        **spread_ctes(4, 4, 2),
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def kmeans_spread(spark, d):
+    """Four cells per speaker, seeded by oversampling."""
+    v = V.vecs(spark, d)
+    cents = R.kmeans(v, v.select("spk").distinct().withColumn("k", F.lit(4)), ["spk"], iterations=2)
+    return cents.select("spk", "cell", F.posexplode("v").alias("d", "c")).select("spk", "cell", big("d"), r6("c").alias("c"))

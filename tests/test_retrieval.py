@@ -110,3 +110,53 @@ def test_code_probabilities_at_a_very_low_temperature(spark, tile):
     got = R.soft_codes(spark.createDataFrame(rows, "q bigint, v array<double>"), codes, 1e-5, tile).orderBy("q").collect()
     assert [(r["q"], r["code"]) for r in got] == [(0, 0), (1, 1), (2, 0)]
     assert [r["prob"] for r in got] == pytest.approx([0.5, 1.0, 0.5])
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+@pytest.mark.parametrize("seeding", ["spread", "sample"])
+def test_rounds_are_lloyds_with_broadcast_centroids_or_tiles(spark, data, base, monkeypatch, seeding, limit):
+    monkeypatch.setattr(R, "BROADCAST_BYTES", limit)
+    counts = spark.createDataFrame([(0, 4), (1, 3)], "spk int, k int")
+    as_dict = lambda df: {(r["spk"], r["cell"]): np.array(r["v"]) for r in df.collect()}
+    start = as_dict(R.kmeans(base, counts, ["spk"], iterations=0, seeding=seeding))
+    assert sorted(start) == [(0, c) for c in range(4)] + [(1, c) for c in range(3)]
+    got = as_dict(R.kmeans(base, counts, ["spk"], iterations=3, seeding=seeding))
+    for spk in (0, 1):
+        rows, cents = data[np.arange(len(data)) % 2 == spk], np.array([start[k] for k in sorted(start) if k[0] == spk])
+        for _ in range(3):
+            at = ((rows[:, None] - cents) ** 2).sum(2).argmin(1)
+            cents = np.array([rows[at == c].mean(0) if (at == c).any() else cents[c] for c in range(len(cents))])
+        assert np.allclose(cents, [got[k] for k in sorted(got) if k[0] == spk])
+
+
+def test_rounds_end_when_nothing_moves(spark, monkeypatch):
+    df = spark.createDataFrame([(0, i, [float(i // 10 * 100), float(i % 2)]) for i in range(30)], "g int, vec_id bigint, v array<double>")
+    made = []
+    means = R.cell_means
+    monkeypatch.setattr(R, "cell_means", lambda *a: made.append(1) or means(*a))
+    cents = R.kmeans(df, spark.createDataFrame([(0, 3)], "g int, k int"), ["g"], iterations=50)
+    assert sorted(r["v"] for r in cents.collect()) == [[0.0, 0.5], [100.0, 0.5], [200.0, 0.5]] and len(made) <= 3
+
+
+def test_spread_seeds_find_far_groups_and_stop_at_copies(spark):
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(12, 5)) * 50
+    rows = [(0, i, (middles[0 if i < 300 else i % 12] + rng.normal(size=5) * 0.01).tolist()) for i in range(420)]
+    rows += [(1, i, [1.0, 2.0, 3.0, 4.0, 5.0]) for i in range(40)] + [(1, 50, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "g int, vec_id bigint, v array<double>").repartition(4)
+    seeds = R.spread_seeds(df, spark.createDataFrame([(0, 12), (1, 5)], "g int, k int"), ["g"], 0).collect()
+    found = [r["v"] for r in seeds if r["g"] == 0]
+    assert {int(((middles - np.array(v)) ** 2).sum(1).argmin()) for v in found} == set(range(12))
+    assert sorted(r["v"] for r in seeds if r["g"] == 1) == [[0.0] * 5, [1.0, 2.0, 3.0, 4.0, 5.0]]
+
+
+def test_search_reads_only_probed_cells(spark, base):
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/index"
+    cents = base.where("vec_id IN (0, 7, 20, 41)").select(F.col("vec_id").alias("cell"), "v")
+    R.save_index(cents, R.assign_cells(base, cents), path, [])
+    cents, postings = R.load_index(spark, path, {})
+    queries = base.where("vec_id = 25").select(F.col("vec_id").alias("q"), "v")
+    near = R.knn_ivf(queries, postings, cents, 2, carry="base")
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(cell" in plan.replace("[isnotnull(cell#", "[(cell#")
+    assert [(r["vec_id"], r["d2"]) for r in near.orderBy("rank").collect()] == [(20, 0.0), (21, 0.0)]
