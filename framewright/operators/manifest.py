@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from framewright.functions.noise import digest, uniform
 from framewright.operators.blocks import hashed_ordinal, ordinal, with_group
 from framewright.operators.vectors import blend, cosine
+from framewright.session import cut
 
 
 def manifest_join(modalities: dict[str, DataFrame], keys: list[str]) -> DataFrame:
@@ -140,3 +141,41 @@ def shuffle_batches(rows: DataFrame, batch: list[str], seed) -> DataFrame:
     batches = rows.select(*batch).distinct().withColumn("_h", digest(seed, *batch))
     placed = ordinal(batches, [], ["_h", *batch], F.substring("_h", 1, 3), "place").drop("_h")
     return rows.join(placed, batch)
+
+
+def audited_batches(
+    items: DataFrame, key: str, n: str, bounds: list[int], replicas: int, size: int, shortest: int = 100, longest: int = 400, seed=None
+) -> tuple[DataFrame, DataFrame]:
+    """(batches, audit): the items in padded batches, written to the shared folder, and one row that counts what happened to them.
+
+    Items are filtered and capped by length, put into buckets, padded to whole batches of all replicas and dealt to
+    these. The counts are observed in the pass that does so: items, too_short, capped and unbucketed ones, repeats that fill
+    buckets up, and frames of items and of padding, each batch being as long as its longest item.
+    """
+    spark = items.sparkSession
+    seen, dealt = Observation(), Observation()
+    usable = F.col(n) - 1
+    sized = items.withColumn("_bucket", bucket_of(F.least(usable, F.lit(longest)), bounds))
+    counted = sized.observe(
+        seen,
+        F.count(F.lit(1)).alias("items"),
+        F.count_if(usable < shortest).alias("too_short"),
+        F.count_if(usable > longest).alias("capped"),
+        F.count_if((usable >= shortest) & F.col("_bucket").isNull()).alias("unbucketed"),
+    )
+    kept = cut(length_filter(counted, n, shortest, longest).where("_bucket IS NOT NULL").select(key, "use", F.col("_bucket").alias("bucket")))
+    padded = rank_batches(wrap_pad(kept, "bucket", key, replicas * size, seed), replicas, size)
+    tops = padded.groupBy("bucket", "replica", "batch").agg(F.max("use").alias("length"))
+    placed = padded.join(tops, ["bucket", "replica", "batch"]).observe(
+        dealt,
+        F.count(F.lit(1)).alias("slots"),
+        F.count_if(F.col("slot") == 0).alias("batches"),
+        F.coalesce(F.sum("use"), F.lit(0)).alias("frames"),
+        F.coalesce(F.sum(F.col("length") - F.col("use")), F.lit(0)).alias("padding"),
+    )
+    batches = cut(placed)
+    found = seen.get | dealt.get
+    repeats = found["slots"] - (found["items"] - found["too_short"] - found["unbucketed"])
+    names = ["items", "too_short", "capped", "unbucketed", "slots", "batches", "frames", "padding"]
+    row = [int(found[c]) for c in names] + [int(repeats)]
+    return batches, spark.createDataFrame([tuple(row)], ", ".join(f"{c} bigint" for c in [*names, "repeats"]))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf
 
 from framewright.operators.retrieval import compress
 
@@ -33,11 +35,25 @@ def transform_vectors(vectors: DataFrame, keys: list[str], name: str, **options)
     return TRANSFORMS[name](vectors, keys, **options)
 
 
-@udtf(returnType="frame: bigint, offset: bigint, x: double")
-class Frames:
-    """`frames(array, size, hop)`: every whole frame of one array, for use with LATERAL."""
+#: Rows that one output batch of `frames` holds at most.
+FRAME_ROWS = 1 << 16
+
 
-    def eval(self, values: list, size: int, hop: int):
-        for frame in range((len(values) - size) // hop + 1):
-            for offset in range(size):
-                yield frame, offset, values[frame * hop + offset]
+@arrow_udtf(returnType="id bigint, frame bigint, offset bigint, x double")
+class Frames:
+    """`frames(TABLE(SELECT id, v, size, hop ...))`: every whole frame of the array of each row. Batches of frames are views of the arrays."""
+
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        for name, row, length, step in zip(*[batch.column(c) for c in ("id", "v", "size", "hop")]):
+            length, step = length.as_py(), step.as_py()
+            if not row.is_valid or len(row.values) < length:
+                continue
+            line = row.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            views = np.lib.stride_tricks.sliding_window_view(line, length)[::step]
+            some = max(1, FRAME_ROWS // length)
+            for at in range(0, len(views), some):
+                part = views[at : at + some]
+                frame = np.repeat(np.arange(at, at + len(part)), length)
+                offset = np.tile(np.arange(length), len(part))
+                same = pa.array([name.as_py()], pa.int64()).take(pa.array(np.zeros(part.size, np.int64)))
+                yield pa.table({"id": same, "frame": frame, "offset": offset, "x": part.reshape(-1)})

@@ -118,6 +118,27 @@ def dataset_audit(spark, d):
     )
 
 
+@query(
+    "batch_audit",
+    V.sql(
+        "frames",
+        """SELECT * FROM counts, (SELECT count(*) AS slots, count(*) FILTER (WHERE slot = 0) AS batches, CAST(coalesce(sum(use), 0) AS BIGINT) AS frames,
+        CAST(coalesce(sum(top - use), 0) AS BIGINT) AS padding, count(*) - (SELECT count(*) FROM kept) AS repeats FROM
+        (SELECT *, max(use) OVER (PARTITION BY bucket, replica, batch) AS top FROM dealt))""",
+        kept="""SELECT doc_id, use, CASE WHEN use > 300 THEN 1 ELSE 0 END AS bucket FROM (SELECT doc_id, least(n - 1, 400) AS use FROM frames WHERE n - 1 >= 100)
+            WHERE use > 150""",
+        dealt="""SELECT bucket, use, pos % 2 AS replica, (pos // 2) // 4 AS batch, (pos // 2) % 4 AS slot FROM (SELECT bucket, use, unnest(generate_series(p,
+            CAST(ceil(nn / 8.0) AS BIGINT) * 8 - 1, nn)) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1 AS p,
+            count(*) OVER (PARTITION BY bucket) AS nn FROM kept))""",
+        counts="""SELECT count(*) AS items, count(*) FILTER (WHERE n - 1 < 100) AS too_short, count(*) FILTER (WHERE n - 1 > 400) AS capped,
+            count(*) FILTER (WHERE n - 1 BETWEEN 100 AND 150) AS unbucketed FROM frames""",
+    ),
+)
+def batch_audit(spark, d):
+    """Items through buckets and batches, and what was counted on the way."""
+    return M.audited_batches(V.frames(spark, d), "doc_id", "n", [150, 300, 450], 2, 4)[1]
+
+
 @query(
     "pitch_csv_write",
     V.sql(

@@ -339,7 +339,7 @@ def transform_plugin(spark, d):
 def frames_udtf(spark, d):
     spark.udtf.register("frames", PL.Frames)
     V.vecs(spark, d).createOrReplaceTempView("frame_source")
-    return spark.sql("SELECT vec_id, f.frame, f.offset, round(f.x, 6) AS x FROM frame_source, LATERAL frames(v, 16, 8) AS f")
+    return spark.sql("SELECT id AS vec_id, frame, offset, round(x, 6) AS x FROM frames(TABLE(SELECT vec_id AS id, v, 16 AS size, 8 AS hop FROM frame_source))")
 
 
 @query(

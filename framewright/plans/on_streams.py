@@ -65,9 +65,12 @@ def stream_ingest_once(spark, d):
 @query(
     "stream_chunk_features",
     """SELECT event_type, w AS start_s, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS peak FROM
-    (SELECT *, (epoch_us(ts) // 900000000) * 900 AS w FROM events)
-    WHERE (w + 900) * 1000 <= (SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM events) GROUP BY event_type, w""",
+    (SELECT *, (epoch_us(ts) // 900000000) * 900 AS w FROM events) GROUP BY event_type, w""",
 )
 def stream_chunk_features(spark, d):
-    out = ingest.drain(ingest.chunk_features(ingest.watch(spark, d, "events*.parquet"), ["event_type"]), scratch(spark, "stream"))
+    """All windows of a finished input: those the stream put out, those it holds open, and those that rows missed."""
+    path = scratch(spark, "stream")
+    drained = ingest.drain(ingest.chunk_features(ingest.watch(spark, d, "events*.parquet"), ["event_type"]), path)
+    events = V.table(spark, d, "events").withColumn("ts", c("ts").cast("timestamp"))
+    out = ingest.finished_features(spark, path, drained, events, ["event_type"])
     return out.select("event_type", "start_s", "n", r6("mean").alias("mean"), r6("peak").alias("peak"))
