@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -15,8 +13,8 @@ from framewright.plans.on_metrics import ARGMAX, WEIGHTED
 from framewright.plans.on_scalars import r6
 from framewright.plans.on_vectors import centroids, ivf
 from framewright.plans.registry import query
-from framewright.session import checkpoint_root, cut
-from framewright.sources import pcm
+from framewright.session import cut, scratch
+from framewright.sources import catalog, wav
 
 c = F.col
 KEY = ["sid"]
@@ -351,13 +349,27 @@ def frames_udtf(spark, d):
     ),
 )
 def pcm_ingest(spark, d):
-    """Series written as WAV clips of at most 480,000 samples, then read back."""
-    levels = V.series(spark, d).select("sid", "idx", F.expr("idx div 480000").alias("clip"), S.pcm16(c("x") / 50.0 - 1.0).alias("s"))
-    clips = levels.groupBy("sid", "clip").agg(F.array_sort(F.collect_list(F.struct("idx", "s"))).alias("a"))
-    files = pcm.encode_wav(clips.select("sid", "clip", F.expr("transform(a, e -> e.s)").alias("s")), "s", ["sid", "clip"], 16000)
-    back = pcm.decode_wav(files, "content", ["sid", "clip"])
-    rows = back.select("sid", "clip", "rate", F.posexplode("samples").alias("i", "x"))
-    return rows.select("sid", F.expr("clip * 480000 + i").alias("idx"), big("rate"), r6(c("x").cast("double")).alias("x"))
+    """Series written as WAV files of at most 480,000 samples and read back from them."""
+    rows = wav.read_wavs(spark, written_wavs(spark, d))
+    place = F.expr("CAST(utt AS BIGINT) * 480000 + idx")
+    return rows.select(c("speaker").cast("bigint").alias("sid"), place.alias("idx"), big("rate"), r6(c("x").cast("double")).alias("x"))
+
+
+def written_wavs(spark, d):
+    """The corpus as files: a folder per series, a file per 480,000 samples."""
+    root = scratch(spark, "wavs")
+    levels = V.series(spark, d).select(
+        c("sid").cast("string").alias("speaker"), F.expr("CAST(idx div 480000 AS STRING)").alias("utt"), F.expr("idx % 480000").alias("idx"),
+        S.pcm16(c("x") / 50.0 - 1.0).alias("level"),
+    )
+    wav.write_wavs(levels, root, 16000)
+    return root
+
+
+@query("corpus_files", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS speaker, CAST(0 AS VARCHAR) AS utt FROM events")
+def corpus_files(spark, d):
+    """The catalogue of the files that `pcm_ingest` reads."""
+    return catalog.scan_corpus(spark, written_wavs(spark, d)).select("speaker", "utt")
 
 
 @query("index_sink_guard", ivf("SELECT CAST(cell AS INTEGER) AS spk, count(*) AS n FROM post GROUP BY cell", "post"))
@@ -365,6 +377,6 @@ def index_sink_guard(spark, d):
     """Save the index to the shared folder and count what is read back."""
     cents = centroids(spark, d)
     postings = R.assign_cells(V.vecs(spark, d), cents).withColumn("spk", c("cell").cast("int"))
-    path = f"{checkpoint_root(spark)}/index-{uuid.uuid4().hex}"
+    path = scratch(spark, "index")
     R.save_index(cents.withColumn("spk", c("cell").cast("int")), postings, path, ["spk"])
     return spark.read.parquet(f"{path}/postings").groupBy("spk").agg(F.count(F.lit(1)).alias("n"))

@@ -15,9 +15,12 @@ def path_parts(path: Column, suffix: str = ".wav") -> list[Column]:
 
 
 def scan_corpus(spark: SparkSession, root: str, suffix: str = ".wav") -> DataFrame:
-    """path, speaker, utt of every matching file one level below `root`; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(f"{root}/*")
-    return files.select("path", *path_parts(F.col("path"), suffix))
+    """path, speaker, utt of every matching file in `root`, whose name is then the speaker, or one level below; contents are not read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(place).toString()
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).load(root)
+    depth = F.size(F.split(F.substring("path", len(whole) + 2, 1 << 20), "/"))
+    return files.where(depth <= 2).select("path", *path_parts(F.col("path"), suffix))
 
 
 def list_artifacts(spark: SparkSession, root: str, suffix: str) -> DataFrame:
