@@ -10,7 +10,9 @@ from framewright.operators.blocks import ordinal, with_group
 from framewright.plans import views as V
 from framewright.plans.on_scalars import r6, stamp_sql
 from framewright.plans.registry import query
+from framewright.session import scratch
 from framewright.sources import catalog, filelists as FL, transcripts as TR
+from framewright.sources.packed import read_packed
 
 c = F.col
 MODS = list(V.MODALITIES)
@@ -214,6 +216,23 @@ def transcript_all(spark, d):
     return TR.transcript(segments(spark, d), "all")
 
 
+@query(
+    "transcript_packed",
+    V.sql(
+        "",
+        "SELECT format, CAST(audio AS VARCHAR) AS audio, string_agg(chunk || chr(10), '' ORDER BY part) AS text FROM ("
+        + " UNION ALL ".join(f"SELECT *, '{f}' AS format FROM ({q})" for f, q in CHUNKS.items()) + ") GROUP BY format, audio",
+        seg=NUMBERED,
+    ),
+)
+def transcript_packed(spark, d):
+    """All formats written to few files and every audio read back by its offsets."""
+    path = scratch(spark, "transcripts")
+    TR.pack_transcripts(segments(spark, d), "all", path, files=8)
+    pieces = read_packed(spark, path).groupBy("folder", "item").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("p"))
+    return pieces.select(c("folder").alias("format"), c("item").alias("audio"), F.expr("array_join(transform(p, e -> e.text), '')").alias("text"))
+
+
 @query("skip_existing", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def skip_existing(spark, d):
     docs = V.table(spark, d, "documents").select("doc_id", "source")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from framewright.functions.scalars import clock_label
+from framewright.sources.packed import write_packed
 
 # The fields of a manifest line, in order.
 FIELDS = ["wave", "spec", "pitch", "hubert", "whisper", "spk"]
@@ -47,6 +48,11 @@ def write_pitch(track: DataFrame, path: str, keys: list[str], frame: str = "idx"
     ).text(path)
 
 
+def pack_pitch(track: DataFrame, path: str, key: str, frame: str = "idx", f0: str = "f0", files: int = 200) -> None:
+    """The pitch tables of all series in few files, each with a table of where a series lies."""
+    write_packed(track.select(F.lit("pitch").alias("folder"), F.col(key).alias("item"), F.col(frame).alias("part"), pitch_line(frame, f0).alias("chunk")), path, files)
+
+
 def parse_json(text: Column, schema: str) -> Column:
     """Strict parse, then once more without line continuations and `//` comments."""
     relaxed = F.regexp_replace(F.regexp_replace(text, r"\\\n", ""), r"//.*\n", "\n")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from framewright.functions.text import format_timestamp, sanitise, strip
 from framewright.operators.blocks import ORDINAL_SPAN, ordinal
 from framewright.session import cut
+from framewright.sources.packed import write_packed
 
 
 def numbered(segments: DataFrame) -> DataFrame:
@@ -80,3 +81,11 @@ def write_transcripts(segments: DataFrame, output_format: str, path: str, files:
         chunks = chunks.withColumn("format", F.lit(output_format))
     placed = chunks.repartitionByRange(files, "format", "audio", "part").sortWithinPartitions("format", "audio", "part")
     placed.select("format", "audio", "chunk").write.partitionBy("format", "audio").text(path)
+
+
+def pack_transcripts(segments: DataFrame, output_format: str, path: str, files: int = 200) -> None:
+    """Few files per format, each with a table of where its audios lie; `read_packed(spark, path, format, audio)` reads one."""
+    chunks = transcript(segments, output_format)
+    if "format" not in chunks.columns:
+        chunks = chunks.withColumn("format", F.lit(output_format))
+    write_packed(chunks.select(F.col("format").alias("folder"), F.col("audio").alias("item"), "part", "chunk"), path, files)
