@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
+from framewright.llm.common import chunks
+
 
 #: Bounds of the model: characters of text per language, characters of a sampled piece; entries of tables that hold every letter in
 #: every state, and of all of them together (4 bytes each). What does not fit is kept as sorted edges.
@@ -146,13 +148,14 @@ def hash_of(text: str) -> int:
 def parse(model: Model, tables: list[np.ndarray], codes: np.ndarray, alpha: np.ndarray, texts: list[str | None]) -> list[tuple[str, float]]:
     """(language, score) of every text."""
     n = len(texts)
-    data = "\n".join((t or "").lower() for t in texts).encode("utf-32-le", "surrogatepass")
+    data = "".join(f"{(t or '').lower()}\n" for t in texts).encode("utf-32-le", "surrogatepass")
     points = np.frombuffer(data, "<u4")
     ends = np.cumsum([len((t or "").lower()) + 1 for t in texts])
     owner = np.searchsorted(ends, np.arange(len(points)), "right")
     symbols = codes[points]
     lettered = np.bincount(owner[alpha[points]], minlength=n) > 0
-    keep = np.r_[True, (symbols[1:] != SPACE) | (symbols[:-1] != SPACE)] if len(symbols) else np.zeros(0, bool)
+    # runs of blanks are one, within a text: what stands before or after it in the batch has no part in its cost
+    keep = np.r_[True, (symbols[1:] != SPACE) | (symbols[:-1] != SPACE) | (owner[1:] != owner[:-1])] if len(symbols) else np.zeros(0, bool)
     symbols, owner = symbols[keep].astype(np.int32), owner[keep]
     sizes = np.bincount(owner, minlength=n)
     firsts = np.cumsum(sizes) - sizes
