@@ -1,6 +1,7 @@
 """Personal data: spans by form, and information-theoretic sanitisation of terms that give a protected entity away."""
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,9 +13,9 @@ from framewright.llm.common import scan
 from framewright.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words of context on either side of an entity; disclosure at which a term is hidden; distinct contexts that show it;
-#: letters of a term that are kept when it is generalised.
-REACH, DISCLOSURE, SUPPORT, STEM = 8, 0.8, 3, 3
+#: Words of context on either side of an entity; disclosure at which a term is hidden; letters of a term that are kept when it
+#: is generalised; smoothing of ties: those shown by `shown` distinct contexts count shown / (shown + SMOOTH).
+REACH, DISCLOSURE, STEM, SMOOTH = 8, 0.8, 3, 0.5
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -62,12 +63,25 @@ def entity(kind: int, found: str) -> str:
     return f"{KINDS[kind]}:{plain}"
 
 
+def merged(spans: list[tuple[int, int, int]]) -> list[list[int]]:
+    """What the spans cover, as stretches in order that do not meet."""
+    covered: list[list[int]] = []
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    return covered
+
+
 def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """For every span, the words round it that are in no span themselves."""
-    covered = sorted((s, e) for _, s, e in spans)
+    covered = merged(spans)
+    starts = [s for s, _ in covered]
 
     def free(m) -> bool:
-        return not any(s < m.end() and m.start() < e for s, e in covered)
+        i = bisect_left(starts, m.end())  # the stretches before this one begin before the word ends
+        return i == 0 or covered[i - 1][1] <= m.start()
 
     out = []
     for kind, start, end in spans:
@@ -86,12 +100,7 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
 def vocabulary(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Every term of the text with the starts and ends, in turn, of its places that are in no span."""
     found: dict[str, list[int]] = {}
-    covered, i = [], 0
-    for s, e in sorted((s, e) for _, s, e in spans):
-        if covered and s <= covered[-1][1]:
-            covered[-1][1] = max(covered[-1][1], e)
-        else:
-            covered.append([s, e])
+    covered, i = merged(spans), 0
     for m in WORD.finditer(text):
         s, e = m.span()
         while i < len(covered) and covered[i][1] <= s:
@@ -145,12 +154,13 @@ def scanned(docs: DataFrame) -> DataFrame:
     return scan(docs.select("doc_id", F.coalesce(F.md5("text"), F.lit("")).alias("key"), "text"), SCANNED, make)
 
 
-def revealing(rows: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def revealing(rows: DataFrame, disclosure: float = DISCLOSURE, smooth: float = SMOOTH) -> DataFrame:
     """(entity, term, stem) of the terms that reveal an entity; stem is null where even the stem does.
 
     Over the word positions of the corpus, a term's pointwise mutual information with an entity's contexts is divided by the
     information of being in one of them: 1 if the term occurs nowhere else, 0 if the two are independent. Every occurrence
-    in the corpus counts; equal contexts show the tie between term and entity once.
+    in the corpus counts. What a pair was seen together is taken by the part shown / (shown + smooth), where equal contexts show a tie once,
+    so that a tie seen once weighs less than the same tie seen often.
     """
     words = rows.where("term IS NOT NULL").groupBy("term").agg(F.sum("times").alias("n"))
     words = cut(words)
@@ -161,10 +171,11 @@ def revealing(rows: DataFrame, disclosure: float = DISCLOSURE, support: int = SU
     pairs = near.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("shown"))
     stemmed = lambda c: F.substring(c, 1, STEM)
-    level = lambda n: F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * n)) / F.log(F.lit(float(total)) / F.col("n_entity"))
-    known = cut(pairs.where(F.col("shown") >= support).join(sizes, "entity").where(F.col("n_entity") < total).join(words, "term"))
+    both = F.col("n_both") * F.col("shown") / (F.col("shown") + F.lit(float(smooth)))
+    level = lambda n: F.log(both * F.lit(float(total)) / (F.col("n_entity") * n)) / F.log(F.lit(float(total)) / F.col("n_entity"))
+    known = cut(pairs.join(sizes, "entity").where(F.col("n_entity") < total).join(words, "term"))
     hidden = known.where(level(F.col("n")) >= disclosure).select("entity", "term")
-    stems = pairs.groupBy("entity", stemmed("term").alias("stem")).agg(F.sum("n_both").alias("n_both")).join(sizes, "entity")
+    stems = pairs.groupBy("entity", stemmed("term").alias("stem")).agg(F.sum("n_both").alias("n_both"), F.max("shown").alias("shown")).join(sizes, "entity")
     wanted = hidden.select(stemmed("term").alias("stem")).distinct()
     stem_words = words.withColumn("stem", stemmed("term")).join(wanted, "stem", "left_semi").groupBy("stem").agg(F.sum("n").alias("n_stem"))
     safe = stems.join(stem_words, "stem").where(level(F.col("n_stem")) < disclosure).select("entity", "stem")
@@ -173,7 +184,7 @@ def revealing(rows: DataFrame, disclosure: float = DISCLOSURE, support: int = SU
     return kept.select("h.entity", "h.term", F.col("s.stem").alias("stem"))
 
 
-def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def find(docs: DataFrame, disclosure: float = DISCLOSURE, smooth: float = SMOOTH) -> DataFrame:
     """(doc_id, key, spans, terms) for every row of `docs` (doc_id, text).
 
     spans: (kind number, start, end) of the four forms. terms: (start, end, stem) of words that reveal an entity of the same text,
@@ -186,7 +197,7 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
     near = own.where("size(contexts) > 0").dropDuplicates(["key"])
     held = near.select("key", F.explode("contexts.entity").alias("entity")).distinct()
     words = near.select("key", F.explode("words").alias("w")).select("key", "w.term", "w.at")
-    told = words.join(cut(revealing(rows, disclosure, support)), "term").join(held, ["key", "entity"], "left_semi")
+    told = words.join(cut(revealing(rows, disclosure, smooth)), "term").join(held, ["key", "entity"], "left_semi")
     each = told.groupBy("key", "term").agg(F.first("at").alias("at"), F.min("stem").alias("stem"), F.count_if(F.col("stem").isNull()).alias("bare"))
     each = each.withColumn("stem", F.when(F.col("bare") == 0, F.col("stem")))
     places = F.expr("transform(sequence(0, size(at) DIV 2 - 1), i -> struct(at[2 * i] AS start, at[2 * i + 1] AS end, stem AS stem))")
@@ -213,9 +224,9 @@ def cleaner():
     return run
 
 
-def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, smooth: float = SMOOTH) -> DataFrame:
     """(doc_id, text) with entities replaced by their kind and revealing terms generalised to their stem or removed."""
-    found = find(docs, disclosure, support).where("size(terms) > 0").dropDuplicates(["key"]).select("key", "terms")
+    found = find(docs, disclosure, smooth).where("size(terms) > 0").dropDuplicates(["key"]).select("key", "terms")
     keyed = docs.select("doc_id", "text", F.coalesce(F.md5("text"), F.lit("")).alias("key"))
     return keyed.join(found, "key", "left").select("doc_id", cleaner()("text", "terms").alias("text"))
 
