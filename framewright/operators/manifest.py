@@ -95,6 +95,16 @@ def holdout_split(items: DataFrame, key: str, held: int, seed=0) -> DataFrame:
     return placed.withColumn("split", F.when(F.col("position") < held, "valid").otherwise("train"))
 
 
+def held_out(items: DataFrame, key: str, held: int, seed=0) -> DataFrame:
+    """Adds `split` alone: the keys that `holdout_split` holds out, without an order of the others.
+
+    A top-k by digest of at most `held` keys is broadcast; nothing else is ranked or shuffled. Rows that share a held key are all valid.
+    """
+    keys = items.select(F.col(key).alias("_held")).orderBy(digest(seed, F.col("_held")), "_held").limit(held).distinct()
+    joined = items.join(F.broadcast(keys), F.col(key).eqNullSafe(F.col("_held")) & F.col("_held").isNotNull(), "left")
+    return joined.withColumn("split", F.when(F.col("_held").isNotNull(), "valid").otherwise("train")).drop("_held")
+
+
 def shuffled(items: DataFrame, keys: list[str], key: str, seed, out: str = "position") -> DataFrame:
     """Adds the dense position of each row in a seeded random order within `keys`."""
     return hashed_ordinal(items.withColumn("_h", digest(seed, key)), keys, "_h", key, out).drop("_h")

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from framewright.functions.pitch import log_bin
@@ -140,11 +144,34 @@ def harmonic_weights(resolution: float, harmonics: int, alpha: float, width: int
 
 
 def harmonic_sum(spectrum: DataFrame, keys: list[str], weights: dict[int, float], bins: int) -> DataFrame:
-    """Salience of each bin: weighted power at its harmonics. Each bin of power is sent to the bins it supports."""
-    table = F.array(*[F.struct(F.lit(o).cast("bigint").alias("o"), F.lit(w).alias("w")) for o, w in sorted(weights.items())])
-    sent = spectrum.select(*keys, "bin", "power", F.explode(table).alias("_h"))
-    sent = sent.select(*keys, (F.col("bin") - F.col("_h.o")).alias("bin"), (F.col("power") * F.col("_h.w")).alias("_v"))
-    return sent.where((F.col("bin") >= 0) & (F.col("bin") < bins)).groupBy(*keys, "bin").agg(F.sum("_v").alias("salience"))
+    """Salience of each bin that some power supports: weighted power at its harmonics.
+
+    The bins of a frame, a bounded number, are gathered once; the frames of a batch make a matrix, and their saliences are its
+    product with the weights. Several powers of a bin add up; missing ones do not count.
+    """
+    band = np.zeros((bins + max(weights), bins))
+    for o, w in weights.items():
+        at = np.arange(max(0, -o), bins)
+        band[at + o, at] = w
+    ddl = ", ".join(f"`{k}` {spectrum.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(len(keys))
+            flat = held.flatten()
+            frame = np.repeat(np.arange(batch.num_rows), pc.list_value_length(held).to_numpy(zero_copy_only=False))
+            place, power = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
+            good = (place >= 0) & (place < len(band)) & ~np.isnan(power)
+            dense, there = np.zeros((batch.num_rows, len(band))), np.zeros((batch.num_rows, len(band)))
+            np.add.at(dense, (frame[good], place[good].astype(np.int64)), power[good])
+            there[frame[good], place[good].astype(np.int64)] = 1.0
+            row, bin_ = np.nonzero(there @ (band != 0))
+            found = (dense @ band)[row, bin_]
+            same = [batch.column(k).take(pa.array(row)) for k in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(bin_.astype(np.int64)), pa.array(found)], names=[*keys, "bin", "salience"])
+
+    gathered = spectrum.where("power IS NOT NULL").groupBy(*keys).agg(F.collect_list(F.struct(F.col("bin").cast("bigint"), F.col("power").cast("double"))).alias("_b"))
+    return gathered.mapInArrow(run, f"{ddl}, bin bigint, salience double")
 
 
 # Fixed value: the guard inside the logarithm of relative levels (single precision epsilon).

@@ -64,7 +64,7 @@ def manifest_join(spark, d):
     ),
 )
 def filelist_write(spark, d):
-    return M.holdout_split(manifest(spark, d), "utt", 10).select("split", FL.manifest_line().alias("line"))
+    return M.held_out(manifest(spark, d), "utt", 10).select("split", FL.manifest_line().alias("line"))
 
 
 @query("filelist_read", V.sql(MOD_VIEWS, f"SELECT {PATH_SQL} FROM ({JOINED})"))
@@ -310,7 +310,7 @@ def epoch_shuffle(spark, d):
 )
 def holdout_split(spark, d):
     docs = V.table(spark, d, "documents").select("doc_id")
-    return M.holdout_split(docs, "doc_id", 10).select("doc_id", "split")
+    return M.held_out(docs, "doc_id", 10).select("doc_id", "split")
 
 
 @query(

@@ -44,3 +44,30 @@ def test_frames_of_arrays_of_any_length(spark):
     spark.createDataFrame(rows, "id bigint, v array<double>").createOrReplaceTempView("arrays")
     got = spark.sql("SELECT id, count(*) AS n, sum(x - frame * 8 - offset) AS off, max(frame) AS last FROM frames(TABLE(SELECT id, v, 16 AS size, 8 AS hop FROM arrays)) GROUP BY id")
     assert sorted(map(tuple, got.collect())) == [(1, 6249 * 16, 0.0, 6248), (4, 16, 0.0, 0)]
+
+
+def test_salience_is_the_sum_over_sent_powers(spark):
+    import random
+
+    from framewright.operators import metrics as MT
+
+    rng = random.Random(3)
+    rows = [(k, b, rng.choice([None, rng.random()])) for k in range(30) for b in range(-2, 70) if rng.random() < 0.2]
+    rows += [(None, 5, 1.0), (None, 5, 2.0)]
+    weights = MT.harmonic_weights(100.0, 3, 0.8, 4)
+    got = {(r["t"], r["bin"]): r["salience"] for r in MT.harmonic_sum(spark.createDataFrame(rows, "t bigint, bin bigint, power double"), ["t"], weights, 61).collect()}
+    want = {}
+    for t, b, p in rows:
+        if p is not None and b >= 0:
+            for o, w in weights.items():
+                if 0 <= b - o < 61:
+                    want[t, b - o] = want.get((t, b - o), 0.0) + p * w
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_held_out_keys_are_those_of_the_ranked_split(spark):
+    items = spark.createDataFrame([(i,) for i in range(200)] + [(3,), (None,)], "k bigint").repartition(5)
+    ranked = {r["k"] for r in M.holdout_split(items.where("k IS NOT NULL").distinct(), "k", 12, 5).where("split = 'valid'").collect()}
+    got = M.held_out(items.where("k IS NOT NULL").distinct(), "k", 12, 5).where("split = 'valid'")
+    assert {r["k"] for r in got.collect()} == ranked and got.count() == 12
+    assert M.held_out(items, "k", 12, 5).count() == 202
