@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by inner product: balanced posting lists with a graph over their centroids."""
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from framewright.llm.common import scan
@@ -199,28 +201,33 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, aim: float = AIM
     lifted = lambda x: np.hstack([x, np.sqrt(np.maximum(0, top - (x**2).sum(1)))[:, None]]).astype(np.float32)
     flat = lambda x: np.hstack([x, np.zeros((len(x), 1))]).astype(np.float32)
     lists = int(min(MAX_LISTS, len(base), max(1, n // LIST_ROWS)))
-    model = spark.sparkContext.broadcast(Centroids(balanced_centroids(lifted(base), lists)))
+    centroids = Centroids(balanced_centroids(lifted(base), lists))
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(centroids))  # with its class, so that workers need not have this package
 
     def indexer():
+        model = pickle.loads(packed.value)
+
         def work(ids, vs):
             for i in range(0, len(ids), 1024):
                 x = np.array(vs[i : i + 1024], float)
-                homes = model.value.homes(lifted(x))
+                homes = model.homes(lifted(x))
                 yield {"list": [c for h in homes for c in h], "vec_id": [v for v, h in zip(ids[i : i + 1024], homes) for _ in h], "v": [v for v, h in zip(vs[i : i + 1024], homes) for _ in h]}
 
         return work
 
     postings = cut(scan(rows, "list int, vec_id bigint, v array<double>", indexer))
-    ratio = calibrated(rows, postings, asked, model.value, flat, k, aim)
+    ratio = calibrated(rows, postings, asked, centroids, flat, k, aim)
     sizes = np.zeros(lists, np.int64)
     for r in postings.select("list", "vec_id").distinct().groupBy("list").count().collect():  # a row per list, at most 4,096
         sizes[r["list"]] = r["count"]
     enough = COPIES * (k + 1)  # as rows of lists, so that k vectors besides the query's own are among them
 
     def prober():
+        model = pickle.loads(packed.value)
+
         def work(ids, vs):
             for i in range(0, len(ids), 1024):
-                near = model.value.probes(flat(np.array(vs[i : i + 1024], float)), ratio, sizes, enough)
+                near = model.probes(flat(np.array(vs[i : i + 1024], float)), ratio, sizes, enough)
                 yield {
                     "list": [c for p in near for c in p],
                     "query_id": [v for v, p in zip(ids[i : i + 1024], near) for _ in p],
