@@ -1,6 +1,6 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -8,11 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from framewright.llm.common import chunks
+from framewright.llm.common import chunks, scan
 from framewright.llm.words import letters_table, mix, word_hashes
 
-#: Bits of the feature space; rows of the fitting sample; rows that one learner gets; passes over them.
-BITS, SAMPLE_ROWS, LEARNER_ROWS, PASSES = 20, 16_384, 16_384, 3
+#: Bits of the feature space; rows of the fitting sample; passes over them.
+BITS, SAMPLE_ROWS, PASSES = 20, 16_384, 3
 #: Step size, its offset, and the L1 and L2 penalties.
 ALPHA, BETA, L1, L2 = 0.6, 1.0, 3.0, 1.0
 #: Features of fewer rows are not taken into a learner.
@@ -53,13 +53,14 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, passes: int) -> np.ndarray:
 
 
 def learn(labelled: DataFrame, texts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(features, weights) fitted to labels (doc_id, label 0/1) of documents (doc_id, text).
+    """(features, weights) fitted to labels (doc_id, label 0/1) of documents (doc_id, text); both may have other columns.
 
     Up to half of the sample of about `sample_rows` labels are positive; the intercept is then set back to their share in all
-    labels. The sample is dealt to learners of about 2,048 rows, whose weights are averaged; the few that L1 leaves are
-    collected, at most 2**20. Null labels and texts are left out. Without both labels, all scores are the share of the positive one.
+    labels. Which rows are picked depends on their ids alone. The sampled texts become features where they are read, and one learner
+    gets these, at most 2**20 distinct ones per text, in the order of a hash; the few weights that L1 leaves are collected. An id with several labels has the
+    highest, an id with several texts the smallest. Null labels and texts are left out. Without both labels, all scores are the share of the positive one.
     """
-    labels = labelled.where("label IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label"))
+    labels = labelled.where("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     count = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     ones, zeros = count.get(1, 0), count.get(0, 0)
     if not ones or not zeros:
@@ -68,31 +69,43 @@ def learn(labelled: DataFrame, texts: DataFrame, sample_rows: int = SAMPLE_ROWS)
     take_zero = min(1.0, (sample_rows - take_one * ones) / zeros)
     uniform = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(1 << 30)
     picked = labels.where(uniform < F.when(F.col("label") == 1, take_one).otherwise(take_zero))
-    learners = max(1, round((take_one * ones + take_zero * zeros) / LEARNER_ROWS))
     rows = texts.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    single = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+    def slots() -> Callable[..., Iterator[dict]]:
+        table = letters_table("alnum")
+
+        def work(ids, labels, texts):
+            at = 0
+            for part in chunks(texts):
+                found, owner = features(part, table)
+                key = np.unique(owner << BITS | found)
+                split = np.split((key & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(key >> BITS, np.arange(1, len(part))))
+                yield {"doc_id": ids[at : at + len(part)], "label": labels[at : at + len(part)], "slots": [np.r_[BIAS, s].astype("<i4").tobytes() for s in split]}
+                at += len(part)
+
+        return work
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    made = scan(single.select("doc_id", "label", "text"), f"doc_id {kind}, label int, slots binary", slots)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "text"])
-        table, present = letters_table("alnum"), []
-        for part in chunks(pdf["text"].tolist()):
-            slots, owner = features(part, table)
-            key = np.unique(owner << BITS | slots)
-            present += [np.r_[BIAS, p] for p in np.split(key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(1, len(part))))]
+        pdf = pdf.sort_values("order")
+        present = [np.frombuffer(s, "<i4") for s in pdf["slots"]]
         times = np.bincount(np.concatenate(present), minlength=1 << BITS)
         present = [i[times[i] >= SUPPORT] for i in present]
         w = ftrl(present, pdf["label"].to_numpy(), PASSES)
         used = np.flatnonzero(w)
         return pd.DataFrame({"slot": used, "weight": w[used]})
 
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(18)), F.lit(learners)).alias("learner"), F.xxhash64("doc_id", F.lit(19)).alias("order"), "text", "label")
-    fitted = dealt.groupBy("learner").applyInPandas(fit, "slot bigint, weight double")
-    mean = fitted.groupBy("slot").agg((F.sum("weight") / learners).alias("weight")).toPandas().sort_values("slot")
-    slots, weights = mean["slot"].to_numpy(), mean["weight"].to_numpy().copy()
+    dealt = made.select(F.lit(0).alias("learner"), F.xxhash64("doc_id", F.lit(19)).alias("order"), "slots", "label")
+    fitted = dealt.groupBy("learner").applyInPandas(fit, "slot bigint, weight double").toPandas().sort_values("slot")
+    slots_of, weights = fitted["slot"].to_numpy(), fitted["weight"].to_numpy().copy()
     back = np.log(ones / zeros) - np.log(take_one * ones / (take_zero * zeros))
-    if BIAS not in slots:
-        return np.r_[BIAS, slots], np.r_[back, weights]
-    weights[slots == BIAS] += back
-    return slots, weights
+    if BIAS not in slots_of:
+        return np.r_[BIAS, slots_of], np.r_[back, weights]
+    weights[slots_of == BIAS] += back
+    return slots_of, weights
 
 
 def scorer(model: tuple[np.ndarray, np.ndarray]):
@@ -118,5 +131,8 @@ def scorer(model: tuple[np.ndarray, np.ndarray]):
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, score) for every row of `docs` (doc_id, text), from its whole text; null and empty texts get the intercept's score."""
+    """(doc_id, score) for every row of `docs` (doc_id, text), from its whole text; null and empty texts get the intercept's score.
+
+    Repeated rows are repeated, null ids kept; no rows give none; other columns are ignored.
+    """
     return docs.select("doc_id", scorer(model)("text").alias("score"))
