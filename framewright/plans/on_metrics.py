@@ -171,16 +171,17 @@ def log_bin_power(spark, d):
 
 
 WEIGHTS = M.harmonic_weights(100.0, 3, 0.8, 5)
+HARMONICS = """SELECT CAST(round(log2(k + 1) * 12) AS BIGINT) + o AS o, sum(pow(0.8, k) * pow(cos(o * pi() / 4), 2)) AS w
+    FROM range(3) a(k), range(-1, 2) b(o) GROUP BY ALL"""
 
 
 @query(
     "harmonic_sum",
     V.sql(
         "",
-        f"""SELECT t, bin - o AS bin, round(sum(power * w), 6) AS salience FROM power,
-        (VALUES {', '.join(f'({o}, {w!r}::DOUBLE)' for o, w in WEIGHTS.items())}) AS h(o, w) WHERE bin - o BETWEEN 0 AND 60
-        GROUP BY t, bin - o""",
+        "SELECT t, bin - o AS bin, round(sum(power * w), 6) AS salience FROM power, h WHERE bin - o BETWEEN 0 AND 60 GROUP BY t, bin - o",
         power=POWER,
+        h=HARMONICS,
     ),
 )
 def harmonic_sum(spark, d):
@@ -200,8 +201,7 @@ CUT = lambda x: f"""CASE WHEN 20 * log10({x} / max({x}) OVER (PARTITION BY clip)
         (SELECT t // 64 AS clip, t, bin, {CUT('power')} AS p FROM (SELECT t // 64 AS clip, * FROM power)), h
         WHERE bin - o BETWEEN 0 AND 60 GROUP BY clip, t, bin - o)""",
         power=POWER,
-        h="""SELECT CAST(round(log2(k + 1) * 12) AS BIGINT) + o AS o, sum(pow(0.8, k) * pow(cos(o * pi() / 4), 2)) AS w
-            FROM range(3) a(k), range(-1, 2) b(o) GROUP BY ALL""",
+        h=HARMONICS,
     ),
 )
 def salience_levels(spark, d):

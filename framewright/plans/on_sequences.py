@@ -244,17 +244,24 @@ def framed_spectrum(spark, d):
 
 
 FILTERS = SP.mel_filters(16000.0, 16, 4, 0.0, 8000.0)
-WEIGHT_ROWS = ", ".join(f"({m}::BIGINT, {k}, {float(FILTERS[m, k])!r}::DOUBLE)" for m in range(4) for k in range(9))
+# the same filters from their definition: edges evenly spaced in mels, triangles of equal area
+MEL = dict(
+    edge="""SELECT i, CASE WHEN m < 15 THEN 200 * m / 3 ELSE 1000 * exp(ln(6.4) / 27 * (m - 15)) END AS hz
+        FROM (SELECT i, i * (15 + ln(8) / (ln(6.4) / 27)) / 5 AS m FROM range(6) t(i))""",
+    h="""SELECT CAST(a.i AS BIGINT) AS mel, k, greatest(0, least((k * 1000.0 - a.hz) / (b.hz - a.hz), (e.hz - k * 1000.0) / (e.hz - b.hz))) * 2 / (e.hz - a.hz) AS w
+        FROM edge a JOIN edge b ON b.i = a.i + 1 JOIN edge e ON e.i = a.i + 2, range(9) t(k)""",
+)
 
 
 @query(
     "mel_project",
     V.sql(
         "series",
-        f"""SELECT sid, frame, mel, round(ln(greatest(e, 1e-5)), 6) AS level, round((greatest(log10(greatest(e, 1e-10)),
+        """SELECT sid, frame, mel, round(ln(greatest(e, 1e-5)), 6) AS level, round((greatest(log10(greatest(e, 1e-10)),
         max(log10(greatest(e, 1e-10))) OVER (PARTITION BY sid) - 8) + 4) / 4, 6) AS scaled FROM (SELECT sid, frame, mel,
-        sum(m * w) AS e FROM sp JOIN (VALUES {WEIGHT_ROWS}) AS h(mel, k, w) USING (k) GROUP BY sid, frame, mel)""",
+        sum(m * w) AS e FROM sp JOIN h USING (k) GROUP BY sid, frame, mel)""",
         **SPEC,
+        **MEL,
     ),
 )
 def mel_project(spark, d):
@@ -268,19 +275,22 @@ def mel_project(spark, d):
     )
 
 
-A_ROWS = ", ".join(f"({k}, {float(w)!r}::DOUBLE)" for k, w in enumerate(SP.a_weights(16000.0, 16)))
+# decibels of the A curve at k kHz from its four poles, at least -80, less 20 for the reference level
+A_WEIGHTS = """SELECT k, greatest(CASE WHEN k = 0 THEN -80 ELSE 2 + 20 * (log10(c0) + 2 * log10(s) - log10(s + c0) - log10(s + c1) - log10(s + c2) / 2 - log10(s + c3) / 2) END,
+    -80) - 20 AS w FROM (SELECT k, pow(k * 1000.0, 2) AS s, pow(12194.217, 2) AS c0, pow(20.598997, 2) AS c1, pow(107.65265, 2) AS c2, pow(737.86223, 2) AS c3 FROM range(9) t(k))"""
 
 
 @query(
     "a_weighted_loudness",
     V.sql(
         "series",
-        f"""SELECT sid, frame, round(avg(greatest(greatest(db, top - 80) + w, -100)), 6) AS loudness FROM (SELECT *,
+        """SELECT sid, frame, round(avg(greatest(greatest(db, top - 80) + w, -100)), 6) AS loudness FROM (SELECT *,
         max(db) OVER (PARTITION BY sid) AS top FROM (SELECT sid, frame, k, 20 * log10(greatest(sqrt(
         pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * o / 16)) * cos(2 * pi() * k * o / 16)), 2) +
         pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * o / 16)) * sin(2 * pi() * k * o / 16)), 2)), 1e-5)) AS db
-        FROM fz, generate_series(0, 8) AS t(k) GROUP BY sid, frame, k)) JOIN (VALUES {A_ROWS}) AS h(k, w) USING (k)
+        FROM fz, generate_series(0, 8) AS t(k) GROUP BY sid, frame, k)) JOIN h USING (k)
         GROUP BY sid, frame""",
+        h=A_WEIGHTS,
         len="SELECT sid, count(*) AS n FROM series GROUP BY sid",
         fz="""SELECT sid, frame, idx + 8 - frame * 4 AS o, x FROM (SELECT s.*, unnest(generate_series(greatest(CAST(ceil(
             (idx + 8 - 15) / 4.0) AS BIGINT), 0), least((idx + 8) // 4, n // 4))) AS frame FROM series s JOIN len USING (sid))""",
