@@ -31,6 +31,16 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(renamed, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], how).drop(*[f"_r_{k}" for k in keys])
 
 
+def stretched(df: DataFrame, first: str, last: str, out: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Each row once for every whole number from `first` to `last` (SQL), as `out`; none where `last` is smaller.
+
+    The numbers come in blocks of `rows`, so no array is longer than that, however long the stretch.
+    """
+    low, high = f"CAST({first} AS BIGINT)", f"CAST({last} AS BIGINT)"
+    blocks = df.where(F.expr(f"{low} <= {high}")).withColumn("_from", F.explode(F.expr(f"sequence({low}, {high}, {rows}L)")))
+    return blocks.withColumn(out, F.explode(F.expr(f"sequence(_from, least(_from + {rows - 1}, {high}))"))).drop("_from")
+
+
 def present(df: DataFrame, *columns: str) -> DataFrame:
     """`df`, failing at the first NULL in one of its key or position columns: such a row has no place in a series."""
     checked = {c: F.expr(f"coalesce(`{c}`, raise_error('NULL in {c}: a row of a series needs its key and position'))") for c in columns}

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
-from framewright.operators.blocks import BLOCK_ROWS, framed, halo, ordinal, running, with_group
+from framewright.operators.blocks import BLOCK_ROWS, framed, halo, ordinal, running, stretched, with_group
 from framewright.session import cut
 
 # Fixed value: the guard against a zero denominator (double precision epsilon).
@@ -408,9 +408,7 @@ def hourly_interpolation(points: DataFrame, keys, ts: str, x: str, step: int = 3
     cells = p.groupBy(*keys, "_g").agg(F.min(point).alias("_first"), F.max(point).alias("_last"))
     reach = cells.groupBy(*keys).agg(F.min("_first._t").alias("_lo"), F.max("_last._t").alias("_hi"))
     cell_us = step * 10**6
-    grid = reach.select(
-        *keys, F.explode(F.expr(f"sequence(CAST(ceil(_lo / {cell_us}) AS BIGINT), _hi div {cell_us})")).alias("_g")
-    ).withColumn("_on", F.lit(True))
+    grid = stretched(reach, f"ceil(_lo / {cell_us})", f"_hi div {cell_us}", "_g").select(*keys, "_g", F.lit(True).alias("_on"))
     both = cut(cells.join(grid, [*keys, "_g"], "full"))
     both = running(both, keys, "_g", {"_before": ("last", F.col("_last"), "before")})
     both = running(both, keys, "_g", {"_after": ("last", F.col("_first"))}, reverse=True).where("_on")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from framewright.functions.noise import digest, uniform
-from framewright.operators.blocks import hashed_ordinal, running, with_group
+from framewright.operators.blocks import hashed_ordinal, running, stretched, with_group
 from framewright.session import cut
 
 
@@ -37,10 +37,7 @@ def collate_pad(rows: DataFrame, batch: str, item: str, idx: str, x: str) -> Dat
     order = W.partitionBy(batch).orderBy(F.desc("length"), item)
     placed = with_group(items, [batch], _top=F.max("length")).withColumn("pos", (F.row_number().over(order) - 1).cast("bigint"))
     short = placed.where(F.col("length") < F.col("_top"))
-    blocks = short.select("*", F.explode(F.expr("sequence(length, _top - 1, 65536L)")).alias("_from"))
-    zeros = blocks.select(
-        batch, item, "pos", "length", F.explode(F.expr("sequence(_from, least(_from + 65535, _top - 1))")).alias(idx), F.lit(0.0).alias(x)
-    )
+    zeros = stretched(short, "length", "_top - 1", idx).select(batch, item, "pos", "length", idx, F.lit(0.0).alias(x))
     data = rows.join(placed.drop("_top"), [batch, item]).select(batch, item, "pos", "length", idx, x)
     return data.unionByName(zeros)
 
@@ -51,10 +48,8 @@ def alignment_path(rows: DataFrame, keys: list[str], token: str, duration: str,
     Columns: keys, frame, token (missing on padding), valid. `token` is an integer that orders the tokens of a key.
     """
     started = running(rows, keys, token, {"_start": ("sum", F.col(duration), "before")})
-    frames = started.where(F.col(duration) > 0).select(
-        *keys, F.explode(F.expr(f"sequence(_start, _start + `{duration}` - 1)")).alias("frame"), F.col(token).cast("bigint").alias("token")
-    )
+    frames = stretched(started, "_start", f"_start + `{duration}` - 1", "frame").select(*keys, "frame", F.col(token).cast("bigint").alias("token"))
     lengths = rows.groupBy(*keys, batch).agg(F.sum(duration).alias("_n"))
     short = with_group(lengths, [batch], _top=F.max("_n")).where(F.col("_n") < F.col("_top"))
-    padding = short.select(*keys, F.explode(F.expr("sequence(_n, _top - 1)")).alias("frame"), F.lit(None).cast("bigint").alias("token"))
+    padding = stretched(short, "_n", "_top - 1", "frame").select(*keys, "frame", F.lit(None).cast("bigint").alias("token"))
     return frames.unionByName(padding).withColumn("valid", F.col("token").isNotNull())

@@ -114,3 +114,13 @@ def test_items_longer_than_the_others_are_padded_whole(spark):
     rows = spark.range(1000).selectExpr("0 AS b", "1 AS i", "id AS idx", "1.0D AS x").union(spark.range(3).selectExpr("0", "2", "id", "1.0D"))
     out = collate_pad(rows, "b", "i", "idx", "x")
     assert {(r["i"], r["n"], r["s"]) for r in out.groupBy("i").agg(F.count("x").alias("n"), F.sum("x").alias("s")).collect()} == {(1, 1000, 1000.0), (2, 1000, 3.0)}
+
+
+def test_stretches_come_in_blocks_and_whole(spark):
+    from framewright.operators.blocks import stretched
+
+    rows = [(0, 3, 20), (1, 5, 5), (2, 5, 4), (3, -3, 2), (4, None, 3)]
+    df = spark.createDataFrame(rows, "k int, a bigint, b bigint")
+    for size in (1, 4, 1000):
+        got = sorted((r["k"], r["i"]) for r in stretched(df, "a", "b", "i", size).collect())
+        assert got == [(k, i) for k, a, b in rows if a is not None for i in range(a, b + 1)]
