@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from framewright.llm.common import chunks, scan
 from framewright.llm.packets import narrow, pack, unpack
@@ -27,7 +28,7 @@ HOT, HOT_CONTEXTS = 1 << 20, 1 << 20
 END_HASH, START_HASH, START, UNKNOWN = np.uint64(1), np.uint64(0), 0, 1
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROW = "block bigint, bucket bigint, data binary"
-TALLY = "grams array<bigint>, seen bigint, total bigint, hot array<struct<context:bigint,freed:array<bigint>,lower:double>>"
+TALLY = "grams array<bigint>, seen bigint, total bigint, hot array<struct<context:bigint,freed:array<bigint>,lower:double>>, model binary"
 
 
 def token_table() -> np.ndarray:
@@ -237,7 +238,7 @@ def tally(counts: np.ndarray) -> dict:
     return {"grams": np.bincount(np.minimum(counts[counts > 0], DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2].tolist(), "seen": int((counts > 0).sum()), "total": int(counts.sum())}
 
 
-def answer_words(pdf: pd.DataFrame, buckets: int, last: bool) -> pd.DataFrame:
+def answer_words(pdf: pd.DataFrame, buckets: int, last: bool, keep: bool) -> pd.DataFrame:
     """One partition of the word table: ids by falling count, and every block's answer."""
     bucket, asked = int(pdf["bucket"].iloc[0]), [unpack(d) for d in pdf["data"]]
     words, place = np.unique(np.concatenate([w for w, _ in asked]), return_inverse=True)
@@ -247,7 +248,9 @@ def answer_words(pdf: pd.DataFrame, buckets: int, last: bool) -> pd.DataFrame:
     ids = np.where(counts > 0, rank * buckets + bucket + 2, UNKNOWN)
     ends = np.cumsum([len(w) for w, _ in asked])
     data = [pack(narrow(ids[i]), narrow(counts[i])) for i in np.split(place, ends[:-1])]
-    return answers(pdf["block"], bucket, data, tally(counts) | {"hot": []})
+    seen = counts > 0
+    model = pack(words[seen], narrow(ids[seen]), narrow(counts[seen])) if keep else None
+    return answers(pdf["block"], bucket, data, tally(counts) | {"hot": [], "model": model})
 
 
 def answers(names: pd.Series, bucket: int, data: list[bytes], found: dict) -> pd.DataFrame:
@@ -257,7 +260,7 @@ def answers(names: pd.Series, bucket: int, data: list[bytes], found: dict) -> pd
     return pd.DataFrame({"block": block, "bucket": bucket, "data": [*data, None], **{k: [*[None] * n, v] for k, v in found.items()}}).astype({"seen": "Int64", "total": "Int64"})
 
 
-def answer_grams(pdf: pd.DataFrame, buckets: int, last: bool) -> pd.DataFrame:
+def answer_grams(pdf: pd.DataFrame, buckets: int, last: bool, keep: bool) -> pd.DataFrame:
     """One partition of the table of a higher level; n-grams get ids where they are the contexts of another level."""
     bucket, contexts, words, times, lowers, dealt = int(pdf["bucket"].iloc[0]), [], [], [], [], []
     for d in pdf["data"]:
@@ -291,7 +294,8 @@ def answer_grams(pdf: pd.DataFrame, buckets: int, last: bool) -> pd.DataFrame:
         data.append(pack(narrow(counts[g]), narrow(ids[g][: 0 if last else None]), narrow(freed[c[firsts]].reshape(-1)), np.where(unseen, low[c[firsts]], 0.0)))
     hot = np.flatnonzero(dealt[heads][starts])
     rows = [{"context": int(context[heads][starts][i]), "freed": freed[i].tolist(), "lower": float(low[i])} for i in hot]
-    return answers(pdf["block"], bucket, data, tally(counts) | {"hot": rows})
+    model = pack(narrow(context[heads][seen]), narrow(word[heads][seen]), narrow(ids[seen]), narrow(counts[seen])) if keep else None
+    return answers(pdf["block"], bucket, data, tally(counts) | {"hot": rows, "model": model})
 
 
 def model_of(stored: DataFrame) -> dict:
@@ -309,7 +313,29 @@ def model_of(stored: DataFrame) -> dict:
     }
 
 
-def score(docs: DataFrame, train: Column, order: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def stored_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(level, bucket, context, word, id, n) of every n-gram of a model that `score` has stored at `path`.
+
+    At level 1, word is the hash of the word's characters and context is null; above, word is the id of the last word and
+    context that of the words before it, START for the start of a text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for level, bucket, data in zip(*[c.to_pylist() for c in batch.columns]):
+                columns = [a.astype(np.int64) if a.dtype != np.uint64 else a.view(np.int64) for a in unpack(data)]
+                for at in range(0, len(columns[0]), 1 << 16):
+                    part = [pa.array(c[at : at + (1 << 16)]) for c in columns]
+                    n = len(part[0])
+                    context = [pa.nulls(n, pa.int64())] if level == 1 else []
+                    same = [pa.array(np.full(n, level, np.int32)), pa.array(np.full(n, bucket, np.int64))]
+                    yield pa.RecordBatch.from_arrays([*same, *context, *part], names=["level", "bucket", "context", "word", "id", "n"])
+
+    rows = spark.read.schema("bucket bigint, model binary, level int").parquet(path)
+    return rows.select("level", "bucket", "model").mapInArrow(run, "level int, bucket bigint, context bigint, word bigint, id bigint, n bigint")
+
+
+def score(docs: DataFrame, train: Column, order: int = 2, block_tokens: int = BLOCK_TOKENS, model_path: str | None = None) -> DataFrame:
     """(row, doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs` (doc_id, text).
 
     The model of `order` n-grams is learned from the rows for which `train` is true. Tokens are the words between white space,
@@ -321,19 +347,20 @@ def score(docs: DataFrame, train: Column, order: int = 2, block_tokens: int = BL
 
     n_known counts tokens learned, train_tokens all learned tokens, score is the log10 probability of the text, and base_score the sum of
     log10((c + 0.5) / (N + 0.5 * (V + 1))) over counts c of single tokens. A null text is empty, that is one end; repeated
-    rows are repeated; null ids are kept; no rows give none; with nothing to learn from, every token is unknown and has
+    rows are repeated; null ids are kept; no rows give none; with `model_path`, the n-grams and their counts are also stored there, partitioned by level,
+    a row per partition of the table (`stored_counts` reads them); with nothing to learn from, every token is unknown and has
     probability 1. A null `train` is false. Other columns are ignored.
     """
     spark = docs.sparkSession
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")  # the exchanges of a written table are not needed again
     try:
-        return _score(docs, train, order, block_tokens)
+        return _score(docs, train, order, block_tokens, model_path)
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
 
 
-def _score(docs: DataFrame, train: Column, order: int, block_tokens: int) -> DataFrame:
+def _score(docs: DataFrame, train: Column, order: int, block_tokens: int, model_path: str | None) -> DataFrame:
     spark = docs.sparkSession
     texts = cut(blocks(docs, train, order, block_tokens))
 
@@ -352,9 +379,12 @@ def _score(docs: DataFrame, train: Column, order: int, block_tokens: int) -> Dat
     def store(asked: DataFrame, answer, level: int) -> DataFrame:
         """The table of a level: the answers of its partitions, written to the shared folder and read from there."""
         schema = f"{ROW}, {TALLY}"
-        told = asked.groupBy("bucket").applyInPandas(lambda pdf: answer(pdf, buckets, level == order), schema)
+        told = asked.groupBy("bucket").applyInPandas(lambda pdf: answer(pdf, buckets, level == order, model_path is not None), schema)
         told.write.parquet(f"{folder}/level={level}")
-        return spark.read.schema(schema).parquet(f"{folder}/level={level}").withColumn("level", F.lit(level))
+        stored = spark.read.schema(schema).parquet(f"{folder}/level={level}").withColumn("level", F.lit(level))
+        if model_path is not None:
+            stored.where("model IS NOT NULL").select("level", "bucket", "model").write.mode("append").partitionBy("level").parquet(model_path)
+        return stored
 
     def ask_words(names, rows, ids, data):
         for name, d in zip(names, data):

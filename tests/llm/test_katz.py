@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tempfile
 from collections import Counter, defaultdict
 
 import pytest
@@ -119,3 +120,22 @@ def test_probabilities_add_up_to_one():
 def test_discounts_fall_back_where_the_counts_of_counts_do_not_serve():
     assert katz.discounts_of([]).tolist() == katz.discounts_of([5, 0, 1, 1, 1, 1]).tolist() == [0.5, 0.75, 2.5 / 3, 0.875, 0.9]
     assert (katz.discounts_of([1000, 400, 220, 150, 110, 85]) < 1).all()
+
+
+def test_stored_counts_are_those_of_the_corpus(spark):
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/model"
+    docs = spark.createDataFrame(ROWS, "doc_id bigint, text string, train boolean, row string").repartition(3)
+    scores = sorted(r["score"] for r in katz.score(docs, F.col("train"), 3, 500, path).collect())
+    assert scores == pytest.approx(sorted(w[5] for w in expected(ROWS, 3)))
+    model = Plain([t for _, t, learn, _ in ROWS if learn], 3)
+    rows = katz.stored_counts(spark, path).collect()
+    for level in (1, 2, 3):
+        got = [r for r in rows if r["level"] == level]
+        assert Counter(r["n"] for r in got) == Counter(model.counts[level].values())
+    ids = {r["id"]: r["n"] for r in rows if r["level"] == 1}
+    totals = Counter()
+    for r in rows:
+        if r["level"] == 2:
+            totals[r["context"]] += r["n"]
+            assert r["word"] in ids
+    assert totals.pop(katz.START) == sum(1 for r in ROWS if r[2]) and all(ids[c] == n for c, n in totals.items())
