@@ -2,8 +2,7 @@
 
 Rules are written in a small regular language (literals, classes, groups, alternatives and repeats), compiled together to
 one automaton by subset construction and minimised to arrays. One pass over the bytes of a text tells where each rule ends a
-match. Bytes after which the automaton is always in its start state cut a text into independent lanes, so a whole batch
-of lanes is advanced by one array operation per byte position.
+match. A batch of texts is cut into lanes of equal length, which are advanced by one array operation per byte position.
 """
 
 import re
@@ -18,14 +17,15 @@ from framewright.llm.common import chunks
 
 
 KEYWORD = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
-#: kind: (what every match must hold, for the automaton; the whole expression; least length of its last group or of the match).
-#: Short forms keep the automaton small, as the counts of different rules multiply in it; lengths are verified afterwards.
+VALUE = "[A-Za-z0-9+/_.=-]+"
+#: kind: (the rule as the automaton has it, the same with its checked part, if that is not all of it, as a last group, least length of that part).
+#: Lengths are checks on a span and not states: counts of different rules would multiply.
 RULES = {
-    "assign": (KEYWORD + "[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]{4}", KEYWORD + "[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)", 8),
-    "access": ("AKIA[A-Z0-9]{2}", "AKIA[A-Z0-9]+", 16),
-    "hex": ("[0-9a-f]{24}", "[0-9a-f]+", 32),
+    "assign": (KEYWORD + "[\"']? *[:=] *[\"']?" + VALUE, KEYWORD + "[\"']? *[:=] *[\"']?(" + VALUE + ")", 8),
+    "access": ("AKIA[A-Z0-9]+", "AKIA[A-Z0-9]+", 16),
+    "hex": ("[0-9a-f]+", "[0-9a-f]+", 32),
     "private_key": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
-    "hosted_token": ("gh[opsu]_[A-Za-z0-9]{2}", "gh[opsu]_[A-Za-z0-9]+", 40),
+    "hosted_token": ("gh[opsu]_[A-Za-z0-9]+", "gh[opsu]_[A-Za-z0-9]+", 40),
 }
 BASE = ("assign", "access", "hex")
 LANE = 256
@@ -121,23 +121,51 @@ class Rules:
                     todo.append(s)
         return frozenset(s for s in seen if self.steps[s] or s in self.final)
 
+    def reversed(self) -> "Rules":
+        """The same states with every step turned round."""
+        back = Rules()
+        for _ in self.steps:
+            back.state()
+        for s, (steps, free) in enumerate(zip(self.steps, self.free)):
+            for allowed, t in steps:
+                back.steps[t].append((allowed, s))
+            for t in free:
+                back.free[t].append(s)
+        return back
+
 
 def compile_rules(patterns: list[str]) -> dict[str, np.ndarray]:
     """Minimal automaton that finds every pattern anywhere: `next` [states, 256], `accept` bit set per state, `reset` bytes."""
     rules = Rules()
     ends = [rules.add(p) for p in patterns]
     rules.final = {b: 1 << i for i, (_, b) in enumerate(ends)}
+    return determinise(rules, [a for a, _ in ends], anywhere=True)
+
+
+def anchored(pattern: str, backwards: bool = False) -> dict[str, np.ndarray]:
+    """Minimal automaton of one pattern from where it is started on, or from its end back to its start."""
+    rules = Rules()
+    start, end = rules.add(pattern)
+    if backwards:
+        rules, start, end = rules.reversed(), end, start
+    rules.final = {end: 1}
+    return determinise(rules, [start], anywhere=False)
+
+
+def determinise(rules: Rules, starts: list[int], anywhere: bool) -> dict[str, np.ndarray]:
+    """Subset construction and minimisation; state 0 is the start, and `dead` the state that nothing leads out of, or -1."""
     kinds: dict[tuple, int] = {}
     every = [allowed for steps in rules.steps for allowed, _ in steps]
     group = np.array([kinds.setdefault(tuple(b in s for s in set(every)), len(kinds)) for b in range(256)])
     sample = [int(np.flatnonzero(group == g)[0]) for g in range(len(kinds))]
-    first = rules.closure([a for a, _ in ends])
+    first = rules.closure(starts)
+    again = first if anywhere else frozenset()
     ids, todo, table = {first: 0}, [first], []
     while len(table) < len(todo):
         here = todo[len(table)]
         line = []
         for byte in sample:
-            there = rules.closure([t for s in here for allowed, t in rules.steps[s] if byte in allowed]) | first
+            there = rules.closure([t for s in here for allowed, t in rules.steps[s] if byte in allowed]) | again
             if there not in ids:
                 ids[there] = len(todo)
                 todo.append(there)
@@ -153,67 +181,135 @@ def compile_rules(patterns: list[str]) -> dict[str, np.ndarray]:
     name = np.empty(len(one), np.int64)
     name[block[one][order]] = np.arange(len(one))
     dense = name[block[step[one[order]]]][:, group]
-    return {"next": dense.astype(np.int32), "accept": accept[one[order]].astype(np.int64), "reset": (dense == 0).all(axis=0)}
-
-
-def hits(data: bytes, machine: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions just after which a rule has matched, and the rules' bits there."""
-    raw = np.frombuffer(data, np.uint8)
-    stops = np.flatnonzero(machine["reset"][raw]) + 1
-    wanted = np.searchsorted(stops, np.arange(LANE, len(raw), LANE))
-    cuts = np.unique(np.r_[0, stops[wanted[wanted < len(stops)]], len(raw)])
-    sizes = np.diff(cuts)
-    order = np.argsort(-sizes, kind="stable")
-    starts, sizes = cuts[:-1][order], sizes[order]
-    table, accept = machine["next"].reshape(-1), machine["accept"]
-    state = np.zeros(len(starts), np.int32)
-    places, bits = [], []
-    live = len(starts)
-    for i in range(int(sizes[0]) if len(sizes) else 0):
-        live = int(np.searchsorted(-sizes[:live], -i, "left"))
-        at = starts[:live] + i
-        state[:live] = table[state[:live] * 256 + raw[at]]
-        found = np.flatnonzero(accept[state[:live]])
-        if len(found):
-            places.append(at[found] + 1)
-            bits.append(accept[state[found]])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(places), np.concatenate(bits)
+    accept = accept[one[order]].astype(np.int64)
+    ends = np.flatnonzero((dense == np.arange(len(dense))[:, None]).all(axis=1) & (accept == 0))
+    return {"next": dense.astype(np.int32), "accept": accept, "reset": (dense == 0).all(axis=0), "dead": int(ends[0]) if len(ends) else -1}
+
+
+def states_after(raw: np.ndarray, machine: dict[str, np.ndarray]) -> np.ndarray:
+    """The state of the automaton after every byte.
+
+    The bytes are cut into lanes that advance side by side from the start state. A lane whose true state at its
+    begin is another one is then gone through again until it meets the states it had, which takes a few bytes as a rule; where it does not
+    meet them, the next lane follows.
+    """
+    n, table = len(raw), machine["next"].reshape(-1)
+    lanes = -(-n // LANE)
+    columns = np.zeros(lanes * LANE, np.uint8)
+    columns[:n] = raw
+    columns = np.ascontiguousarray(columns.reshape(lanes, LANE).T)
+    out = np.empty((LANE, lanes), np.int32 if len(machine["next"]) > 1 << 15 else np.int16)
+    state = np.zeros(lanes, np.int32)
+    for i in range(LANE):
+        state = table[state * 256 + columns[i]]
+        out[i] = state
+    begun = np.zeros(lanes, np.int32)
+    while lanes:
+        true = np.r_[0, out[-1, :-1]].astype(np.int32)
+        live = np.flatnonzero(true != begun)
+        if not len(live):
+            break
+        begun, state = true, true[live]
+        for i in range(LANE):
+            state = table[state * 256 + columns[i, live]]
+            other = state != out[i, live]
+            live, state = live[other], state[other]
+            if not len(live):
+                break
+            out[i, live] = state
+    return out.T.reshape(-1)[:n]
 
 
 class Scanner:
-    """Spans of every kind in whole texts."""
+    """Spans of every kind in whole texts: leftmost, then longest, without overlap within a kind.
+
+    One pass over the bytes tells after which of them a rule has matched. Where a match can go on, the next byte ends a match as well, so
+    the last of a run of such places is the end of a match. From there the reversed rule goes back to the
+    first place that begins one and is not taken by the match before.
+    """
 
     def __init__(self, machine: dict[str, np.ndarray], rules: dict[str, tuple]) -> None:
-        self.machine = machine
-        self.kinds = list(rules)
-        self.exact = [re.compile(whole) for _, whole, _ in rules.values()]
+        self.machine, self.kinds = machine, list(rules)
         self.least = [least for *_, least in rules.values()]
+        self.back = [anchored(pattern, backwards=True) for pattern, *_ in rules.values()]
+        # what precedes the checked part, and the shortest run of ends that a match of the least length makes
+        heads = [whole[: whole.rindex("(")] if whole != pattern else "" for pattern, whole, _ in rules.values()]
+        self.head = [anchored(h) if h else None for h in heads]
+        grows = [bool(re.fullmatch(r"(?:[A-Za-z]|\[[^\]]*\])*\[[^\]]*\]\+", pattern)) for pattern, *_ in rules.values()]
+        units = [len(re.findall(r"\[[^\]]*\]|[A-Za-z]", pattern)) for pattern, *_ in rules.values()]
+        self.run = [max(1, least - unit + 1) if grow else 1 for least, unit, grow in zip(self.least, units, grows)]
 
     def many(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
-        """(start, end, kind number) by start, then kind. Texts are scanned as one run of bytes, kept apart by a reset byte."""
+        """(start, end, kind number) by start, then kind. Texts are scanned as one run of bytes, if a line end always leads to the start state."""
+        if not self.machine["reset"][10]:
+            return [self.together([t])[0] for t in texts]
+        return self.together(texts)
+
+    def together(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         data = [(t or "").encode() for t in texts]
-        out: list[list] = [[] for _ in texts]
-        ends, bits = hits(b"\n".join(data), self.machine)
+        whole = b"\n".join(data)
+        raw = np.frombuffer(whole, np.uint8)
+        flags = self.machine["accept"].astype(np.uint8 if len(self.kinds) <= 8 else np.int64)[states_after(raw, self.machine)]
         offsets = np.cumsum([0, *[len(d) + 1 for d in data]])
-        owner = np.searchsorted(offsets, ends, "left") - 1
-        for i in np.unique(owner).tolist():
-            mine = owner == i
-            out[i] = sorted(self.spans(texts[i], data[i], ends[mine] - offsets[i], bits[mine]))
-        return out
-
-    def spans(self, text: str, data: bytes, ends: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Exact spans, read off the stretches between reset bytes in which the automaton has found their rule."""
-        stops = np.r_[-1, np.flatnonzero(self.machine["reset"][np.frombuffer(data, np.uint8)]), len(data)]
-        at = np.searchsorted(stops, ends - 1, "right") - 1
-        for kind, exact in enumerate(self.exact):
-            for stretch in np.unique(at[bits >> kind & 1 > 0]).tolist():
-                begin = int(stops[stretch]) + 1
-                shift = len(data[:begin].decode())
-                for m in exact.finditer(data[begin : int(stops[stretch + 1])].decode()):
-                    if len(m[m.re.groups if m.re.groups > 1 else 0]) >= self.least[kind]:
-                        yield m.start() + shift, m.end() + shift, kind
+        places = None
+        out: list[list] = [[] for _ in texts]
+        for kind in range(len(self.kinds)):
+            for start, end in self.spans(whole, flags >> kind & 1, kind):
+                if places is None:  # code points before every byte
+                    places = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+                i = int(np.searchsorted(offsets, start, "right")) - 1
+                first = places[offsets[i]]
+                out[i].append((int(places[start] - first), int(places[end] - first), kind))
+        return [sorted(spans) for spans in out]
+
+    def spans(self, data: bytes, ends: np.ndarray, kind: int) -> Iterator[tuple[int, int]]:
+        edges = np.diff(np.r_[0, ends.astype(np.int8), 0])
+        first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        wanted = np.flatnonzero(last - first >= self.run[kind])
+        taken: dict[int, int] = {}  # run: up to where matches reach once it is dealt with
+        for run in wanted.tolist():
+            # matches that begin before the last run ended depend on what that one took
+            chain = [run]
+            while chain[-1] > 0 and chain[-1] - 1 not in taken and self.begin(data, int(last[chain[-1]]), 0, kind) < last[chain[-1] - 1]:
+                chain.append(chain[-1] - 1)
+            for i in chain[::-1]:
+                done, end = taken.get(i - 1, int(last[i - 1]) if i else 0), int(last[i])
+                start = self.begin(data, end, done, kind)
+                taken[i] = done if start < 0 else end
+                if i == run and start >= 0 and end - self.checked(data, start, end, kind) >= self.least[kind]:
+                    yield start, end
+
+    def begin(self, data: bytes, end: int, done: int, kind: int) -> int:
+        """The first place from `done` on at which a match begins that ends at `end`, or -1."""
+        machine, state, found = self.back[kind], 0, -1
+        step, dead = machine["rows"] if "rows" in machine else self.rows(machine), machine["dead"]
+        accept = machine["accept_list"]
+        for at in range(end - 1, done - 1, -1):
+            state = step[state][data[at]]
+            if state == dead:
+                break
+            if accept[state]:
+                found = at
+        return found
+
+    def checked(self, data: bytes, start: int, end: int, kind: int) -> int:
+        """Where the part of a match begins whose length is checked: after the longest head."""
+        machine = self.head[kind]
+        if machine is None:
+            return start
+        step, state, found = machine["rows"] if "rows" in machine else self.rows(machine), 0, start
+        for at in range(start, end - 1):
+            state = step[state][data[at]]
+            if state == machine["dead"]:
+                break
+            if machine["accept_list"][state]:
+                found = at + 1
+        return found
+
+    @staticmethod
+    def rows(machine: dict) -> list[list[int]]:
+        machine["accept_list"], machine["rows"] = machine["accept"].tolist(), machine["next"].tolist()
+        return machine["rows"]
 
 
 def finder(rules: dict[str, tuple] | None = None, batch_chars: int = 1 << 22):
