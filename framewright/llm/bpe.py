@@ -43,7 +43,7 @@ def short_coder(path: str, decoded: bool):
 
     @arrow_udf("struct<ids:binary,decoded:string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = WordIds.kept(path, joined=False)
+        words = WordIds.kept(path, joined=False, bits=20)
         name = namer(words.tokenizer)
         for batch in batches:
             ids = [i for part in chunks(batch.to_pylist()) for i in words.encode(part)]
@@ -67,7 +67,7 @@ class Pieces:
 
     @classmethod
     def kept(cls, path: str) -> "Pieces":
-        cache = process_cache()
+        cache = process_cache("tokens")
         return cache.get(("pieces", path)) or cache.setdefault(("pieces", path), cls(path))
 
     def sections(self, text: str) -> Iterator[tuple[str, int]]:

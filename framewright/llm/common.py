@@ -64,12 +64,18 @@ def chunks(texts: list, size: int = 1 << 19) -> Iterator[list]:
         yield held
 
 
-def process_cache() -> dict:
-    """What a Python worker keeps from task to task. Functions are shipped by value, so a module of theirs would be new for each."""
+def process_cache(owner: str) -> dict:
+    """What a Python worker keeps from task to task for one operator; what it kept for another one goes.
+
+    Functions are shipped by value, so a module of theirs would be new for each task.
+    """
     import sys
     import types
 
-    return sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if kept.get("owner") != owner:
+        kept.update(owner=owner, things={})
+    return kept["things"]
 
 
 def fresh(df: DataFrame, name: str) -> str:

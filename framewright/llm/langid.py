@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from framewright.llm.common import chunks
+from framewright.llm.common import chunks, process_cache
 
 
 #: Bounds of the model: characters of text per language, characters of a sampled piece; entries of tables that hold every letter in
@@ -204,6 +204,7 @@ def predictor(model: Model):
 
     @arrow_udf("struct<lang_pred:string,score:double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        process_cache("language")  # a worker that another stage has used lets go of what it kept
         tables, (codes, alpha) = model.tables(), model.codes()
         for batch in batches:
             out = [x for part in chunks(batch.to_pylist()) for x in parse(model, tables, codes, alpha, part)]

@@ -8,7 +8,7 @@ from framewright.llm.common import process_cache
 
 def pack(*arrays: np.ndarray) -> bytes:
     """The arrays, each stored by byte planes (all lowest bytes, then all next ones ...), which small numbers leave mostly zero."""
-    press = process_cache().setdefault("packets_press", zstandard.ZstdCompressor(level=1, write_content_size=True))
+    press = process_cache("packets").setdefault("press", zstandard.ZstdCompressor(level=1, write_content_size=True))
     out = [np.array([len(arrays)], "<u4").tobytes()]
     for a in arrays:
         a = np.ascontiguousarray(a)
@@ -19,7 +19,7 @@ def pack(*arrays: np.ndarray) -> bytes:
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    unpress = process_cache().setdefault("packets_unpress", zstandard.ZstdDecompressor())
+    unpress = process_cache("packets").setdefault("unpress", zstandard.ZstdDecompressor())
     data, arrays, at = memoryview(data), [], 4
     for _ in range(int.from_bytes(data[:4], "little")):
         kind, size = np.dtype(bytes(data[at : at + 4]).decode().strip()), int.from_bytes(data[at + 4 : at + 8], "little")

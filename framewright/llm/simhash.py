@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, functions as F, Window as W
 from pyspark.sql.functions import arrow_udf
 
+from framewright.llm.common import process_cache
 from framewright.llm.graph import components
 from framewright.session import cut
 
@@ -40,6 +41,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 def fingerprints(words: int):
     @arrow_udf("bigint")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        process_cache("fingerprints")
         for batch in batches:
             yield pa.array([fingerprint(t.as_py(), words) for t in batch], pa.int64())
 

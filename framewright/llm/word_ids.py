@@ -33,9 +33,9 @@ class WordIds:
         self.clear()
 
     @classmethod
-    def kept(cls, path: str, joined: bool) -> "WordIds":
-        cache = process_cache()
-        return cache.get(("word_ids", path)) or cache.setdefault(("word_ids", path), cls(path, joined))
+    def kept(cls, path: str, joined: bool, bits: int = 21) -> "WordIds":
+        cache = process_cache("tokens")
+        return cache.get(("word_ids", path)) or cache.setdefault(("word_ids", path), cls(path, joined, bits))
 
     def clear(self) -> None:
         self.keys, self.places = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint32)
