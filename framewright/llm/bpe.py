@@ -56,8 +56,8 @@ def short_coder(path: str, decoded: bool):
 class Pieces:
     """Encoding of pieces of normalised text, and the exact join of two neighbours."""
 
-    def __init__(self, path: str) -> None:
-        self.whole, self.plain = load(path), load(path)
+    def __init__(self, path: str, whole=None) -> None:
+        self.whole, self.plain = whole or load(path), load(path)
         self.plain.normalizer = None
         self.plain.encode_special_tokens = True
         self.name = namer(self.whole)
@@ -68,7 +68,8 @@ class Pieces:
     @classmethod
     def kept(cls, path: str) -> "Pieces":
         cache = process_cache("tokens")
-        return cache.get(("pieces", path)) or cache.setdefault(("pieces", path), cls(path))
+        words = cache.get(("word_ids", path))  # its tokenizer serves both
+        return cache.get(("pieces", path)) or cache.setdefault(("pieces", path), cls(path, words and words.tokenizer))
 
     def sections(self, text: str) -> Iterator[tuple[str, int]]:
         """Normalised text between special tokens (with -1), and the ids of these."""

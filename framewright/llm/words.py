@@ -15,7 +15,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for name, base in (("up", PRIME), ("down", pow(PRIME, -1, 1 << 64))):
             line = np.full(size, base, np.uint64)
             line[0] = 1
