@@ -131,29 +131,29 @@ class Block:
         left = left_mass(model["grams"][:DISCOUNTED], discounts)[0]
         room = model["total"] + (left == 0)
         self.p = np.where(self.times > 0, discounted(self.times, discounts) / room, (left or 1) / room)
-        self.gram, self.known = self.word.copy(), self.times.copy()
+        self.gram, self.known = self.word, self.times
 
     def prepare(self) -> None:
         """Distinct (context, word) of the next level, in order of their bucket."""
-        context, seen = np.r_[-1, self.gram[:-1]], np.r_[0, self.known[:-1]]
-        self.asked = np.flatnonzero(~self.first & (seen > 0))
-        context, seen, word = context[self.asked], seen[self.asked], self.word[self.asked]
+        self.asked = (np.flatnonzero((self.known[:-1] > 0) & ~self.first[1:]) + 1).astype(np.int32)
+        context, seen, word = self.gram[self.asked - 1], self.known[self.asked - 1], self.word[self.asked]
         hot = max(HOT, self.total // HOT_CONTEXTS)
-        parts = -(-seen // hot)
-        dealt = np.flatnonzero(parts > 1)
+        dealt = np.flatnonzero(seen > hot)
         mixed = context.view(np.uint64) << np.uint64(1)
-        mixed[dealt] += mix(word[dealt].view(np.uint64)) % parts[dealt].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        parts = -(-seen[dealt] // hot)
+        mixed[dealt] += mix(word[dealt].view(np.uint64)) % parts.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         bucket = (mix(mixed) % np.uint64(self.buckets)).astype(np.int32)
         del mixed
         order = np.lexsort((word, context, bucket))
         bucket, context, word = bucket[order], context[order], word[order]
-        new = np.r_[True, (np.diff(bucket) != 0) | (np.diff(context) != 0) | (np.diff(word) != 0)][: len(order)]
+        new = np.ones(len(order), bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (context[1:] != context[:-1]) | (word[1:] != word[:-1])
         heads = np.flatnonzero(new)
         self.pair = np.empty(len(order), np.int32)
         self.pair[order] = np.cumsum(new, dtype=np.int32) - 1
         self.bucket, self.context, self.follower = bucket[heads], context[heads], word[heads]
         at = order[heads]
-        self.seen, self.dealt, self.lower = seen[at], parts[at] > 1, self.p[self.asked][at]
+        self.seen, self.dealt, self.lower = seen[at], seen[at] > hot, self.p[self.asked[at]]
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
         """Per bucket its contexts with their numbers of followers, then the followers, their training counts and lower probabilities."""
@@ -185,9 +185,10 @@ class Block:
         p = np.where(counts > 0, discounted(counts, discounts) / room, weight * self.lower)
         self.p = self.p.copy()
         self.p[self.asked] = p[self.pair]
-        gram, known = np.full(len(self.owner), -1), np.zeros(len(self.owner), np.int64)
-        gram[self.asked], known[self.asked] = ids[self.pair] if len(ids) else -1, counts[self.pair]
-        self.gram, self.known = gram, known
+        if len(ids):  # contexts of the next level
+            gram, known = np.full(len(self.owner), -1), np.zeros(len(self.owner), np.int64)
+            gram[self.asked], known[self.asked] = ids[self.pair], counts[self.pair]
+            self.gram, self.known = gram, known
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Sums of a value of the counted tokens by segment."""
