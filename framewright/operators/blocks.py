@@ -169,8 +169,8 @@ def chained(maps: DataFrame, keys: list[str], first: int | str, reverse: bool =
 
     `maps` has keys, _blk and m, the exit for every entry; an exit is the entry of the next block. `first` is the entry of
     the first block, or the column of `maps` that names it there; with `reverse`, blocks are entered from the last one on.
-    Runs of `fan` blocks are summed up by the map of all of them, so a task sees the blocks of a run or one row per run.
-    `maps` is read twice.
+    Runs of `fan` blocks are summed up by the map of all of them, so a task sees the blocks of a run or one row per run. A
+    block that is all of its key is entered with the first entry and takes no part in that. `maps` is read a few times and should be a written table.
     """
     ddl = ", ".join(f"`{k}` {maps.schema[k].dataType.simpleString()}" for k in keys)
     given = first if isinstance(first, str) else None
@@ -194,12 +194,16 @@ def chained(maps: DataFrame, keys: list[str], first: int | str, reverse: bool =
         entry = pdf.sort_values("_run", ascending=not reverse)["_first"].iloc[0]
         return through(pdf, "_run", int(entry))[[*keys, "_run", "_entry"]]
 
+    sized = join_on(maps, maps.groupBy(*keys).agg(F.count(F.lit(1)).alias("_blocks")), keys)
+    alone = sized.where("_blocks = 1").select(*keys, "_blk", (F.col(given) if given else F.lit(first)).cast("int").alias("_entry"))
+    maps = cut(sized.where("_blocks > 1").drop("_blocks"))
     dealt = maps.withColumn("_run", F.expr(f"_blk div {fan}"))
     run_maps = dealt.groupBy(*keys, "_run").applyInPandas(fold, f"{ddl}, _run bigint, m array<int>, _first int")
     run_entry = run_maps.groupBy(*keys).applyInPandas(runs, f"{ddl}, _run bigint, _entry int")
     met = join_on(dealt, run_entry.withColumnRenamed("_entry", "_e"), [*keys, "_run"])
     schema = f"{ddl}, _blk bigint, _entry int"
-    return cut(met.groupBy(*keys, "_run").applyInPandas(lambda pdf: through(pdf, "_blk", int(pdf["_e"].iloc[0]))[[*keys, "_blk", "_entry"]], schema))
+    found = met.groupBy(*keys, "_run").applyInPandas(lambda pdf: through(pdf, "_blk", int(pdf["_e"].iloc[0]))[[*keys, "_blk", "_entry"]], schema)
+    return cut(alone.unionByName(found))
 
 
 def with_group(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
