@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framewright.operators.blocks import BLOCK_ROWS, chained, framed, halo, in_spans, ordinal, running, with_group
+from framewright.operators.blocks import BLOCK_ROWS, block_id, chained, framed, halo, in_spans, join_on, ordinal, running, with_group
 from framewright.session import cut
 
 
@@ -205,7 +205,10 @@ def limited_segments(
     if max_speech < 1 or min_silence < 1:
         raise ValueError("max_speech and min_silence must be at least 1")
     limit = int(max_speech) + 1
+    df = cut(df.select(*keys, idx, p))
+    sizes = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("len"), F.max(block_id(idx, rows)).alias("_last")))
     spread = halo(df.select(*keys, idx, F.col(p).cast("double").alias("_p")), keys, idx, limit, limit + 1, rows)
+    spread = join_on(spread, sizes.select(*keys, "_last"), keys).where("_blk <= _last")
     ddl = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def jumps(pdf: pd.DataFrame) -> tuple[_Jumps, int, int]:
@@ -216,13 +219,11 @@ def limited_segments(
 
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx)
-        if not pdf["_own"].any():  # rows before the first of a block that the series does not reach
-            return pdf.iloc[:0][[*keys, "_blk"]].assign(m=pd.Series(dtype=object))
         made, low, high = jumps(pdf)
         return pdf.iloc[:1][[*keys, "_blk"]].assign(m=[made.successors(low, high)])
 
-    maps = cut(spread.groupBy(*keys, "_blk").applyInPandas(lead, f"{ddl}, _blk bigint, m array<int>"))
-    entries = chained(maps, keys, 0)
+    maps = cut(spread.where("_last > 0").groupBy(*keys, "_blk").applyInPandas(lead, f"{ddl}, _blk bigint, m array<int>"))
+    entries = chained(maps, keys, 0)  # a key of one block is entered with nothing open
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx)
@@ -233,12 +234,10 @@ def limited_segments(
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    on = [spread[k].eqNullSafe(entries[k]) for k in keys] + [spread["_blk"] == entries["_blk"]]
-    fed = spread.join(entries, on).select(*[spread[c] for c in spread.columns], entries["_entry"])
+    fed = join_on(spread, entries, [*keys, "_blk"], "left").fillna(0, ["_entry"])
     segs = cut(fed.groupBy(*keys, "_blk").applyInPandas(mark, f"{ddl}, start bigint, end bigint"))
-    lengths = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("len"))
     numbered = ordinal(segs, keys, ["start"], F.expr(f"start div {1 << 22}"), "seg_no")
-    return numbered.join(lengths, keys).select(*keys, "seg_no", "start", "end", "len")
+    return numbered.join(sizes, keys).select(*keys, "seg_no", "start", "end", "len")
 
 
 def pad_segments(segs: DataFrame, keys, pad: int, **opts) -> DataFrame:
