@@ -51,7 +51,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode the text that is left and decode it again: the number of ids, their hash and that of the decoded text. A null text has none; repeated rows are repeated."""
-    return bpe.digest(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.digest(docs, public_tokenizers.path("word_bpe_49k.json"), bits=20)
 
 
 STAGES = [("language_id", language), ("simhash_dedup", near_duplicates), ("decontamination", decontamination), ("secret_scan", secrets), ("bpe", tokens)]
