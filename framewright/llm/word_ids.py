@@ -10,8 +10,8 @@ import numpy as np
 from framewright.llm.common import process_cache
 from framewright.llm.words import code_points, mix, span_hashes
 
-#: Longest word that is looked up by its hash; texts with longer ones go to the library whole.
-LONGEST = 96
+#: Longest word that is looked up by its hash; texts with longer ones go to the library whole. Words that one call of the library encodes together.
+LONGEST, TOGETHER = 96, 64
 SPACE, LINE = 0x20, 0x0A
 
 
@@ -30,6 +30,10 @@ class WordIds:
         # white space other than single spaces and line ends, and characters that engines class differently
         self.odd = np.zeros(0x110000, bool)
         self.odd[[0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
+        # tokens that begin a word with the space before it, or that end a run of letters
+        names = sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda t: t[1])
+        self.edge = np.zeros(names[-1][1] + 1, bool)
+        self.edge[[i for t, i in names if (t.startswith("\u0120") if joined else t.endswith("</w>"))]] = True
         self.clear()
 
     @classmethod
@@ -56,9 +60,7 @@ class WordIds:
 
     def add(self, keys: np.ndarray, words: list[str]) -> None:
         """Encode distinct words and keep their ids."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for word in ids for i in word), np.uint32, int(sizes.sum()))
+        sizes, flat = self.encoded(words)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
@@ -73,6 +75,26 @@ class WordIds:
             self.places[at[got]], self.sizes[at[got]] = starts[todo[got]], sizes[todo[got]]
             todo, at = todo[~got], (at[~got] + 1) & (len(self.keys) - 1)
 
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids one after the other).
+
+        Plain words are given to the library many at a time, as one text. Each of them has at least one token at an edge of a word, so if
+        there are as many such tokens as words, these are their borders; where there are more, the words are encoded one by one.
+        """
+        plain = [w for w in words if w[0] == " " and "<" not in w] if self.joined else [w for w in words if w.isalpha()]
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        found: dict[str, np.ndarray] = {}
+        for group, ids in zip(groups, self.whole([("" if self.joined else " ").join(g) for g in groups])):
+            edges = np.flatnonzero(self.edge[ids])
+            borders = np.r_[edges, len(ids)] if self.joined else np.r_[0, edges + 1]
+            if len(edges) == len(group) and borders[0] == 0 and borders[-1] == len(ids):
+                borders = borders.tolist()
+                found.update(zip(group, [ids[a:b] for a, b in zip(borders, borders[1:])]))
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self.whole(rest)))
+        parts = [found[w] for w in words]
+        return np.fromiter(map(len, parts), np.int64, len(parts)), np.concatenate([np.zeros(0, "<u4"), *parts])
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
