@@ -37,13 +37,13 @@ def namer(tokenizer):
     return lambda ids: tokenizer.decode(ids, skip_special_tokens=False)
 
 
-def short_coder(path: str, decoded: bool):
+def short_coder(path: str, decoded: bool, bits: int):
     """UDF: text to its ids and, if asked for, what they decode to."""
     fields = [("ids", pa.binary()), ("decoded", pa.string())]
 
     @arrow_udf("struct<ids:binary,decoded:string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = WordIds.kept(path, joined=False, bits=20)
+        words = WordIds.kept(path, joined=False, bits=bits)
         name = namer(words.tokenizer)
         for batch in batches:
             ids = [i for part in chunks(batch.to_pylist()) for i in words.encode(part)]
@@ -176,11 +176,14 @@ def encode_long(docs: DataFrame, path: str, piece: int, decoded: bool) -> DataFr
     return scan(spread, f"{head}, tokens binary", leaves).groupBy("row").applyInPandas(gather, "doc_id bigint, ids binary, decoded string")
 
 
-def code(docs: DataFrame, path: str, decoded: bool = True, long: int = LONG, piece: int = PIECE) -> DataFrame:
-    """(doc_id, ids, decoded) for every row of `docs` (doc_id, text): ids as `encode` gives them, and the text they decode to."""
+def code(docs: DataFrame, path: str, decoded: bool = True, long: int = LONG, piece: int = PIECE, bits: int = 20) -> DataFrame:
+    """(doc_id, ids, decoded) for every row of `docs` (doc_id, text): ids as `encode` gives them, and the text they decode to.
+
+    A worker remembers up to two thirds of 2**`bits` words.
+    """
     rows = docs.select("doc_id", "text")
     size = F.coalesce(F.length("text"), F.lit(0))
-    short = rows.where(size <= long).select("doc_id", short_coder(path, decoded)("text").alias("c")).select("doc_id", "c.ids", "c.decoded")
+    short = rows.where(size <= long).select("doc_id", short_coder(path, decoded, bits)("text").alias("c")).select("doc_id", "c.ids", "c.decoded")
     return short.unionByName(encode_long(rows.where(size > long), path, piece, decoded))
 
 
@@ -211,9 +214,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", decoder(path)("ids").alias("decoded"))
 
 
-def digest(docs: DataFrame, path: str) -> DataFrame:
+def digest(docs: DataFrame, path: str, bits: int = 20) -> DataFrame:
     """Token count and the hashes of ids and decoded text, one row per document."""
-    return code(docs, path).select(
+    return code(docs, path, bits=bits).select(
         "doc_id",
         F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
