@@ -6,7 +6,7 @@ chained, and a last pass fills in the rows of each block. A path goes forward in
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -156,6 +156,20 @@ def band_matrix(states: int, width: int) -> np.ndarray:
 SALIENCE_EPS = 1.1920928955078125e-07
 
 
+def c_library(lists: Column | str, fn: Callable[[pa.Array], pa.Array]) -> Column:
+    """`fn` of all elements of an array of doubles, in Arrow.
+
+    Arrow's powers, exponentials and logarithms are the C library's, as a database's are. Those of the JVM differ from them in the
+    last bit, which is enough to choose another of two paths that score the same.
+    """
+
+    @F.arrow_udf("array<double>")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(column.offsets, fn(column.values))
+
+    return run(lists)
+
+
 def trajectory(
     grid: DataFrame, keys: list[str], idx: str, salience: str, states: int, tol: int = 5, regions: DataFrame | None = None,
     low: float = 0.01, high: float = 1.0, **opts
@@ -166,7 +180,7 @@ def trajectory(
     """
     i = np.arange(states)
     step = np.log(np.where(np.abs(i[:, None] - i) <= tol, high, low) + SALIENCE_EPS)
-    scored = grid.select(*keys, idx, F.expr(f"transform({salience}, z -> ln(z + {SALIENCE_EPS!r}D))").alias("_lp"))
+    scored = grid.select(*keys, idx, c_library(salience, lambda z: pc.ln(pc.add(z, SALIENCE_EPS))).alias("_lp"))
     if regions is None:
         return viterbi(scored, keys, idx, "_lp", step, np.zeros(states), **opts)
     regions = cut(regions.select(*keys, "region", "start", "end"))

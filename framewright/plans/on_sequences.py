@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from framewright.functions import scalars as S
@@ -26,7 +27,8 @@ def big(name, alias=None):
 
 def state_scores(spark, d):
     """Eight states along the value axis, scored by squared distance."""
-    return V.series(spark, d).select("sid", "idx", F.expr("transform(sequence(0, 7), s -> -pow(x / 25D - s, 2) / 2D)").alias("lp"))
+    gap = F.expr("transform(sequence(0, 7), s -> x / 25D - s)")
+    return V.series(spark, d).select("sid", "idx", SQ.c_library(gap, lambda v: pc.divide(pc.negate(pc.power(v, 2.0)), 2.0)).alias("lp"))
 
 
 def paths_sql(lp: str, initial: str, weight: str, body: str, tables: str, **ctes: str) -> str:
@@ -80,7 +82,7 @@ def viterbi(spark, d):
     ),
 )
 def trajectory_dp(spark, d):
-    grid = state_scores(spark, d).select("sid", "idx", F.expr("transform(lp, v -> exp(v))").alias("z"))
+    grid = state_scores(spark, d).select("sid", "idx", SQ.c_library("lp", pc.exp).alias("z"))
     regions = found_segments(spark, d).select("sid", c("seg_no").alias("region"), "start", "end")
     return SQ.trajectory(grid, KEY, "idx", "z", 8, tol=1, regions=regions).select("sid", "idx", "state")
 

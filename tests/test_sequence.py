@@ -1,12 +1,17 @@
 """Best paths, feedback filters, periods and spectra."""
 
 import itertools
+import math
 
+import duckdb
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from framewright.operators import decode as D, frames as FR, metrics as M, sequence as SQ, spectral as SP
+from framewright.plans import on_sequences  # noqa: F401  (registers the queries)
+from framewright.plans.registry import ORACLES, QUERIES
 
 
 def score(path, lp, step, start):
@@ -160,3 +165,21 @@ def test_levels_are_relative_to_the_clip(spark):
     got = M.compress_levels(df, ["clip"], "power", 0.5, -3.0).orderBy("clip", "power").collect()
     assert [tuple(r) for r in got] == [(0, 0.0), (0, 0.0), (0, 2.0), (1, 0.0)]
     assert [r["power"] for r in M.compress_levels(df, ["clip"], "power", 0.5, 40.0).orderBy("clip", "power").collect()] == [0.0, 2.0, 10.0, 0.0]
+
+
+@pytest.mark.parametrize("name", ["viterbi", "trajectory_dp"])
+def test_paths_of_nearly_equal_score_are_those_of_the_sql(spark, tmp_path, name):
+    """In the series of this user two paths of trajectory_dp score the same but for the last bit of a logarithm."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '/root/testdata/sf0.1/events.parquet' WHERE user_id = 890) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = QUERIES[name](spark, str(tmp_path)).select("sid", "idx", "state").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(f"SELECT sid, idx, state FROM ({ORACLES[name]})").fetchall())
+
+
+def test_powers_exponentials_and_logarithms_are_the_c_library_s(spark):
+    values = np.random.default_rng(2).uniform(0.01, 8, size=(3000, 8))
+    df = spark.createDataFrame([(v.tolist(),) for v in values], "v array<double>").repartition(3)
+    for fn, plain in ((lambda v: pc.power(v, 2.0), lambda v: math.pow(v, 2.0)), (pc.exp, math.exp), (pc.ln, math.log)):
+        rows = df.select("v", SQ.c_library("v", fn).alias("y")).collect()
+        assert all(r["y"] == [plain(v) for v in r["v"]] for r in rows)
