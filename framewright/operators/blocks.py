@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 from framewright.session import cut
@@ -206,6 +208,18 @@ def chained(maps: DataFrame, keys: list[str], first: int | str, reverse: bool =
     return cut(alone.unionByName(found))
 
 
+def group_starts(batch: pa.RecordBatch, keys: list[str], before: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Where a group starts in a batch of rows ordered by `keys`, and the key of its last row; `before` is that of the batch before."""
+    fresh = np.zeros(batch.num_rows, bool)
+    for k in keys:
+        here, last = batch[k].slice(1), batch[k].slice(0, batch.num_rows - 1)
+        same = pc.or_(pc.fill_null(pc.equal(here, last), False), pc.and_(pc.is_null(here), pc.is_null(last)))
+        fresh[1:] |= ~same.to_numpy(zero_copy_only=False)
+    key = lambda row: tuple(batch[k][row].as_py() for k in keys)
+    fresh[0] = before is None or key(0) != before
+    return fresh, key(batch.num_rows - 1)
+
+
 def with_group(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     """Attach per-key aggregates. The aggregate is combined before its shuffle and joined back as one row per key."""
     return join_on(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys)

@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from framewright.operators.blocks import BLOCK_ROWS, FAN, block_id, chained, in_spans, join_on
+from framewright.operators.blocks import BLOCK_ROWS, FAN, block_id, chained, group_starts, in_spans, join_on
 from framewright.operators.frames import EPS
 from framewright.session import cut
 
@@ -191,37 +190,55 @@ def trajectory(
     return grid.select(*keys, idx).join(placed, [*keys, idx], "left").withColumn("state", F.coalesce("state", F.lit(-1).cast("bigint")))
 
 
+def _fed_back(values: np.ndarray, fresh: np.ndarray, coef: float) -> np.ndarray:
+    """`y[t] = x[t] + coef · y[t-1]`, from rest where `fresh`: sums of 1, 2, 4, ... rows until they reach the longest stretch."""
+    rows = np.arange(len(values))
+    since = rows - np.maximum.accumulate(np.where(fresh, rows, 0))
+    out, reach = values.copy(), 1
+    while reach <= since.max():
+        out[reach:] += np.where(since[reach:] >= reach, coef**reach * out[:-reach], 0.0)
+        reach *= 2
+    return out
+
+
 def inverse_preemphasis(df: DataFrame, keys: list[str], idx: str, x: str, coef: float, block: int = BLOCK_ROWS) -> DataFrame:
-    """`y[t] = x[t] + coef · y[t-1]`, added as `y`: each block from rest, plus the decayed end of the block before."""
-    key_ddl = _ddl(df, [*keys, idx])
-    piece = 64
-    powers = coef ** np.arange(piece)
-    lower = np.tril(powers[np.abs(np.arange(piece)[:, None] - np.arange(piece))])
-
-    def from_rest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx)
-        values = pdf[x].to_numpy(float)
-        padded = np.pad(values, (0, -len(values) % piece)).reshape(-1, piece)
-        out = padded @ lower.T
-        for r in range(1, len(out)):
-            out[r] += powers * coef * out[r - 1, -1]
-        return pdf[[*keys, idx, "_blk"]].assign(y=out.ravel()[: len(values)])
-
-    rows = df.select(*keys, idx, x, block_id(idx, block).alias("_blk"))
-    local = cut(rows.groupBy(*keys, "_blk").applyInPandas(from_rest, f"{key_ddl}, _blk bigint, y double"))
-    ends = local.groupBy(*keys, "_blk").agg(F.max_by("y", idx).alias("e"), F.count(F.lit(1)).alias("n"))
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk")
-        held, out = 0.0, []
-        for e, n in zip(pdf["e"], pdf["n"]):
-            out.append(held)
-            held = e + coef ** float(n) * held
-        return pdf[[*keys, "_blk"]].assign(h=out)
-
-    held = ends.groupBy(*keys).applyInPandas(carry, f"{_ddl(df, keys)}, _blk bigint, h double")
+    """`y[t] = x[t] + coef · y[t-1]`, added as `y`: each block from rest, plus the decayed end of the block before.
+
+    The blocks of a task go through it one after the other, many short ones in a batch.
+    """
+    part = [*keys, "_blk"]
+
+    def from_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, 0.0
+        for batch in filter(len, batches):
+            fresh, last = group_starts(batch, part, last)
+            values = pc.cast(batch[x], pa.float64()).to_numpy(zero_copy_only=False).copy()
+            if not fresh[0]:
+                values[0] += coef * held
+            fresh[0] = True
+            out = _fed_back(values, fresh, coef)
+            held = float(out[-1])
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in [*keys, idx, "_blk"]], pa.array(out)], names=[*keys, idx, "_blk", "y"])
+
+    rows = df.select(*keys, idx, x, block_id(idx, block).alias("_blk")).repartition(*part).sortWithinPartitions(*part, idx)
+    local = cut(rows.mapInArrow(from_rest, f"{_ddl(df, [*keys, idx])}, _blk bigint, y double"))
+    ends = local.groupBy(*part).agg(F.max_by("y", idx).alias("e"), F.count(F.lit(1)).alias("n"))
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, 0.0
+        for batch in filter(len, batches):
+            fresh, last = group_starts(batch, keys, last)
+            out = np.empty(len(fresh))
+            for t, (new, e, n) in enumerate(zip(fresh.tolist(), batch["e"].to_pylist(), batch["n"].to_pylist())):
+                out[t] = held = 0.0 if new else held
+                held = e + coef ** float(n) * held
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in part], pa.array(out), pa.array(fresh)], names=[*part, "h", "_first"])
+
+    ordered = ends.repartition(*keys).sortWithinPartitions(*part)
+    entered = ordered.mapInArrow(carry, f"{_ddl(df, keys)}, _blk bigint, h double, _first boolean")
+    held = cut(entered.where("NOT _first").drop("_first"))  # the first block of a key is entered at rest, so short series have no row here
     decay = F.pow(F.lit(float(coef)), (F.col(idx) - F.col("_blk") * block + 1).cast("double"))
-    return local.join(held, [*keys, "_blk"]).select(*keys, idx, (F.col("y") + decay * F.col("h")).alias("y"))
+    return join_on(local, held, part, "left").select(*keys, idx, F.when(F.col("h").isNull(), F.col("y")).otherwise(F.col("y") + decay * F.col("h")).alias("y"))
 
 
 def cmndf(f: str, lag_max: int) -> Column:

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pyarrow.compute as pc
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import GroupedData, functions as F
 
 from framewright.operators import decode as D, frames as FR, metrics as M, sequence as SQ, spectral as SP
 from framewright.plans import on_sequences  # noqa: F401  (registers the queries)
@@ -110,6 +110,24 @@ def test_feedback_filter_undoes_preemphasis(hot, hot_df, block):
             assert got[k, i] == pytest.approx(x, abs=1e-9)
 
 
+def test_feedback_filter_streams_short_series(spark, monkeypatch):
+    """Series go through a task together, none of them in a call of its own, and neither keys that are NULL nor infinite values touch others."""
+    monkeypatch.setattr(GroupedData, "applyInPandas", None)
+    rng = np.random.default_rng(3)
+    series = {k: rng.uniform(-1, 1, size=1 + (7 * (k or 0)) % 40) for k in [None, *range(1, 900)]}
+    series[5][0] = np.inf
+    rows = [(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "sid bigint, idx bigint, x double").repartition(3)
+    for block in (16, 1000):
+        got = {(r["sid"], r["idx"]): r["y"] for r in SQ.inverse_preemphasis(df, ["sid"], "idx", "x", 0.9, block=block).collect()}
+        assert len(got) == len(rows)
+        for k, x in series.items():
+            y = 0.0
+            for i, v in enumerate(x):
+                y = v + 0.9 * y
+                assert got[k, i] == pytest.approx(y, abs=1e-9)
+
+
 @pytest.fixture(scope="module")
 def sine(spark):
     x = np.sin(2 * np.pi * 220.0 * np.arange(2048) / 16000.0)
