@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from framewright.operators.blocks import BLOCK_ROWS, framed, halo, ordinal, running, stretched, with_group
+from framewright.operators.blocks import BLOCK_ROWS, framed, group_starts, halo, ordinal, running, stretched, with_group
 from framewright.session import cut
 
 # Fixed value: the guard against a zero denominator (double precision epsilon).
 EPS = 2.220446049250313e-16
+#: Rows of results that a task puts together before they leave it.
+FLUSH_ROWS = 8192
 
 
 def _around(w: WindowSpec, win: int) -> WindowSpec:
@@ -274,15 +278,56 @@ def fixed_segments(df: DataFrame, keys, idx: str, size: int, per_feature: int) -
 def chunk_apply(df: DataFrame, keys, idx: str, chunk: int, context: int, fn, schema: str) -> DataFrame:
     """Run a pandas function over chunks with `context` rows of each neighbour, and keep the rows each chunk owns.
 
-    `fn` gets one ordered chunk and returns a frame of the same length, described by `schema`.
+    `fn` gets one ordered chunk and returns a frame of the same length, described by `schema`. Chunks are cut in the task out of
+    blocks of some `BLOCK_ROWS` rows, so only rows at the edges of these are sent twice.
     """
-
-    def piece(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx, ignore_index=True)
-        own = pdf.pop("_own").to_numpy()
-        return fn(pdf.drop(columns="_blk"))[own] if own.any() else pd.DataFrame()
-
-    return halo(df, keys, idx, context, context, chunk).groupBy(*keys, "_blk").applyInPandas(piece, schema)
+    rows = chunk * max(1, BLOCK_ROWS // chunk)
+    part = [*keys, "_blk"]
+    placed = halo(df, keys, idx, context, context, rows)
+    target = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+    own_at, idx_at = placed.columns.index("_own"), placed.columns.index(idx)
+
+    def chunks(table: pa.Table) -> Iterator[pd.DataFrame]:
+        own = table.column(own_at).to_numpy()
+        if not own.any():
+            return
+        block, places = table["_blk"][0].as_py(), table.column(idx_at)
+        pdf = table.drop_columns(["_own", "_blk"]).to_pandas()
+        if block is None:
+            yield fn(pdf)
+            return
+        at = places.to_numpy()
+        starts = np.unique(at[own] // chunk) * chunk
+        edges = (np.searchsorted(at, starts + by) for by in (-context, 0, chunk, chunk + context))
+        for low, first, stop, high in zip(*(e.tolist() for e in edges)):
+            piece = fn(pdf.iloc[low:high].reset_index(drop=True))
+            yield piece.iloc[first - low : stop - low]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, done, size = None, [], [], 0
+
+        def flush() -> list[pa.RecordBatch]:
+            out = pd.concat(done, ignore_index=True)[target.names]
+            return pa.Table.from_pandas(out, schema=target, preserve_index=False).to_batches()
+
+        for batch in chain(filter(len, batches), [None]):
+            fresh, last = group_starts(batch, part, last) if batch is not None else (np.ones(1, bool), last)
+            edges = [0, *np.flatnonzero(fresh).tolist(), len(batch) if batch is not None else 0]
+            for k, (low, high) in enumerate(zip(edges, edges[1:])):
+                if k and held:
+                    for piece in chunks(pa.Table.from_batches(held)):
+                        done.append(piece)
+                        size += len(piece)
+                    held = []
+                    if size >= FLUSH_ROWS:
+                        yield from flush()
+                        done, size = [], 0
+                if high > low:
+                    held.append(batch.slice(low, high - low))
+        if done:
+            yield from flush()
+
+    return placed.repartition(*part).sortWithinPartitions(*part, idx).mapInArrow(run, schema)
 
 
 def pad_or_trim(df: DataFrame, keys, idx: str, x: str, longest: int, shortest: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """Blocked ordering, frames and running aggregates against plain loops, with blocks far smaller than a key."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import GroupedData, functions as F
 
 from framewright.operators import blocks as B, frames as FR
 
@@ -124,3 +124,21 @@ def test_stretches_come_in_blocks_and_whole(spark):
     for size in (1, 4, 1000):
         got = sorted((r["k"], r["i"]) for r in stretched(df, "a", "b", "i", size).collect())
         assert got == [(k, i) for k, a, b in rows if a is not None for i in range(a, b + 1)]
+
+
+@pytest.mark.parametrize("block", [4, 12, 1 << 16])
+def test_chunks_are_cut_in_the_task(spark, monkeypatch, block):
+    """Only rows at the edges of blocks are sent twice, and no chunk or short series takes a call from Spark; keys and positions that are NULL stay."""
+    monkeypatch.setattr(GroupedData, "applyInPandas", None)
+    monkeypatch.setattr(FR, "BLOCK_ROWS", block)
+    monkeypatch.setattr(FR, "FLUSH_ROWS", 100)
+    rows = [(k, i, float(i * (k or 7) % 11)) for k in [None, *range(1, 300)] for i in range(k % 23 if k else 9)] + [(5, None, 3.0)]
+    df = spark.createDataFrame(rows, "sid bigint, idx bigint, x double").repartition(3)
+    seen = lambda pdf: pdf.assign(n=len(pdf), total=pdf["x"].sum())[["sid", "idx", "n", "total"]]
+    got = FR.chunk_apply(df, ["sid"], "idx", 4, 2, seen, "sid bigint, idx bigint, n bigint, total double").collect()
+    series = {}
+    for k, i, x in rows:
+        series.setdefault(k, {})[i] = x
+    near = lambda k, i: [x for j, x in series[k].items() if i is j or None not in (i, j) and i // 4 * 4 - 2 <= j < i // 4 * 4 + 6]
+    key = lambda r: tuple((v is None, v or 0) for v in r[:2])
+    assert sorted(map(tuple, got), key=key) == sorted([(k, i, len(near(k, i)), sum(near(k, i))) for k, i, _ in rows], key=key)
