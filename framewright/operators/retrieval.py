@@ -19,6 +19,10 @@ from framewright.operators.vectors import blend
 from framewright.session import cut
 
 TILE = 2048
+#: Times that the rows of two equal sides are sent at most, while blocks of so many bytes of vectors allow it.
+SPREAD, BLOCK_BYTES = 8, 32 << 20
+#: Scores that are held at a time.
+SCORES = 1 << 21
 #: Centroids of at most so many bytes, as measured, are broadcast; more meet the vectors in tiles.
 BROADCAST_BYTES = 32 << 20
 #: So many probed cells at most are named in a filter on the postings; with more, nearly all are read anyway.
@@ -35,16 +39,24 @@ def _arrays(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, rows.ravel())
 
 
-def _tiles(queries: DataFrame, base: DataFrame, keys: list[str], q: str, b: str, tile: int):
-    """Both sides with block numbers; every query block meets every base block of its group exactly once."""
+def _tiles(queries: DataFrame, base: DataFrame, keys: list[str], q: str, b: str, tile: int, v: str = "v"):
+    """Both sides with block numbers; every query block meets every base block of its group exactly once.
+
+    A row is sent once per block of the other side. Blocks have `tile` rows while they are few; where rows would be sent more than
+    `SPREAD` times as often as there are rows on both sides, blocks grow instead, up to `BLOCK_BYTES`.
+    """
+    rows, fit = F.count(F.lit(1)), F.expr(f"ceil(count(1) * 8 * coalesce(max(size(`{v}`)), 0) / {BLOCK_BYTES})")
+    sized = lambda df, out: df.agg(F.struct(rows.alias("n"), fit.alias("fit")).alias(out))
+    number = lambda own, other: F.expr(
+        f"CAST(greatest(least(ceil({own}.n / {tile}), ceil({SPREAD} * greatest({own}.n / greatest({other}.n, 1), 1))), {own}.fit, 1) AS BIGINT)"
+    )
     if keys:
-        blocks = lambda df, out: df.groupBy(*keys).agg(F.expr(f"CAST(ceil(count(1) / {tile}) AS BIGINT)").alias(out))
-        sizes = blocks(queries, "_nq").join(blocks(base, "_nb"), keys)
-        attach = lambda df: df.join(sizes, keys)
+        sizes = sized(queries.groupBy(*keys), "_sq").join(sized(base.groupBy(*keys), "_sb"), keys)
+        meet = lambda df: df.join(sizes, keys)
     else:
-        blocks = lambda df: df.agg(F.expr(f"greatest(CAST(ceil(count(1) / {tile}) AS BIGINT), 1L)")).scalar()
-        nq, nb = blocks(queries), blocks(base)
-        attach = lambda df: df.withColumn("_nq", nq).withColumn("_nb", nb)
+        sq, sb = sized(queries, "_sq").scalar(), sized(base, "_sb").scalar()
+        meet = lambda df: df.withColumn("_sq", sq).withColumn("_sb", sb)
+    attach = lambda df: meet(df).withColumn("_nq", number("_sq", "_sb")).withColumn("_nb", number("_sb", "_sq")).drop("_sq", "_sb")
     left = attach(queries).select(
         *queries.columns,
         F.expr(f"pmod(xxhash64({q}), _nq)").alias("_qb"),
@@ -93,7 +105,7 @@ def nearest(
     if k < 1:
         raise ValueError("k must be at least 1")
     keys = keys or []
-    left, right = _tiles(queries.select(*keys, q, v), base.select(*keys, b, v), keys, q, b, tile)
+    left, right = _tiles(queries.select(*keys, q, v), base.select(*keys, b, v), keys, q, b, tile, v)
     group = [*keys, "_qb", "_vb"]
     fields = [f for f in queries.schema.fields if f.name in keys]
     schema = ", ".join(
@@ -101,6 +113,7 @@ def nearest(
     )
     if carry:
         schema += f", `{v}` array<double>"
+    held = SCORES
 
     def score(qs: pa.Table, bs: pa.Table) -> pa.Table:
         if qs.num_rows == 0 or bs.num_rows == 0:
@@ -109,8 +122,9 @@ def nearest(
         base_sq = (base_rows**2).sum(1)
         picked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         all_queries = _matrix(qs[v])
-        for start in range(0, len(all_queries), 256):
-            qi, bi, exact = _closest(all_queries[start : start + 256], base_rows, base_ids, base_sq, k)
+        step = max(1, min(256, held // len(base_rows)))
+        for start in range(0, len(all_queries), step):
+            qi, bi, exact = _closest(all_queries[start : start + step], base_rows, base_ids, base_sq, k)
             picked.append((qi + start, bi, exact))
         qi, bi, exact = (np.concatenate(p) for p in zip(*picked))
         out = {key: pa.chunked_array([qs[key].combine_chunks().take(pa.array(qi))]) for key in keys}
@@ -133,6 +147,7 @@ def soft_codes(queries: DataFrame, codes: DataFrame, temperature: float = 0.1, t
     query are put together relative to the best of all, so that no temperature overflows.
     """
     left, right = _tiles(queries.select("q", "v"), codes.select("code", "v"), [], "q", "code", tile)
+    held = SCORES
 
     def score(qs: pa.Table, cs: pa.Table) -> pa.Table:
         if qs.num_rows == 0 or cs.num_rows == 0:
@@ -141,14 +156,19 @@ def soft_codes(queries: DataFrame, codes: DataFrame, temperature: float = 0.1, t
         ids, c = cs["code"].to_numpy()[order], _matrix(cs["v"])[order]
         m = _matrix(qs["v"])
         m, c = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (m, c))
-        logits = (m @ c.T) / temperature
-        top = logits.argmax(1)
+        top, best, total = np.empty(len(m), np.int64), np.empty(len(m)), np.empty(len(m))
+        step = max(1, held // len(c))
+        for start in range(0, len(m), step):
+            part = slice(start, start + step)
+            logits = (m[part] @ c.T) / temperature
+            top[part], best[part] = logits.argmax(1), logits.max(1)
+            total[part] = np.exp(logits - best[part, None]).sum(1)
         return pa.table(
             {
                 "q": pa.array(qs["q"].to_numpy().astype(np.int64)),
                 "code": pa.array(ids[top].astype(np.int64)),
-                "logit": pa.array(logits[np.arange(len(top)), top]),
-                "total": pa.array(np.exp(logits - logits.max(1, keepdims=True)).sum(1)),
+                "logit": pa.array(best),
+                "total": pa.array(total),
             }
         )
 

@@ -160,3 +160,45 @@ def test_search_reads_only_probed_cells(spark, base):
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [(cell" in plan.replace("[isnotnull(cell#", "[(cell#")
     assert [(r["vec_id"], r["d2"]) for r in near.orderBy("rank").collect()] == [(20, 0.0), (21, 0.0)]
+
+
+def test_rows_are_sent_a_bounded_number_of_times(spark, monkeypatch):
+    """With ten times the vectors a row is sent no more often, until blocks are full; a few base vectors still meet many query blocks."""
+    rng = np.random.default_rng(8)
+    sent = {}
+    for n in (400, 4000):
+        rows = [(i, i % 2, rng.normal(size=4).tolist()) for i in range(n)]
+        df = spark.createDataFrame(rows, "vec_id bigint, g bigint, v array<double>")
+        left, right = R._tiles(df.select(F.col("vec_id").alias("q"), "v"), df.select("vec_id", "v"), [], "q", "vec_id", 10)
+        assert left.count() == right.count()
+        sent[n] = left.count() / n
+        by = ["g"]
+        left, right = R._tiles(df.select("g", F.col("vec_id").alias("q"), "v"), df.select("g", "vec_id", "v"), by, "q", "vec_id", 10)
+        assert max(left.count(), right.count()) <= R.SPREAD * n
+    assert sent == {400: R.SPREAD, 4000: R.SPREAD}
+    left, right = R._tiles(df.select(F.col("vec_id").alias("q"), "v"), df.where("vec_id < 20").select("vec_id", "v"), [], "q", "vec_id", 10)
+    assert left.select("_qb").distinct().count() == 400 and left.count() <= R.SPREAD * 4000
+    monkeypatch.setattr(R, "BLOCK_BYTES", 4000 * 32 // 20)
+    left, right = R._tiles(df.select(F.col("vec_id").alias("q"), "v"), df.select("vec_id", "v"), [], "q", "vec_id", 10)
+    assert left.count() == right.count() == 20 * 4000
+
+
+@pytest.mark.parametrize("scores", [1, 700])
+def test_scores_held_at_a_time_do_not_change_results(spark, scores):
+    """Near and coded alike however few scores a tile holds at a time."""
+    rng = np.random.default_rng(9)
+    m, codes = rng.normal(size=(300, 5)), rng.normal(size=(40, 5))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "q bigint, v array<double>")
+    base = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(codes)], "code bigint, v array<double>")
+    held, R.SCORES = R.SCORES, scores
+    try:
+        near = {(r["q"], r["rank"]): r["vec_id"] for r in R.nearest(df, base.withColumnRenamed("code", "vec_id"), 2, tile=64).collect()}
+        coded = {r["q"]: (r["code"], r["prob"]) for r in R.soft_codes(df, base, 0.5, tile=64).collect()}
+    finally:
+        R.SCORES = held
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    logits = unit(m) @ unit(codes).T / 0.5
+    for i in range(300):
+        order = np.argsort(((m[i] - codes) ** 2).sum(1))
+        assert [near[i, 1], near[i, 2]] == order[:2].tolist()
+        assert coded[i][0] == logits[i].argmax() and coded[i][1] == pytest.approx(np.exp(logits[i].max()) / np.exp(logits[i]).sum())
