@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 
@@ -33,17 +33,23 @@ def sanitise(text: Column, arrow: bool = False, tab: bool = False) -> Column:
     return F.translate(out, "\t", " ") if tab else out
 
 
-@F.pandas_udf(T.DoubleType())
-def compression_ratio(text: pd.Series) -> pd.Series:
-    """UTF-8 bytes over deflated bytes of the whole text; high values mean repetition."""
+#: Bytes of a text that are deflated at a time.
+PIECE = 1 << 16
 
-    def ratio(t):
-        if t is None:
-            return None
-        raw = t.encode("utf-8")
-        return len(raw) / len(zlib.compress(raw))
 
-    return text.map(ratio)
+@F.arrow_udf(T.DoubleType())
+def compression_ratio(text: pa.Array) -> pa.Array:
+    """UTF-8 bytes over deflated bytes of the whole text; high values mean repetition.
+
+    The bytes are read where Arrow has them, and of the deflated ones only the number is kept.
+    """
+
+    def ratio(raw: pa.Buffer) -> float:
+        press, whole = zlib.compressobj(), memoryview(raw)
+        made = sum(len(press.compress(whole[at : at + PIECE])) for at in range(0, len(whole), PIECE))
+        return len(whole) / (made + len(press.flush()))
+
+    return pa.array((ratio(t.as_buffer()) if t.is_valid else None for t in text), pa.float64(), size=len(text))
 
 
 def optional_number(text: str, kind: str = "double") -> Column:

@@ -1,7 +1,10 @@
 """Scalar functions: inverses, edges and formats."""
 
+import random
+import tracemalloc
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +70,19 @@ def test_compression_ratio_is_zlib(spark):
     assert one(spark, X.compression_ratio(F.lit(text)))[0] == pytest.approx(len(text) / len(zlib.compress(text.encode())))
 
 
+def test_compression_ratio_keeps_no_copy_of_a_text():
+    """Texts are read where Arrow has them and what is deflated is only counted, by pieces and as a whole alike."""
+    rng = random.Random(6)
+    texts = ["", None, "é" * 100_000, "".join(chr(rng.randrange(33, 0x3000)) for _ in range(700_000))]
+    column = pa.array(texts)
+    tracemalloc.start()
+    got = X.compression_ratio.func(column).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500_000
+    assert got == [None if t is None else len(t.encode()) / len(zlib.compress(t.encode())) for t in texts]
+
+
 def test_languages(spark):
     assert len(L.NAME_OF) == 99 and len(L.CODE_OF) == 110
     r = one(spark, *[L.language_code(F.lit(t)) for t in ("EN", "Haitian Creole", "flemish", "klingon")], L.language_name(F.lit("ht")))
