@@ -112,3 +112,21 @@ def test_json_chunks_hold_every_column(spark):
     assert [c for a, _, c in chunks if a == "a"] == ['{"audio":a,"segments":[', '{"start":0.0,"end":1.0,"text":"on\\"e"}', ',{"start":1.0,"end":2.0,"text":"t,o","p":0.5}', "]}"]
     counts = {r["format"]: r["n"] for r in TR.transcript(segments, "all").groupBy("format").agg(F.count("chunk").alias("n")).collect()}
     assert counts == {"txt": 3, "vtt": 5, "srt": 3, "tsv": 5, "json": 7}
+
+
+@pytest.mark.parametrize("rows", [7, 50, 1 << 16])
+def test_phases_gather_no_rounding_error(spark, rows):
+    rng = random.Random(8)
+    cents = {0: [160000] * 120, 1: [rng.choice([0, 5000 + 2 * rng.randint(1, 40000)]) for _ in range(150)]}
+    cents[1].append(-sum(cents[1]) % 1600000)
+    nan = [100.0, math.nan, 100.0]
+    data = {k: [v / 100 for v in vs] for k, vs in cents.items()} | {2: nan, 3: [2e9, 4000.0], 4: [None, 4000.0]}
+    df = spark.createDataFrame([(k, i, v) for k, vs in data.items() for i, v in enumerate(vs)], "sid bigint, idx bigint, f0 double").repartition(3)
+    got = {(r["sid"], r["idx"], r["k"]): r["phase"] for r in FR.phases(df, ["sid"], "idx", "f0", 16000.0, 3, rows=rows).collect()}
+    for key, vs in cents.items():
+        for i in range(len(vs)):
+            for k in (1, 2, 3):
+                assert got[key, i, k] == pytest.approx(sum(vs[: i + 1]) * k % 1600000 / 1600000, rel=0, abs=2e-16)
+    assert got[0, 9, 1] == got[0, 119, 3] == got[1, 150, 2] == 0.0
+    assert got[2, 0, 2] == 0.0125 and math.isnan(got[2, 1, 1]) and math.isnan(got[2, 2, 1])
+    assert (got[3, 1, 1], got[3, 1, 3], got[4, 0, 1], got[4, 1, 2]) == (0.25, 0.75, 0.0, 0.5)
