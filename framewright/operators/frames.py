@@ -160,14 +160,14 @@ def vertex(y1: Column, y2: Column, y3: Column) -> tuple[Column, Column]:
 def phases(df: DataFrame, keys, idx: str, f0: str, rate: float, harmonics: int, **opts) -> DataFrame:
     """Running phase of each harmonic in cycles, its sine, and the voiced flag.
 
-    `f0` is added up as decimals of 1e-10 Hz, so a series of any length, in any blocks, gathers no rounding error and a
-    whole number of cycles is phase 0. Values that this does not hold (NaN and from 1e7 Hz) are added up as doubles; `rate` is below 1e7.
+    `f0` is rounded to 1e-12 Hz and added up as decimals, so a series of any length, in any blocks, gathers no further error and a
+    whole number of cycles is phase 0. Values that this does not hold (NaN and from 1e5 Hz) are added up as doubles; `rate` is below 1e7.
     """
-    fits = F.abs(f0) < 1e7
-    sums = {"_c": ("sum", F.when(fits, F.col(f0).cast("decimal(17,10)"))), "_w": ("sum", F.when(~fits, F.col(f0).cast("double")))}
+    fits = F.abs(f0) < 1e5
+    sums = {"_c": ("sum", F.when(fits, F.col(f0).cast("decimal(17,12)"))), "_w": ("sum", F.when(~fits, F.col(f0).cast("double")))}
     cycle = F.lit(rate).cast("decimal(17,10)")
     out = running(df, keys, idx, sums, **opts).withColumn("k", F.explode(F.expr(f"sequence(1L, {harmonics}L)")))
-    held = F.pmod(F.pmod("_c", cycle) * F.col("k"), cycle).cast("double") / rate
+    held = F.pmod(F.pmod("_c", cycle) * F.col("k").cast("int"), cycle).cast("double") / rate
     out = out.withColumn("phase", F.pmod(held + F.col("_w") / rate * F.col("k"), F.lit(1.0))).drop("_c", "_w")
     return out.withColumn("sine", F.sin(2.0 * math.pi * F.col("phase"))).withColumn("voiced", F.col(f0) > 0)
 
